@@ -11,8 +11,11 @@ _OPERATORS = {
     "op1_url_filter": ("url_filter", "pages"),
     "op2_pii": ("pii", "documents"),
     "op3_quality": ("quality", "documents"),
+    "op5_substring": ("substring", "documents"),
     "op6_secrets": ("secrets", "documents"),
     "op8_mixing": ("mixing", "documents"),
+    "op9_itq": ("itq", "embeddings"),
+    "op10_minmax": ("minmax", "documents"),
 }
 
 
