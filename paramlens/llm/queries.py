@@ -28,8 +28,23 @@ def _query(module: str, name: str):
     return run
 
 
+def op4_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import digest_row
+
+    return digest_row(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import digest_row
+
+    return digest_row(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {name: _query(*where) for name, where in _OPERATORS.items()}
+    simple = {name: _query(*where) for name, where in _OPERATORS.items()}
+    return simple | {"op4_bpe": op4_bpe, "op7_toxicity": op7_toxicity}
 
 
 def oracle_sql():
