@@ -5,7 +5,8 @@ reveals about a protected value: pointwise mutual information between term and v
 and the share of the term's texts that also hold the value. Terms over both thresholds are
 generalised to a placeholder, or removed when nearly all their texts hold the value.
 
-Copies of a text count once in all statistics. Null and empty texts have no spans.
+A term needs support from different texts; copies of a text count as one there. Null and empty
+texts have no spans.
 Rows with equal or null ids are judged one by one. Everything is plain column expressions.
 """
 
@@ -35,8 +36,8 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 class Disclosure:
     """When a term counts as revealing.
 
-    ``support``: texts that hold term and value together, at least. ``bits``: mutual information.
-    ``share``: of the term's texts that hold the value. ``removal``: share from which it is removed
+    ``support``: different texts that hold term and value together, at least. ``bits``: mutual information.
+    ``share``: of the term's documents that hold the value. ``removal``: share from which it is removed
     rather than generalised. ``reach``: code points on each side of a value searched for terms.
     ``broadcast_rows``: tables up to this many rows are broadcast; larger ones are joined by shuffles.
     """
@@ -88,41 +89,36 @@ def _around(text: Column, span: Column, reach: int) -> Column:
     return F.filter(F.array_distinct(F.split(F.concat(before, F.lit(" "), after), SPACE)), lambda w: w != "")
 
 
-def revealing_terms(docs: DataFrame, limits: Disclosure = Disclosure()) -> tuple[DataFrame, DataFrame, list[Written]]:
-    """Terms over the thresholds, and the texts that hold them, by a digest of the text.
+def _words(docs: DataFrame, *keys: str) -> DataFrame:
+    """Each word of a document once, with the keys."""
+    return docs.select(*keys, F.explode(F.array_distinct(F.split(squeezed("text"), " "))).alias("term"))
 
-    Returns (term, removed), (text_key, term, removed), and the tables written on the way, which
-    may be dropped once the results have been used.
-    """
+
+def revealing_terms(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
+    """(term, removed): the terms over the thresholds."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text") != "")
-    keyed = texts.withColumn("text_key", F.md5("text"))
-    marked = keyed.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
-    near = marked.select("text_key", "text", F.explode("spans").alias("span")).select(
-        "text_key",
-        F.concat_ws(":", "span.kind", "span.value").alias("value"),
-        F.explode_outer(_around(F.col("text"), F.col("span"), limits.reach)).alias("term"),
-    )
-    seen = Written(near.distinct())
-    held = seen.df.groupBy("value").agg(F.count_distinct("text_key").alias("value_texts"))
-    together = seen.df.where(F.col("term").isNotNull()).groupBy("value", "term").agg(F.count_distinct("text_key").alias("both"))
-    candidates = Written(
-        together.where(F.col("both") >= limits.support).join(held, "value").select("value", "term", "both", "value_texts")
+    marked = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    # A value and a term in one string: distinct strings are found by hashing, distinct pairs by comparing all.
+    value = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"], F.lit("\n")))
+    pairs = F.flatten(
+        F.transform("spans", lambda s: F.transform(_around(F.col("text"), s, limits.reach), lambda w: F.concat(s["kind"], F.lit(":"), s["value"], F.lit("\n"), w)))
     )
-    terms = candidates.df.select("term").distinct()
-    few = candidates.df.count() <= limits.broadcast_rows
-    words = keyed.select("text_key", F.explode(F.array_distinct(F.split(squeezed("text"), " "))).alias("term"))
-    hits = Written(words.join(F.broadcast(terms) if few else terms, "term", "left_semi").distinct())
-    spread = hits.df.groupBy("term").agg(F.count("*").alias("term_texts"))
-    total = texts.agg(F.count_distinct(F.md5("text")).alias("all_texts"))
-    scored = (
-        candidates.df.join(spread, "term")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("share", F.col("both") / F.col("term_texts"))
-        .withColumn("bits", F.log2(F.col("both") * F.col("all_texts") / (F.col("term_texts") * F.col("value_texts"))))
-        .where((F.col("bits") >= limits.bits) & (F.col("share") >= limits.share))
-    )
-    flagged = scored.groupBy("term").agg((F.max("share") >= limits.removal).alias("removed"))
-    return flagged, hits.df.join(flagged, "term"), [seen, candidates, hits]
+    near = marked.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.concat(value, pairs))).alias("pair"))
+    near = near.select("text_key", F.substring_index("pair", "\n", 1).alias("value"), F.substring_index("pair", "\n", -1).alias("term"))
+    per_text = Written(near.groupBy("text_key", "value", "term").agg(F.count("*").alias("n"))).df
+    together = per_text.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both"))
+    held = together.where(F.col("term") == "").select("value", F.col("both").alias("value_docs"))
+    candidates = Written(together.where((F.col("term") != "") & (F.col("texts") >= limits.support)).join(held, "value")).df
+    terms = candidates.select("term").distinct()
+    if candidates.count() <= limits.broadcast_rows:
+        spread = _words(texts).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
+    else:
+        spread = _words(texts).groupBy("term").agg(F.count("*").alias("term_docs")).join(terms, "term", "left_semi")
+    total = texts.count()
+    bits = F.log2(F.col("both") * F.lit(total) / (F.col("term_docs") * F.col("value_docs")))
+    share = F.col("both") / F.col("term_docs")
+    scored = candidates.join(spread, "term").where((bits >= limits.bits) & (share >= limits.share))
+    return scored.groupBy("term").agg((F.max(share) >= limits.removal).alias("removed"))
 
 
 def _quoted(term: Column) -> Column:
@@ -134,7 +130,10 @@ def find(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
 
     Terms that touch a base span are left to it.
     """
-    _, where, _ = revealing_terms(docs, limits)
+    terms = Written(revealing_terms(docs, limits)).df
+    few = terms.count() <= limits.broadcast_rows
+    keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    where = _words(keyed, "text_key").join(F.broadcast(terms) if few else terms, "term")
     per_text = where.groupBy("text_key").agg(
         F.array_join(F.reverse(F.array_sort(F.collect_set(_quoted(F.col("term"))))), "|").alias("alternatives"),
         F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed_terms"),
