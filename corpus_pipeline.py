@@ -1,8 +1,68 @@
-"""A corpus in five stages: quality rules, near duplicates, personal data, mixing, tokens."""
+"""A corpus in five stages: quality rules, near duplicates, personal data, mixing, tokens.
+
+Every stage works on all rows that the one before kept. All but the last return the columns of
+``documents``. ``run`` applies them to the whole table without tables in between.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from paramlens.llm import bpe, minmax, mixing, pii, quality
+
+#: Shingles of five words and a similarity of 0.8; 32 bands of 5 miss such a pair with probability 3e-6.
+NEAR = minmax.Params(words=5, num=80, den=100, bands=32, rows=5)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a rule rejects."""
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group, that of the least id.
+
+    Of rows that share an id one stays, the first by text. Rows without an id stay unless an equal
+    text or a document of their group stays.
+    """
+    kept = minmax.digest_row(docs, NEAR).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    return rows.withColumn("_row", F.row_number().over(same)).where(F.col("_row") == 1).select(*docs.columns)
+
 
-STAGES: list = []
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and terms that give it away."""
+    return pii.sanitise(docs)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents of each source to its target weight, some more than once."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids), one row for each document taken."""
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing_weights", mixing_weights),
+    ("tokens", tokens),
+]
+#: Span search and merges of byte pairs have no SQL; the tests hold brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

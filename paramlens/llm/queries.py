@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 from .common import table
 
 #: Query, module and table.
@@ -44,7 +46,7 @@ def op7_toxicity(spark, sf_dir):
 
 def queries():
     simple = {name: _query(*where) for name, where in _OPERATORS.items()}
-    return simple | {"op4_bpe": op4_bpe, "op7_toxicity": op7_toxicity}
+    return simple | {"op4_bpe": op4_bpe, "op7_toxicity": op7_toxicity, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
