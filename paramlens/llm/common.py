@@ -31,6 +31,15 @@ def n_words(squeezed_text: Column) -> Column:
     return F.when(squeezed_text == "", F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Keeps filters on later columns from being pushed below this one.
+
+    Pushing a filter copies the expressions that it depends on, and costly ones, above all those
+    that lambdas refer to, would then be computed many times over.
+    """
+    return df.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, F.col(name)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import SPACE, Written, squeezed
+from .common import SPACE, Written, settled, squeezed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -97,7 +97,7 @@ def _words(docs: DataFrame, *keys: str) -> DataFrame:
 def revealing_terms(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     """(term, removed): the terms over the thresholds."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text") != "")
-    marked = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    marked = settled(texts.withColumn("spans", base_spans(F.col("text"))), "spans").where(F.size("spans") > 0)
     # A value and a term in one string: distinct strings are found by hashing, distinct pairs by comparing all.
     value = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"], F.lit("\n")))
     pairs = F.flatten(

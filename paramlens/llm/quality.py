@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, squeezed
+from .common import n_words, settled, squeezed
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -97,7 +97,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     per_word = {"mean_word_chars": "word_chars", "symbol_ratio": "n_symbols", "stop_ratio": "n_stop", "repeat_ratio": "n_repeat_words"}
     ratios = {k: F.try_divide(F.col(v), F.col("n_words")) for k, v in per_word.items()}
     ratios["dup_line_ratio"] = F.try_divide(F.col("n_dup_lines"), F.col("n_lines"))
-    return out.withColumns(ratios).drop("_flat", "_words", "_lines", "_hashes", "_placed", "_at")
+    return settled(out.withColumns(ratios), "n_words").drop("_flat", "_words", "_lines", "_hashes", "_placed", "_at")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:

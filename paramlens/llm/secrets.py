@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import settled
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -93,7 +94,7 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
         "_weak", F.filter("_weak", lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     )
     worth = (F.size("_weak") > 0) & (F.size("_weak") + F.size("_base") > 1)
-    out = out.withColumn("_key", F.when(worth, F.md5(F.coalesce("text", F.lit("")))))
+    out = settled(out, "_weak").withColumn("_key", F.when(worth, F.md5(F.coalesce("text", F.lit("")))))
     roles = F.create_map(*[F.lit(x) for kind, role in ROLE.items() for x in (kind, role)])
     parts = (
         out.where(F.col("_key").isNotNull())
