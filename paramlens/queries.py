@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import effects, gates, halves, interactions, members, pockets, trials
-from .plans import cells
+from .operators import bars, clusters, effects, gates, halves, interactions, members, pockets, trials
+from .plans import cells, dims
 from .plans.cells import Target
+from .sources import rows as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -308,10 +309,10 @@ def rows_like(spark, d):
 
 
 @query("""WITH w AS (SELECT event_id, row_number() OVER o AS place, count(*) OVER () AS c, max(value) OVER o AS best, avg(value) OVER o AS mean, value > coalesce(max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e300) AS record FROM events WINDOW o AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, place, best, round(mean, 4) AS mean, record FROM w WHERE place % greatest(1, c // 400) = 0 OR record OR place = c""")
+SELECT event_id, place, best, round(mean + 1e-9, 6) AS mean, record FROM w WHERE place % greatest(1, c // 400) = 0 OR record OR place = c""")
 def record_curve(spark, d):
     out = trials.record_curve(_table(spark, d, "events"), Target("value"), "event_id")
-    return out.select("event_id", F.col("at").cast("long").alias("place"), "best", F.round("mean", 4).alias("mean"), "record")
+    return out.select("event_id", F.col("at").cast("long").alias("place"), "best", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "record")
 
 
 @query()
@@ -414,3 +415,114 @@ SELECT level, place, n, round(mean, 6) AS mean FROM w WHERE place % greatest(1,
 def settling(spark, d):
     out = effects.settling(_table(spark, d, "events"), Target("value"), "event_type", "event_id")
     return out.select("level", F.col("at").cast("long").alias("place"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH v AS (SELECT list_sort(list(l_quantity)) AS s, count(*) AS n FROM lineitem), e AS (SELECT DISTINCT s[CAST(floor(b * n / 10) AS BIGINT) + 1] AS e FROM v, range(1, 10) AS r(b)),
+k AS (SELECT list(e) AS edges FROM e WHERE e > (SELECT min(l_quantity) FROM lineitem)) SELECT len(list_filter(edges, lambda x: x <= l_quantity)) AS bin, count(*) AS n FROM lineitem, k GROUP BY 1""")
+def bin_equal_count(spark, d):
+    return dims.binned(_table(spark, d, "lineitem"), "l_quantity", "bin").groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{_SWEEP} SELECT row_number() OVER (ORDER BY v NULLS FIRST) - 1 AS code, coalesce(v, 'null') AS key, n FROM (SELECT status_n AS v, count(*) AS n FROM sweep GROUP BY 1)""")
+def level_codes(spark, d):
+    return dims.levels_of(sweep(spark, d), "status_n").select(F.col("code").cast("long").alias("code"), "key", "n")
+
+
+@query("""SELECT 'o_orderkey' AS column, 'num' AS kind, count(*) AS rows, count(DISTINCT o_orderkey) AS levels, 'id' AS role FROM orders UNION ALL SELECT 'o_orderstatus', 'str', count(*), count(DISTINCT o_orderstatus), 'param' FROM orders
+UNION ALL SELECT 'o_orderpriority', 'str', count(*), count(DISTINCT o_orderpriority), 'param' FROM orders""")
+def column_roles(spark, d):
+    out = dims.roles(_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return out.select("column", "kind", "rows", "levels", "role")
+
+
+@query("""SELECT l_returnflag AS level, count(DISTINCT l_linestatus) AS "values" FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) >= 2""")
+def scope_levels(spark, d):
+    return dims.scopes(_table(spark, d, "lineitem"), "l_linestatus", "l_returnflag")
+
+
+@query("""SELECT count(*) AS n, TRUE AS alias FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey""")
+def alias_levels(spark, d):
+    rows = _table(spark, d, "customer").join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return dims.is_alias(rows, "r_regionkey", "r_name")
+
+
+@query("""SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, count(*) AS n FROM events GROUP BY ALL""")
+def json_fields(spark, d):
+    """The JSON of events, parsed as result lines are."""
+    lines = _table(spark, d, "events").select(F.col("event_type").alias("shard"), F.col("event_id").alias("line"), F.col("props").alias("text"))
+    parsed = lines.mapInArrow(sources._parsed, sources._ROW)
+    return sources.typed(parsed, [("k", "num")]).groupBy(F.col("__shard").alias("event_type"), "k").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
+def last_write(spark, d):
+    return sources.last_write(_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey")
+
+
+def _bars(spark, d):
+    """Events as bars of five members; in the market when the value is high."""
+    e, on = _table(spark, d, "events"), F.col("value") > 50
+    member = (F.col("user_id") % 5).cast("string")
+    gross = F.when(on, (F.col("value") - 60) / 10000).otherwise(0.0)
+    return e.select(member.alias("member"), F.col("event_id").alias("at"), on.cast("double").alias("pos"), gross.alias("gross"), (gross - F.when(on, 0.0001).otherwise(0.0)).alias("net"), ((F.col("value") - 50) / 10000).alias("ret"))
+
+
+_BARS = """WITH b AS (SELECT CAST(user_id % 5 AS VARCHAR) AS member, event_id AS at_, (value > 50)::INT::DOUBLE AS pos, CASE WHEN value > 50 THEN (value - 60) / 10000 ELSE 0 END AS gross, CASE WHEN value > 50 THEN (value - 60) / 10000 - 0.0001 ELSE 0 END AS net, (value - 50) / 10000 AS ret FROM events),
+o AS (SELECT *, CASE WHEN pos > 0 AND coalesce(lag(pos) OVER (PARTITION BY member ORDER BY at_), 0) <= 0 THEN 1 ELSE 0 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY member ORDER BY at_) AS trade FROM o),
+t AS (SELECT member, trade, count(*) AS bars, product(1 + net) - 1 AS ret FROM r WHERE pos > 0 GROUP BY ALL)"""
+
+
+@query(_BARS + " SELECT member, CAST(trade AS BIGINT) AS trade, bars, round(ret, 9) AS ret FROM t")
+def trade_islands(spark, d):
+    return bars.trades(_bars(spark, d)).select("member", F.col("trade").cast("long").alias("trade"), "bars", F.round("ret", 9).alias("ret"))
+
+
+@query(_BARS + """ SELECT b.member, count(*) AS bars, any_value(k) AS trades, round(avg(net) * 10000, 3) AS pnl, round(avg(gross - net) * 10000, 3) AS cost, round(any_value(m) * 10000, 2) AS trade_mean, round((avg(gross) - avg(pos) * avg(ret)) * 10000, 3) AS timing
+FROM b JOIN (SELECT member, count(*) AS k, avg(ret) AS m FROM t GROUP BY 1) AS s USING (member) GROUP BY 1""")
+def bar_windows(spark, d):
+    out = bars.windows(_bars(spark, d))
+    return out.select("member", "bars", "trades", F.round("pnl", 3).alias("pnl"), F.round("cost", 3).alias("cost"), F.round("trade_mean", 2).alias("trade_mean"), F.round("timing", 3).alias("timing"))
+
+
+def _votes(spark, d):
+    """Three members with a bar for most hours, and a signal each."""
+    e = _table(spark, d, "events").select((F.col("event_id") % 3).cast("string").alias("member"), F.floor(F.col("event_id") / 3).alias("at"), (F.col("value") / 100).alias("prob"), ((F.col("value") - 50) / 10000).alias("ret"))
+    return e.where(F.col("at") % 7 != F.col("member").cast("int")).withColumn("pred", (F.col("prob") > 0.4).cast("double"))
+
+
+_VOTES = """WITH e AS (SELECT CAST(event_id % 3 AS VARCHAR) AS member, event_id // 3 AS t, value / 100 AS prob, (value - 50) / 10000 AS ret FROM events), v AS (SELECT *, (prob > 0.4)::INT AS pred FROM e WHERE t % 7 <> CAST(member AS INT))"""
+
+
+@query(_VOTES + """ SELECT t AS "time", CASE WHEN avg(pred) > 0.5 THEN 1 ELSE 0 END AS signal, arg_min(ret, member) AS ret FROM v GROUP BY 1 HAVING count(DISTINCT member) = 3""")
+def ensemble_votes(spark, d):
+    return bars.ensemble(_votes(spark, d), weighted=False).select(F.col("at").alias("time"), "signal", "ret")
+
+
+@query()
+def ensemble_judged(spark, d):
+    return bars.judge(_votes(spark, d), weighted=True)
+
+
+@query("""SELECT 5.0 AS fee, CAST(o_orderkey % 3 AS DOUBLE) AS slip, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, slip LIMIT 1""")
+def modal_costs(spark, d):
+    rounds = _table(spark, d, "orders").select(F.lit(None).cast("double").alias("fee_bps"), (F.col("o_orderkey") % 3).cast("double").alias("slip_bps"))
+    return bars.costs_of(rounds)
+
+
+@query("""WITH r AS (SELECT greatest(0, value - 50) AS fired, greatest(0, value - 40) AS reach, value - 50 AS margin FROM events) SELECT count(*) AS rounds, count(*) FILTER (fired = 0) AS never, count(*) FILTER (fired = 0 AND reach > 0) AS within_reach, round(quantile_disc(CASE WHEN fired = 0 THEN -margin END, 0.5), 6) AS shortfall FROM r""")
+def held_back(spark, d):
+    v = F.col("value")
+    rounds = _table(spark, d, "events").select(F.greatest(F.lit(0.0), v - 50).alias("fired"), F.greatest(F.lit(0.0), v - 40).alias("reach"), (v - 50).alias("margin"))
+    return bars.held_back(rounds).select("rounds", "never", "within_reach", F.round("shortfall", 6).alias("shortfall"))
+
+
+@query()
+def outcome_groups(spark, d):
+    """Trials grouped by like outcomes."""
+    return clusters.assign(_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'l_returnflag' AS dim, l_returnflag AS level, count(*) AS n, count(*) FILTER (l_quantity > 40) AS n_in FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linestatus', l_linestatus, count(*), count(*) FILTER (l_quantity > 40) FROM lineitem GROUP BY ALL""")
+def composition(spark, d):
+    return clusters.composition(_table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_quantity") > 40)
