@@ -63,10 +63,8 @@ def levels_of(sweep: DataFrame, column: str) -> DataFrame:
     """(code, key, n): levels in order, numbers as numbers; null is a level of its own, code 0 and key ``null``."""
     kind = dict(sweep.dtypes)[column]
     counts = sweep.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    has_null = F.max(F.col("v").isNull().cast("int")).over(W.partitionBy(F.lit(1)))
     code = F.row_number().over(W.orderBy(F.asc_nulls_first("v"))) - 1
-    keyed = counts.withColumn(column, F.col("v"))
-    return keyed.select(code.alias("code"), F.coalesce(key_of(column, kind), F.lit("null")).alias("key"), "n", has_null.cast("boolean").alias("has_null")).drop("has_null")
+    return counts.select(code.alias("code"), F.coalesce(key_of("v", kind), F.lit("null")).alias("key"), "n")
 
 
 def bin_edges(sweep: DataFrame, column: str, bins: int = BINS) -> DataFrame:
