@@ -64,14 +64,17 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3,
 
 
 def sample(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target`` and ``copies``; documents taken 0 times stay in, with 0.
+    """(_doc, size, source_size, target, copies): every document as a struct, also those taken 0 times.
 
-    A column ``size`` that is there already is taken as it is.
+    A column ``size`` is taken as the number of words.
     """
-    rows = docs if "size" in docs.columns else sized(docs)
-    rows = rows.withColumn("_skey", source_key())
+    size = F.col("size").cast("long") if "size" in docs.columns else n_words(F.col("_flat"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", *(["size"] if "size" in docs.columns else [squeezed("text").alias("_flat")]))
+    rows = rows.withColumn("size", size).drop("_flat").withColumn("_skey", source_key())
     rows = rows.withColumn("_digest", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("_class", F.when(F.col("size") == 0, F.lit(-1)).otherwise(F.floor(F.log2("size") * 8)).cast("int"))
+    # Eight classes of size for each power of two.
+    length = F.length(F.bin("size"))
+    rows = rows.withColumn("_class", length * 16 + F.call_function("shiftright", F.col("size") * 8, length - 1).cast("int"))
     rows = rows.withColumn("_split", (F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int") % SPLITS))
     rows = Written(rows).df  # texts are measured once
     bins = rows.groupBy("_skey", "_class", "_split").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -89,18 +92,15 @@ def sample(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rank = (F.col("_before") + F.col("_row")).cast("double")
     copies = F.floor(offset + rate * rank) - F.floor(offset + rate * (rank - 1))
-    return rows.withColumn("copies", copies.cast("long")).select(
-        *[c for c in docs.columns if c != "size"], "size", "source_size", "target", "copies"
-    )
+    return rows.withColumn("copies", copies.cast("long")).select("_doc", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     """The mixture: each document as often as it is taken."""
-    taken = sample(docs.withColumnRenamed("size", "_own_size") if "size" in docs.columns else docs, seed, **shares)
-    taken = (taken.drop("size").withColumnRenamed("_own_size", "size") if "size" in docs.columns else taken).where(F.col("copies") > 0)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = sample(docs, seed, **shares).where(F.col("copies") > 0)
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")
 
 
 def digest_row(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    rows = sample(sized(docs).select("doc_id", "source", "size"), seed)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = sample(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), seed)
+    return rows.select("_doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

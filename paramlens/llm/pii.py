@@ -170,20 +170,21 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     Revealing terms become ``[TERM]``, or go when they are to be removed. ``n_chars``, if there
     is one, is counted anew. Null texts stay null.
     """
-    found = find(docs, limits)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    found = find(rows, limits)
     kept = F.transform(
         "spans",
         lambda s: s.withField("kind", F.when((s["kind"] == TERM) & F.array_contains("removed_terms", s["value"]), "gone").otherwise(s["kind"])),
     )
     shown = F.create_map(*[x for k in (*KINDS, TERM) for x in (F.lit(k), F.lit(f"[{k.upper()}]"))])
     out = found.withColumn("_text", F.when(F.col("text").isNotNull(), S.masked(F.col("text"), kept, shown)))
-    columns = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return out.withColumns(columns).select(*docs.columns)
+    changed = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return out.select(*[changed[c].alias(c) if c in changed else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def digest_row(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     """One row per document: its counts, a digest of its base spans, and all its spans."""
-    found = find(docs, limits)
+    found = find(docs.select("doc_id", "text"), limits)
     counts = {f"n_{k}": S.count(F.col("spans"), k) for k in KINDS}
     base = F.filter("spans", lambda s: s["kind"] != TERM)
     return found.select(

@@ -119,7 +119,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measures(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
 
 
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents that all rules keep, with their own columns, whatever these are called."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return judge(rows, rules).where("kept").select("_doc.*")
+
+
 def digest_row(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    return judge(docs, rules).select(
+    return judge(docs.select("doc_id", "text"), rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -7,6 +7,7 @@ import importlib
 import corpus_pipeline
 
 from .common import table
+from .sql import ORACLE
 
 #: Query, module and table.
 _OPERATORS = {
@@ -50,4 +51,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """SQL where it can express an operator; the others are tested against brute force."""
+    return dict(ORACLE)

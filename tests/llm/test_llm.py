@@ -380,10 +380,23 @@ def test_pipeline(spark, tmp_path, texts):
         if name == "personal_data":
             assert not any("@" in r["text"] for r in df.collect())
         if name == "mixing_weights":
-            taken = {r["doc_id"]: r["copies"] for r in mixing.sample(before).collect()}
+            taken = {r["_doc"]["doc_id"]: r["copies"] for r in mixing.sample(before).collect()}
             ids = [r["doc_id"] for r in df.collect()]
             assert all(ids.count(i) == n for i, n in taken.items())
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(open(path, "rb").read()), special_tokens={})
     assert sorted((r["doc_id"], r["ids"]) for r in df.collect()) == sorted((r["doc_id"], own.encode_ordinary(r["text"])) for r in before.collect())
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect())) == sorted(map(str, df.select("doc_id", "n_tokens").collect()))
+
+
+def test_clashing_columns(spark, docs):
+    names = ["size", "kept", "n_words", "spans", "copies", "target", "source_size", "node", "_base"]
+    odd = docs.withColumns({c: F.lit(7) for c in names})
+    kept = quality.keep(odd)
+    assert kept.columns == odd.columns and kept.select(*names).distinct().count() == 1
+    clean = pii.sanitise(odd)
+    assert clean.columns == odd.columns and clean.select(*names).distinct().count() == 1
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.select(*names).distinct().count() <= 1
+    for rows in (quality.digest_row, pii.digest_row, secrets.digest_row, mixing.digest_row, minmax.digest_row, substring.digest_row):
+        assert rows(odd).count() == docs.count()
