@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bars, clusters, effects, gates, halves, interactions, members, pockets, trials
+from .operators import bars, clusters, effects, gates, halves, interactions, members, pockets, runs, trials
 from .plans import cells, dims
 from .plans.cells import Target
 from .sources import rows as sources
@@ -526,3 +526,47 @@ def outcome_groups(spark, d):
 @query("""SELECT 'l_returnflag' AS dim, l_returnflag AS level, count(*) AS n, count(*) FILTER (l_quantity > 40) AS n_in FROM lineitem GROUP BY ALL UNION ALL SELECT 'l_linestatus', l_linestatus, count(*), count(*) FILTER (l_quantity > 40) FROM lineitem GROUP BY ALL""")
 def composition(spark, d):
     return clusters.composition(_table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_quantity") > 40)
+
+
+@query("""SELECT c_mktsegment, count(*) AS rows, round(avg(c_acctbal), 4) AS mean, max(c_acctbal) AS best_c_acctbal, min(c_custkey) AS best_c_custkey FROM customer GROUP BY 1""")
+def run_comparison(spark, d):
+    out = runs.compare(_table(spark, d, "customer"), "c_mktsegment", Target("c_acctbal"), [("c_acctbal", 1), ("c_custkey", -1)])
+    return out.select("c_mktsegment", "rows", F.round("mean", 4).alias("mean"), "best_c_acctbal", "best_c_custkey")
+
+
+@query("""WITH v AS (SELECT list_sort(list(l_extendedprice)) AS s, count(*) AS n FROM lineitem), e AS (SELECT least(s[CAST(floor(0.01 * n) AS BIGINT) + 1], 30000) AS lo, greatest(s[CAST(floor(0.99 * n) AS BIGINT) + 1], 30000) AS hi FROM v),
+w AS (SELECT *, (hi - lo) / 32 AS w FROM e), g AS (SELECT *, 30000 - ceil((30000 - lo) / w - 1e-9) * w AS start FROM w), b AS (SELECT *, floor((hi - start) / w + 1e-9) + 1 AS nb FROM g)
+SELECT CASE WHEN l_extendedprice BETWEEN lo AND hi THEN CAST(least(nb - 1, greatest(0, floor((l_extendedprice - start) / w + 1e-9))) AS BIGINT) END AS bin, count(*) FILTER (l_extendedprice >= 30000) AS pass, count(*) FILTER (l_extendedprice < 30000) AS fail FROM lineitem, b GROUP BY 1""")
+def pass_histogram(spark, d):
+    out = runs.pass_histogram(_table(spark, d, "lineitem"), gates.Gate("l_extendedprice", ">=", 30000))
+    return out.select(F.col("bin").cast("long").alias("bin"), "pass", "fail")
+
+
+_AUC = """WITH r AS (SELECT greatest(0, value - 50) AS fired, greatest(0, value - 40) AS reach, value - 50 AS margin, 0.45 + (event_id % 20) / 100 AS auc, event_id % 90 AS p, 100 AS n FROM events),
+v AS (SELECT *, (auc * (1 - auc) + (p - 1) * (auc / (2 - auc) - auc * auc) + (n - 1) * (2 * auc * auc / (1 + auc) - auc * auc)) / nullif(p * n, 0) AS v FROM r), a AS (SELECT *, CASE WHEN p > 0 THEN auc - 0.5 > 1.959963984540054 * sqrt(greatest(v, 0)) END AS above FROM v)"""
+
+
+@query(_AUC + """ SELECT count(*) AS rounds, count(*) FILTER (fired = 0) AS never, count(*) FILTER (fired = 0 AND above) AS held, count(*) FILTER (fired = 0 AND NOT above) AS nothing, count(*) FILTER (fired = 0 AND above IS NULL) AS unknown, count(*) FILTER (fired = 0 AND reach > 0) AS within_reach FROM a""")
+def never_traded(spark, d):
+    v, i = F.col("value"), F.col("event_id")
+    rounds = _table(spark, d, "events").select(
+        F.greatest(F.lit(0.0), v - 50).alias("fired"), F.greatest(F.lit(0.0), v - 40).alias("reach"), (v - 50).alias("margin"), (0.45 + (i % 20) / 100).alias("auc"), (i % 90).alias("positive"), F.lit(100).alias("negative")
+    )
+    return runs.never_traded(rounds).drop("shortfall")
+
+
+@query("""SELECT o_custkey AS member, round(count(*) FILTER (p > 0.5) / count(*), 6) AS fired, round(count(*) FILTER (p + 0.05 > 0.5) / count(*), 6) AS reach, round(max(p) - 0.5, 6) AS margin FROM (SELECT o_custkey, o_totalprice / 600000 AS p FROM orders) GROUP BY 1""")
+def model_outputs(spark, d):
+    rounds = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.collect_list(F.col("o_totalprice") / 600000).alias("probs"))
+    rounds = rounds.withColumns({"optimal_threshold": F.lit(0.5), "threshold_rule": F.lit(">")})
+    return bars.model_outputs(rounds).select("member", "fired", "reach", "margin")
+
+
+@query("""SELECT count(*) AS after FROM orders WHERE o_orderkey > 9000""")
+def arrived_after(spark, d):
+    return runs.arrived_after(_table(spark, d, "orders"), "o_orderkey", 9000)
+
+
+@query()
+def portable_board(spark, d):
+    return runs.portable(effects.levels(sweep(spark, d), PRICE, DIMS))
