@@ -43,15 +43,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where no folder is set, as in tests on one machine, a temporary one is made and set.
+    Only where no folder is set, as in tests on one machine, a temporary one is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='paramlens-')}")
-    return spark.conf.get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.TemporaryDirectory(prefix="paramlens-", ignore_cleanup_errors=True)
+    return f"file://{_OWN[app].name}"
+
+
+#: Temporary folders by application, where none is named; gone when Python ends.
+_OWN: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 class Written:
@@ -70,6 +76,14 @@ class Written:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, which bounds what a task holds; frees memory at the end."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole runs of equal keys, from batches that are sorted by the key.
 
