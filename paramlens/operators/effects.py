@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import kernel
-from ..plans.cells import Target, base_of, level_cells, value
+from ..plans.cells import Target, base_of, level_cells, set_cells, value
 
 
 def mean_interval(cells: DataFrame, target: Target) -> DataFrame:
@@ -44,86 +44,53 @@ def levels(sweep: DataFrame, target: Target, dims: list[str], cells: DataFrame |
     )
 
 
-def anova(cells: DataFrame, *by: str) -> DataFrame:
-    """One-way analysis of variance from cells (n, s, ss), by group of columns.
+def effects(cells: DataFrame, target: Target, *by: str) -> DataFrame:
+    """The strength of each group of cells, from one aggregation: analysis of variance, p, extremes; G for a binary target.
 
-    Nothing is defined with fewer than two groups or no rows beyond one a group. Without any variation
-    p is 1; without variation inside groups F is infinite and p is 0.
+    Nothing is defined with fewer than two levels or no rows beyond one a level. Without any variation
+    p is 1; without variation inside levels F is infinite and p is 0. With all or no hits G is 0. Best and
+    worst level and their spread are over levels that aren't withheld.
     """
-    full = cells.where(F.col("n") > 0)
-    sums = full.groupBy(*by).agg(
-        F.sum("n").alias("N"), F.count("*").alias("k"), F.sum("s").alias("_S"), F.sum("ss").alias("_SS"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("_B"),
-    )
-    ok, centre = (F.col("k") >= 2) & (F.col("N") > F.col("k")), F.col("_S") * F.col("_S") / F.col("N")
-    out = sums.withColumns({"SST": F.when(ok, F.greatest(F.lit(0.0), F.col("_SS") - centre)), "SSB": F.when(ok, F.greatest(F.lit(0.0), F.col("_B") - centre))})
-    out = out.withColumns({"SSW": F.greatest(F.lit(0.0), F.col("SST") - F.col("SSB")), "df1": F.col("k") - 1, "df2": F.col("N") - F.col("k")})
-    msw = F.try_divide(F.col("SSW"), F.col("df2"))
-    out = out.withColumn("MSW", F.when(ok, msw))
-    ratio = F.when((F.col("SST") > 0) & (F.col("MSW") == 0), F.lit(float("inf"))).when(
-        F.col("SST") > 0, F.try_divide(F.col("SSB") / F.col("df1"), F.col("MSW"))
-    )
-    out = out.withColumn("F", F.when(ok, ratio))
-    omega = F.when(F.col("SST") > 0, (F.col("SSB") - F.col("df1") * F.col("MSW")) / (F.col("SST") + F.col("MSW"))).otherwise(0.0)
-    eta = F.when(F.col("SST") > 0, F.col("SSB") / F.col("SST")).otherwise(0.0)
-    return out.withColumns({"omega2": F.when(ok, omega), "eta2": F.when(ok, eta)}).drop("_S", "_SS", "_B")
-
-
-def anova_p() -> Column:
-    p = kernel.column(kernel.f_survival, F.col("F"), F.col("df1"), F.col("df2"))
-    return F.when(F.col("SST") == 0, F.lit(1.0)).when(F.col("MSW") == 0, F.lit(0.0)).otherwise(p)
-
-
-def g_test(cells: DataFrame, *by: str) -> DataFrame:
-    """Likelihood-ratio test that groups share one rate: (by, G, dfG). All or no hits: G is 0."""
-    full = cells.where(F.col("n") > 0)
-    both = full.join(full.groupBy(*by).agg(F.sum("n").alias("_rows"), F.sum("total").alias("_hits"), F.count("*").alias("_groups")), list(by))
-    p, p0 = F.col("total") / F.col("n"), F.col("_hits") / F.col("_rows")
-    mixed = (F.col("_hits") > 0) & (F.col("_hits") < F.col("_rows"))
-    one = F.when(mixed, I.xlogy(F.col("total"), p / p0) + I.xlogy(F.col("n") - F.col("total"), (1 - p) / (1 - p0))).otherwise(0.0)
-    out = both.groupBy(*by).agg((2 * F.sum(one)).alias("G"), (F.first("_groups") - 1).alias("dfG"))
-    return out.withColumn("G", F.when(F.col("dfG") >= 1, F.col("G")))
-
-
-def effects(cells: DataFrame, target: Target, *by: str) -> DataFrame:
-    """The strength of each dimension from its cells: ANOVA, and for a binary target the G test, with p."""
-    out = anova(cells, *by)
+    n, s, k, mean = F.col("n"), F.col("s"), F.col("total"), F.col("total") / F.col("n")
+    shown, order = n >= I.MIN_N, F.struct((mean * (target.better or 1)).alias("v"), F.col("level") if "level" not in by else F.lit(""))
+    sums = [F.sum("n").alias("N"), F.count("*").alias("k"), F.sum("s").alias("_s"), F.sum("ss").alias("_ss"), F.sum(s * s / n).alias("_between")]
     if target.binary:
-        out = out.join(g_test(cells, *by), list(by))
-        p = F.when(F.col("G") == 0, F.lit(1.0)).otherwise(kernel.column(kernel.chi2_survival, F.col("G"), F.col("dfG")))
-        return out.withColumn("p", F.when(F.col("G").isNotNull(), p))
-    return out.withColumn("p", anova_p())
-
-
-def extremes(shown: DataFrame, target: Target) -> DataFrame:
-    """Best and worst level among those not withheld, and the spread between them."""
-    order = F.struct((F.col("mean") * (target.better or 1)).alias("v"), F.col("level"))
-    seen = shown.where(~F.col("withheld")).groupBy("dim").agg(
-        F.max_by("level", order).alias("best"), F.min_by("level", order).alias("worst"),
-        F.when(F.count("*") >= 2, F.abs(F.max("mean") - F.min("mean"))).alias("spread"),
-    )
-    return seen
+        sums += [F.sum("total").alias("_hits"), F.sum(I.xlogy(k, mean) + I.xlogy(n - k, 1 - mean)).alias("_own")]
+    if "level" not in by and "level" in cells.columns:
+        sums += [
+            F.max_by("level", F.when(shown, order)).alias("best"), F.min_by("level", F.when(shown, order)).alias("worst"),
+            F.when(F.sum(shown.cast("int")) >= 2, F.max(F.when(shown, mean)) - F.min(F.when(shown, mean))).alias("spread"),
+        ]
+    out = cells.where(n > 0).groupBy(*by).agg(*sums)
+    ok, centre = (F.col("k") >= 2) & (F.col("N") > F.col("k")), F.col("_s") * F.col("_s") / F.col("N")
+    out = out.withColumns({"SST": F.when(ok, F.greatest(F.lit(0.0), F.col("_ss") - centre)), "SSB": F.when(ok, F.greatest(F.lit(0.0), F.col("_between") - centre))})
+    out = out.withColumns({"SSW": F.greatest(F.lit(0.0), F.col("SST") - F.col("SSB")), "df1": F.col("k") - 1, "df2": F.col("N") - F.col("k")})
+    out = out.withColumn("MSW", F.when(ok, F.try_divide("SSW", "df2")))
+    varied, total = F.col("SST") > 0, F.col("SST") + F.col("MSW")
+    ratio = F.when(varied & (F.col("MSW") == 0), F.lit(float("inf"))).when(varied, F.try_divide(F.col("SSB") / F.col("df1"), F.col("MSW")))
+    out = out.withColumns({"F": F.when(ok, ratio), "omega2": F.when(ok, F.when(varied, (F.col("SSB") - F.col("df1") * F.col("MSW")) / total).otherwise(0.0)), "eta2": F.when(ok, F.when(varied, F.col("SSB") / F.col("SST")).otherwise(0.0))})
+    if not target.binary:
+        p = kernel.column(kernel.f_survival, F.col("F"), F.col("df1"), F.col("df2"))
+        return out.withColumn("p", F.when(F.col("SST") == 0, F.lit(1.0)).when(F.col("MSW") == 0, F.lit(0.0)).otherwise(p)).drop("_s", "_ss", "_between")
+    hits, rate = F.col("_hits"), F.col("_hits") / F.col("N")
+    g = 2 * (F.col("_own") - I.xlogy(hits, rate) - I.xlogy(F.col("N") - hits, 1 - rate))
+    mixed = (hits > 0) & (hits < F.col("N"))
+    out = out.withColumns({"G": F.when(F.col("df1") >= 1, F.when(mixed, F.greatest(F.lit(0.0), g)).otherwise(0.0)), "dfG": F.col("df1")})
+    p = F.when(F.col("G") == 0, F.lit(1.0)).otherwise(kernel.column(kernel.chi2_survival, F.col("G"), F.col("dfG")))
+    return out.withColumn("p", F.when(F.col("G").isNotNull(), p)).drop("_s", "_ss", "_between", "_hits", "_own")
 
 
 def board(sweep: DataFrame, target: Target, dims: list[str]) -> DataFrame:
-    """All dimensions with their strength, p and q, detectable ones first and then by strength."""
-    cells = level_cells(sweep, target, dims)
-    found = I.with_q(effects(cells, target, "dim"))
-    shown = levels(sweep, target, dims, cells)
-    out = found.join(extremes(shown, target), "dim", "left")
-    return out.orderBy(F.desc("detectable"), F.desc(F.coalesce("omega2", F.lit(-1.0))), "dim")
+    """All dimensions with their strength, p, q and extremes, detectable ones first and then by strength."""
+    found = I.with_q(effects(level_cells(sweep, target, dims), target, "dim"))
+    return found.orderBy(F.desc("detectable"), F.desc(F.coalesce("omega2", F.lit(-1.0))), "dim")
 
 
 def acts_where(sweep: DataFrame, target: Target, dim: str, parents: list[str]) -> DataFrame:
     """The effect of a dimension inside each level of each parent with at least 60 rows, with q over all."""
-    from ..plans.cells import set_cells
-
     cells = set_cells(sweep, target, [*parents, dim], 2, [(p, dim) for p in parents if p != dim])
     cells = cells.withColumns({"parent": F.element_at("dims", 1), "level": F.element_at("levels", 1)})
-    found = effects(cells, target, "parent", "level").join(
-        cells.groupBy("parent", "level").agg(F.sum("n").alias("rows")), ["parent", "level"]
-    )
-    return I.with_q(found.where(F.col("rows") >= 2 * I.MIN_N))
+    return I.with_q(effects(cells, target, "parent", "level").where(F.col("N") >= 2 * I.MIN_N))
 
 
 def agreement(whole: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:

@@ -65,13 +65,12 @@ def stats(sweep: DataFrame, gates: list[Gate]) -> DataFrame:
     A quantile is the value at index ``floor(f * n)`` of the sorted values, at most the last.
     """
     long = sweep.select(F.inline(F.array(*[F.struct(F.lit(g.name).alias("gate"), F.col(g.column).cast("double").alias("v"), passed(g).alias("ok")) for g in gates])))
-    known = long.where(F.col("ok").isNotNull())
-    sums = known.groupBy("gate").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("passes"), F.max("v").alias("max"))
-    per_value = known.groupBy("gate", "v").agg(F.count("*").alias("c"))
+    # Rows are counted by value first; a value decides whether it passes.
+    per_value = long.where(F.col("ok").isNotNull()).groupBy("gate", "v").agg(F.count("*").alias("c"), F.first("ok").alias("ok"))
     upto = W.partitionBy("gate").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = per_value.withColumn("upto", F.sum("c").over(upto)).join(sums.select("gate", "n"), "gate")
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1), F.col("v"))).alias(f"q{int(f * 100):02d}") for f in QUANTILES]
-    out = sums.join(ends.groupBy("gate").agg(*picks), "gate")
+    ends = per_value.withColumns({"upto": F.sum("c").over(upto), "all": F.sum("c").over(W.partitionBy("gate"))})
+    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(f) * F.col("all")), F.col("all") - 1), F.col("v"))).alias(f"q{int(f * 100):02d}") for f in QUANTILES]
+    out = ends.groupBy("gate").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("passes"), F.max("v").alias("max"), *picks)
     lo, hi = I.wilson(F.col("passes").cast("double"), F.col("n"))
     return out.withColumns({"rate": F.col("passes") / F.col("n"), "lo": lo, "hi": hi, "never": F.col("passes") == 0, "always": F.col("passes") == F.col("n"), "rule_of_three": F.when(F.col("passes") == 0, F.least(F.lit(1.0), F.lit(3.0) / F.col("n")))})
 

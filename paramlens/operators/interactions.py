@@ -12,6 +12,7 @@ from itertools import combinations, product
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
@@ -143,14 +144,12 @@ def association(sweep: DataFrame, dims: list[str]) -> DataFrame:
     cells = set_cells(rows, Target("_one"), dims, 2).select(
         F.element_at("dims", 1).alias("a"), F.element_at("dims", 2).alias("b"), F.element_at("levels", 1).alias("la"), F.element_at("levels", 2).alias("lb"), F.col("n").cast("double").alias("o")
     )
-    left = cells.groupBy("a", "b", "la").agg(F.sum("o").alias("ra"))
-    right = cells.groupBy("a", "b", "lb").agg(F.sum("o").alias("cb"))
-    sums = cells.groupBy("a", "b").agg(F.sum("o").alias("N"), F.count_distinct("la").alias("ua"), F.count_distinct("lb").alias("ub"))
-    # Cells without rows add their expected count; over all cells these sum to N.
-    seen = cells.join(left, ["a", "b", "la"]).join(right, ["a", "b", "lb"]).join(sums, ["a", "b"])
+    # Cells without rows add their expected count; over all cells these sum to N. The windows are over cells.
+    pair = W.partitionBy("a", "b")
+    seen = cells.withColumns({"ra": F.sum("o").over(W.partitionBy("a", "b", "la")), "cb": F.sum("o").over(W.partitionBy("a", "b", "lb")), "N": F.sum("o").over(pair)})
     e = F.col("ra") * F.col("cb") / F.col("N")
-    stat = seen.groupBy("a", "b").agg(F.sum(F.col("o") * F.col("o") / e).alias("t"))
-    out = stat.join(sums, ["a", "b"]).where("ua >= 2 and ub >= 2").withColumn("chi2", F.greatest(F.lit(0.0), F.col("t") - F.col("N")))
+    out = seen.groupBy("a", "b").agg(F.sum(F.col("o") * F.col("o") / e).alias("t"), F.first("N").alias("N"), F.size(F.collect_set("la")).alias("ua"), F.size(F.collect_set("lb")).alias("ub"))
+    out = out.where("ua >= 2 and ub >= 2").withColumn("chi2", F.greatest(F.lit(0.0), F.col("t") - F.col("N")))
     out = out.withColumns({"df": (F.col("ua") - 1) * (F.col("ub") - 1), "V": F.sqrt(F.col("chi2") / (F.col("N") * (F.least("ua", "ub") - 1)))})
     out = out.withColumn("p", kernel.column(kernel.chi2_survival, F.col("chi2"), F.col("df")))
     return out.withColumn("linked", (F.col("p") < 1e-6) & (F.col("V") > 0.03)).select("a", "b", "N", "chi2", "df", "V", "p", "linked")

@@ -94,7 +94,7 @@ _ANOVA = """SELECT {by}, sum(n) AS N, count(*) AS k, sum(s) AS S, sum(ss) AS SS,
 SELECT dim, CAST(N AS BIGINT) AS N, k, round((ssb / (k - 1)) / ((sst - ssb) / (N - k)), 6) AS F,
  round((ssb - (k - 1) * (sst - ssb) / (N - k)) / (sst + (sst - ssb) / (N - k)), 8) AS omega2, round(ssb / sst, 8) AS eta2 FROM v""")
 def board_anova(spark, d):
-    out = effects.anova(cells.level_cells(sweep(spark, d), PRICE, DIMS), "dim")
+    out = effects.effects(cells.level_cells(sweep(spark, d), PRICE, DIMS), PRICE, "dim")
     return out.select("dim", "N", "k", F.round("F", 6).alias("F"), F.round("omega2", 8).alias("omega2"), F.round("eta2", 8).alias("eta2"))
 
 
@@ -102,7 +102,7 @@ def board_anova(spark, d):
 SELECT c.dim, round(2 * sum(CASE WHEN k = 0 THEN 0 ELSE k * ln(k / n / (kk / nn)) END + CASE WHEN k = n THEN 0 ELSE (n - k) * ln((1 - k / n) / (1 - kk / nn)) END), 5) AS G, any_value(g) - 1 AS df
 FROM cells c JOIN t ON c.dim = t.dim GROUP BY c.dim""")
 def board_g(spark, d):
-    out = effects.g_test(cells.level_cells(sweep(spark, d), HIT, DIMS), "dim")
+    out = effects.effects(cells.level_cells(sweep(spark, d), HIT, DIMS), HIT, "dim")
     return out.select("dim", F.round("G", 5).alias("G"), F.col("dfG").alias("df"))
 
 
@@ -184,7 +184,7 @@ a AS ({_ANOVA.format(by='level')}), v AS (SELECT *, SS - S * S / N AS sst, B - S
 SELECT 'l_returnflag' AS parent, level, CAST(N AS BIGINT) AS rows, round((ssb / (k - 1)) / ((sst - ssb) / (N - k)), 6) AS F FROM v WHERE N >= 60""")
 def acts_where(spark, d):
     out = effects.acts_where(sweep(spark, d), PRICE, "l_linenumber", ["l_returnflag"])
-    return out.select("parent", "level", "rows", F.round("F", 6).alias("F"))
+    return out.select("parent", "level", F.col("N").alias("rows"), F.round("F", 6).alias("F"))
 
 
 @query("""SELECT CAST(sum(n) AS BIGINT) AS N, count(*) AS k, round(sum(n * n) * count(*) / sum(n) - sum(n), 6) AS chi2 FROM (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1)""")
