@@ -1,10 +1,10 @@
 """Byte-level BPE, with every distinct word of the corpus encoded once.
 
-Texts are cut into pre-tokens by the vocabulary's pattern in Spark's own matcher. Blocks of
-documents hold their pre-tokens as numbers into a list of distinct words, in order, which is
-their position. The distinct words of all blocks are shuffled together and encoded once; ids are
-joined back to the words of each block, and each block is put together again by position.
-Decoding looks ids up in the token-byte table, which has as many rows as the vocabulary.
+Texts are cut into pre-tokens by the vocabulary's pattern in Spark's own matcher. A block of
+documents holds its pre-tokens as numbers into a list of distinct words, in order, which is their
+position. The words of all blocks are shuffled by hash, packed, so that every distinct word meets
+itself and is encoded once; ids go back to the blocks, and each block is put together again by
+position. Decoding looks ids up in the token-byte table, which has as many rows as the vocabulary.
 
 Null and empty texts have no tokens. Rows with equal or null ids are encoded one by one. The
 vocabulary file is read on the driver and sent to the tasks; its size is fixed. The input is read
@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import runs, sliced
+from .hashing import pieces_hash, utf8
+
 #: Pre-tokens in a block.
-BLOCK = 400_000
+BLOCK = 800_000
 #: Words longer than this, in bytes, are merged with a heap.
 LONG = 64
 
@@ -46,15 +50,17 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(word) > LONG:
         return _encode_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        found = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        known = [r for r in found if r is not None]
-        if not known:
-            break
-        i = found.index(min(known))
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    # Places where parts begin, and the rank of each part with the next.
+    at, none = list(range(len(word) + 1)), len(ranks) + 1
+    known = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while known and (least := min(known)) < none:
+        i = known.index(least)
+        del at[i + 1], known[i]
+        if i:
+            known[i - 1] = ranks.get(word[at[i - 1] : at[i + 1]], none)
+        if i < len(known):
+            known[i] = ranks.get(word[at[i] : at[i + 2]], none)
+    return [ranks[word[i:j]] for i, j in zip(at, at[1:])]
 
 
 def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -86,64 +92,106 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def pre_tokens(docs: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, tokens, odd): odd is the text where Java may class a character otherwise than the vocabulary's library.
+    """(doc_id, cut, odd): the text with a zero byte after each pre-token.
 
-    Characters that Java's Unicode tables don't know yet send a text to a matcher with newer ones.
+    ``odd`` is the text instead where it has zero bytes itself, or characters that Java's Unicode
+    tables don't know yet and may class otherwise than the vocabulary's library.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    odd = F.rlike(text, F.lit(r"\p{Cn}"))
-    cut = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.when(~odd, cut).alias("tokens"), F.when(odd, text).alias("odd")
-    )
-
-
-def _blocks(pattern: str, words: bool):
-    """Blocks of documents: either their distinct words, or their ids and the numbers of their words."""
+    odd = F.rlike(text, F.lit(r"[\p{Cn}\x00]"))
+    cut = F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit("$0\0"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(~odd, cut).alias("cut"), F.when(odd, text).alias("odd"))
+
+
+@dataclass
+class _Block:
+    """Documents with their pre-tokens, each ended by a zero byte."""
+
+    number: int
+    ids: np.ndarray
+    present: np.ndarray
+    counts: np.ndarray
+    tokens: pa.Array
+
+    def numbered(self, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words by bucket and then by text, the bucket of each, and the word of every pre-token."""
+        coded = self.tokens.dictionary_encode()
+        words = coded.dictionary
+        data, offsets = utf8(words)
+        bucket = (pieces_hash(data, offsets) % np.uint64(buckets)).astype(np.int64)
+        order = pc.array_sort_indices(words.cast(pa.large_binary())).to_numpy().astype(np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        return words.take(pa.array(order)), bucket[order], place[coded.indices.to_numpy()]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]:
+    made, part, slow = 0, TaskContext.get().partitionId(), regex.compile(pattern)
+    for batch in sliced(batches, 1000):
+        data, offsets = utf8(batch.column("cut"))
+        ends = np.flatnonzero(data == 0) + 1
+        edges = np.searchsorted(ends, offsets, side="right")
+        at = np.concatenate(([0], ends)).astype(np.int64)
+        tokens = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(data.tobytes())])
+        raw = np.array([x if x is not None else 0 for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
+        present = np.array(batch.column("doc_id").is_valid(), dtype=bool)
+        usual = np.array(batch.column("cut").is_valid(), dtype=bool)
+        counts = np.diff(edges)
+        begin = 0
+        while begin < len(raw):
+            end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + BLOCK, side="right")) - 1)
+            own = np.flatnonzero(usual[begin:end]) + begin
+            if len(own):
+                yield _Block((part << 32) | made, raw[own], present[own], counts[own], tokens.slice(edges[begin], edges[end] - edges[begin]))
+                made += 1
+            begin = end
+        for i in np.flatnonzero(~usual).tolist():
+            found = [t + "\0" for t in slow.findall(batch.column("odd")[i].as_py())]
+            yield _Block((part << 32) | made, raw[[i]], present[[i]], np.array([len(found)]), pa.array(found, pa.large_string()))
+            made += 1
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes, as high bytes are much alike."""
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _words(pattern: str, buckets: int):
+    """(bucket, block, sizes, words): the distinct words of each block, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, part = 0, TaskContext.get().partitionId()
-        slow = regex.compile(pattern)
-        for batch in batches:
-            tokens = batch.column("tokens")
-            if tokens.null_count:
-                odd = batch.column("odd")
-                rows = [x.as_py() if x.is_valid else slow.findall(o.as_py() or "") for x, o in zip(tokens, odd, strict=True)]
-                tokens = pa.array(rows, pa.list_(pa.string()))
-            counts = pc.list_value_length(tokens).to_numpy().astype(np.int64)
-            edges = np.concatenate(([0], np.cumsum(counts)))
-            begin = 0
-            while begin < len(counts):
-                end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + BLOCK, side="right")) - 1)
-                number = (part << 32) | made
-                coded = tokens.slice(begin, end - begin).flatten().dictionary_encode()
-                yield _words(number, coded) if words else _numbers(number, coded, batch.column("doc_id").slice(begin, end - begin), counts[begin:end])
-                begin, made = end, made + 1
+        press = zstandard.ZstdCompressor(level=3)
+        for b in _blocks(batches, pattern):
+            words, bucket, _ = b.numbered(buckets)
+            data, offsets = utf8(words)
+            raw = data.tobytes()
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
+            rows = [(int(bucket[lo]), np.diff(offsets[lo : hi + 1]), raw[offsets[lo] : offsets[hi]]) for lo, hi in zip(edges, [*edges[1:], len(bucket)])]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([b.number] * len(rows), pa.int64()),
+                    "sizes": pa.array([_planes(r[1]) for r in rows], pa.binary()), "words": pa.array([press.compress(r[2]) for r in rows], pa.binary()),
+                }
+            )
 
     return run
 
 
-def _words(block: int, coded: pa.DictionaryArray) -> pa.RecordBatch:
-    n = len(coded.dictionary)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, block, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int32)), coded.dictionary], names=["block", "number", "word"]
-    )
+def _numbers(pattern: str, buckets: int):
+    """(block, ids, present, counts, numbers): the documents of each block with the numbers of their words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, pattern):
+            yield pa.RecordBatch.from_pydict(
+                {"block": pa.array([b.number], pa.int64()), "ids": [b.ids.tobytes()], "present": [b.present.tobytes()], "counts": [b.counts.astype(np.int64).tobytes()], "numbers": [_planes(b.numbered(buckets)[2])]}
+            )
 
-def _numbers(block: int, coded: pa.DictionaryArray, ids: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    press = zstandard.ZstdCompressor(level=1)
-    at = coded.indices.to_numpy().astype(np.uint16 if len(coded.dictionary) < 1 << 16 else np.uint32)
-    raw = np.array([x if x is not None else 0 for x in ids.to_pylist()], dtype=np.int64)
-    return pa.RecordBatch.from_pydict(
-        {
-            "block": pa.array([block], pa.int64()),
-            "ids": [raw.tobytes()],
-            "present": [np.array(ids.is_valid(), dtype=bool).tobytes()],
-            "counts": [counts.tobytes()],
-            "wide": [at.dtype == np.uint32],
-            "numbers": [press.compress(at.tobytes())],
-        }
-    )
+    return run
 
 
 def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
@@ -151,21 +199,17 @@ def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
     if not block.num_rows:
         return schema.empty_table()
-    ids, present, counts = (
-        np.frombuffer(block.column(c)[0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("present", bool), ("counts", np.int64))
-    )
-    numbers = zstandard.ZstdDecompressor().decompress(block.column("numbers")[0].as_py()) if counts.sum() else b""
-    at = np.frombuffer(numbers, dtype=np.uint32 if block.column("wide")[0].as_py() else np.uint16).astype(np.int64)
-    order = np.argsort(words.column("number").to_numpy())
-    coded = [words.column("ids")[int(i)].as_buffer() for i in order]
-    sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-    flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    n = sizes[at] if len(at) else np.zeros(0, dtype=np.int64)
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    tokens = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, dtype=np.uint32)
-    edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+    ids, present, counts = (np.frombuffer(block.column(c)[0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("present", bool), ("counts", np.int64)))
+    at = _from_planes(block.column("numbers")[0].as_py()).astype(np.int64)
+    order = np.argsort(words.column("bucket").to_numpy()).tolist()
+    sizes = [_from_planes(words.column("sizes")[i].as_py()) for i in order]
+    flat = [_from_planes(words.column("ids")[i].as_py()) for i in order]
+    none = np.zeros(0, dtype=np.uint32)
+    size, token = (np.concatenate([none, *x]).astype(np.int64) for x in (sizes, flat))
+    starts, n = np.cumsum(size) - size, size[at]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    tokens = token[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+    edges = ends[np.concatenate(([0], np.cumsum(counts)))]
     return pa.table(
         {
             "doc_id": pa.array(ids, pa.int64(), mask=~present),
@@ -182,57 +226,85 @@ def _sent(spark: SparkSession, path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): token ids by the ranks in the file, without special tokens."""
-    ranks = _sent(docs.sparkSession, path)
+    spark = docs.sparkSession
+    ranks = _sent(spark, path)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, bucket, sizes, ids), each distinct word of a bucket once."""
         known = ranks_of(ranks.value)
-        for batch in batches:
-            words = batch.column("word")
-            ids = [np.array(encode_word(w.as_buffer().to_pybytes(), known), dtype=np.uint32).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+        for part in runs(batches, ["bucket"], rows=1):
+            done: dict[bytes, list[int]] = {}
+            sizes, ids = [], []
+            for i in range(part.num_rows):
+                raw = zstandard.ZstdDecompressor().decompress(part.column("words")[i].as_py())
+                ends = np.cumsum(_from_planes(part.column("sizes")[i].as_py()).astype(np.int64)).tolist()
+                own, begin = [], 0
+                for end in ends:
+                    word = raw[begin : end - 1]  # without the zero byte
+                    begin = end
+                    found = done.get(word)
+                    if found is None:
+                        found = done[word] = encode_word(word, known)
+                    own.append(found)
+                sizes.append(_planes(np.array([len(x) for x in own], dtype=np.uint32)))
+                ids.append(_planes(np.array([t for x in own for t in x], dtype=np.uint32)))
+            yield pa.RecordBatch.from_pydict(
+                {"block": part.column("block").combine_chunks(), "bucket": part.column("bucket").combine_chunks(), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())}
+            )
 
     cut = pre_tokens(docs, pattern)
-    numbered = cut.mapInArrow(_blocks(pattern, words=False), "block long, ids binary, present binary, counts binary, wide boolean, numbers binary")
-    words = cut.mapInArrow(_blocks(pattern, words=True), "block long, number int, word string")
-    once = words.select("word").distinct().mapInArrow(encoded, "word string, ids binary")
-    back = words.join(once, "word").select("block", "number", "ids")
+    numbered = cut.mapInArrow(_numbers(pattern, buckets), "block long, ids binary, present binary, counts binary, numbers binary")
+    words = cut.mapInArrow(_words(pattern, buckets), "bucket long, block long, sizes binary, words binary")
+    met = words.repartition("bucket").sortWithinPartitions("bucket")
+    back = met.mapInArrow(encoded, "block long, bucket long, sizes binary, ids binary")
     return numbered.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
+def _decoder(raw: bytes):
+    """Bytes of lists of ids, by the token-byte table."""
+    known = ranks_of(raw)
+    by_id: list[bytes] = [b""] * (max(known.values()) + 1)
+    for token, rank in known.items():
+        by_id[rank] = token
+    table = pa.array(by_id, pa.large_binary())
+
+    def decoded(lists: pa.Array) -> list[bytes]:
+        return [b"".join(table.take(x.values).to_pylist()) if x.is_valid and len(x.values) else b"" for x in lists]
+
+    return decoded
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes of the ids; null ids arrays give no bytes."""
     ranks = _sent(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks_of(ranks.value)
-        by_id: list[bytes] = [b""] * (max(known.values()) + 1)
-        for token, rank in known.items():
-            by_id[rank] = token
-        rows = pa.array(by_id, pa.large_binary())
-        for batch in batches:
-            lists = batch.column("ids")
-            out = [b"".join(rows.take(x.values).to_pylist()) if x.is_valid and len(x.values) else b"" for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+        decoded = _decoder(ranks.value)
+        for batch in sliced(batches, 1000):
+            out = pa.array(decoded(batch.column("ids")), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("ids")
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pc.list_value_length(lists).cast(pa.int64()),
-                pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in lists]),
-                pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def digest_row(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: its tokens, and digests of its ids and of the bytes they decode to."""
-    both = decode(encode(docs, path, pattern), path)
-    return both.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ranks = _sent(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoded = _decoder(ranks.value)
+        for batch in sliced(batches, 1000):
+            lists = batch.column("ids")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pc.list_value_length(lists).cast(pa.int64()),
+                    pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in lists]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded(lists)]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return encode(docs, path, pattern).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -87,6 +87,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(hashes, at[:-1], at[1:])
 
 
+def pieces_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The hash of each of the stretches that lie end to end."""
+    up, down = _powers(_BASE, _room(len(data)))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]] + (offsets[1:] - offsets[:-1]).astype(np.uint64))
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and offsets; null is empty."""
     texts = texts.fill_null("").cast(pa.large_string())

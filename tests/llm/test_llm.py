@@ -326,6 +326,8 @@ def test_bpe(docs, texts, empty):
         want.append((i, len(ids), sha(np.array(ids, dtype="<u4").tobytes()), sha(t or "")))
     got = [tuple(r) for r in bpe.digest_row(docs, path, public_tokenizers.PATTERN).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    back = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
+    assert sorted((r["doc_id"], bytes(r["decoded"])) for r in back if r["doc_id"]) == sorted((i, (t or "").encode()) for i, t in texts if i)
     assert bpe.digest_row(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
