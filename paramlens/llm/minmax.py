@@ -6,9 +6,9 @@ signature. Bands of entries bring candidates together; every link is then confir
 sets.
 
 Equal sets are one node from the start. In each band, a node meets the ``PIVOTS`` least nodes of
-its bucket; once the links found are contracted, nodes of buckets that are still not connected
-meet all nodes of other components there, so large groups of like documents cost a few
-comparisons each, and no candidate is lost. Documents without words have an empty set and are
+its bucket. Where the links found leave a larger bucket unconnected, its nodes meet nodes of other
+components by their rarest shingles, which loses no link, so large groups of like documents cost
+a few comparisons each. Documents without words have an empty set and are
 linked with nothing. Repeated rows are copies; rows with equal or null ids are kept apart.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, sliced
 from .components import components
 from .hashing import Words, lowered, mix, pieces, utf8, words_of
 
@@ -33,7 +33,9 @@ from .hashing import Words, lowered, mix, pieces, utf8, words_of
 PIVOTS = 8
 #: A bucket's nodes are dealt over so many parts to find its least ones.
 SPLITS = 16
-_PIECE = 2_000_000
+_PIECE = 400_000
+#: Documents of a batch that are worked on together.
+_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -97,7 +99,7 @@ def _signatures(p: Params):
         return mix((mix(entries) * weight).sum(axis=2) + np.arange(p.bands, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, _ROWS):
             ids, held, size = batch.column("doc_id"), [], 0
             for i, values in _sets(batch.column("text"), p.words):
                 held.append((i, values))
@@ -136,7 +138,7 @@ def _texts(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in sliced(batches, _ROWS):
             seen: dict[bytes, bytes] = {}
             for i, values in _sets(batch.column("text"), k):
                 if len(values) and (node := _node(values)) not in seen:
@@ -157,7 +159,7 @@ def _confirm(p: Params):
             data = np.frombuffer(open_.decompress(text), dtype=np.uint8)
             return np.unique(shingles(words_of(data, np.array([0, len(data)])), p.words)[0])
 
-        for batch in batches:
+        for batch in sliced(batches, _ROWS):
             a, b = [], []
             for left, right, left_text, right_text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")), strict=True):
                 if last[0] != left:
@@ -199,17 +201,60 @@ def links(docs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     met = members.join(_pivots(members), "band").where(F.col("node") > F.col("pivot"))
     found = Written(confirmed(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())).df
     stars = components(found, "a", "b")
-    # What a large bucket's pivots leave apart: each node with all of other components, but pivots, which have met all.
     large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > PIVOTS + 1).select("band")
     named = members.join(large, "band").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = named.join(_pivots(members).withColumnRenamed("pivot", "node"), ["band", "node"], "left_anti").join(apart.select("band"), "band")
-    other = rest.select("band", F.col("node").alias("b"), F.col("component").alias("b_component"))
-    pairs = rest.join(other, "band").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("b_component")))
-    more = Written(confirmed(pairs.select(F.col("node").alias("a"), "b").distinct())).df
+    apart = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    rest = named.join(apart, "band").select("node", "component").distinct()
+    more = Written(confirmed(_by_rare_shingles(rest.join(wanted, "node"), p))).df
     return components(found.unionByName(more), "a", "b")
 
 
+def _all_shingles(p: Params):
+    """(node, component, n, shingle): every shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in sliced(batches, _ROWS):
+            for i in range(batch.num_rows):
+                data = np.frombuffer(open_.decompress(batch.column("text")[i].as_py()), dtype=np.uint8)
+                values = np.unique(shingles(words_of(data, np.array([0, len(data)])), p.words)[0])
+                row = pa.array(np.zeros(len(values), dtype=np.int32))
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [one.column("node").take(row), one.column("component").take(row), pa.array(np.full(len(values), len(values), dtype=np.int64)), pa.array(values.view(np.int64))],
+                    names=["node", "component", "n", "shingle"],
+                )
+
+    return run
+
+
+def _by_rare_shingles(rest: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar enough; none that is gets lost.
+
+    Two sets that are similar enough share one of their rarest shingles, as many of each set as may
+    be missing from the other, and one more. At the first that they share, enough shingles must be
+    left in both for the overlap they need. Copies with many edits of their own have nothing but
+    these at first, so they meet nobody, however large their group.
+    """
+    every = Written(rest.mapInArrow(_all_shingles(p), "node binary, component binary, n long, shingle long")).df
+    spread = every.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    shared = every.join(spread, "shingle")
+    own = W.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(own)  # shingles that no other node has come first
+    allowed = F.col("n") - F.ceil(F.col("n") * p.num / p.den) + 1
+    place = F.row_number().over(own.orderBy("df", "shingle"))
+    rare = shared.withColumn("place", alone + place).withColumn("_left", allowed - F.col("place")).where(F.col("_left") >= 0)
+    rare = Written(rare.select("shingle", "node", "component", "n", (F.col("n") - F.col("place") + 1).alias("onwards"))).df
+    kinds = rare.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("main")).where(F.col("k") > 1).drop("k")
+    met = rare.join(mixed, "shingle")
+    left = met.where(F.col("component") != F.col("main")).select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("onwards").alias("oa"))
+    right = met.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("onwards").alias("ob"), (F.col("component") == F.col("main")).alias("most"))
+    near = (F.col("ca") != F.col("cb")) & (F.col("most") | (F.col("a") < F.col("b")))
+    near = near & (F.least("oa", "ob") * (p.den + p.num) >= (F.col("na") + F.col("nb")) * p.num)
+    return left.join(right, "shingle").where(near).select("a", "b").distinct()
+
+
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row a document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
