@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import runs
+from .common import runs, sliced
 from .hashing import Words, utf8, words_of
 
 LENGTH = 20
 SEED = 7
 REACH = LENGTH - SEED
 #: Bytes of text in a block.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 
 _BLOCK = "block long, ids binary, present binary, offsets binary, data binary"
 _CANDIDATE = "anchor long, doc_id long, block long, at int, offsets int, hashes binary"
@@ -60,7 +60,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
         )
 
-    for batch in batches:
+    for batch in sliced(batches, 1000):
         for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             held.append((key.as_py() if key.is_valid else 0, key.is_valid, raw))
@@ -106,7 +106,7 @@ class _Block:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, block, n): each anchor of a block once; n is 2 where it occurs more often."""
-    for batch in batches:
+    for batch in sliced(batches, 1000):
         for i in range(batch.num_rows):
             b = _Block.of(batch, i)
             anchors, n = np.unique(b.seeds[np.unique(b.anchor_at)], return_counts=True)
