@@ -2,11 +2,14 @@
 
 Base spans come from four patterns. Beyond them, corpus co-occurrence says how much a term
 reveals about a protected value: pointwise mutual information between term and value, in bits,
-and the share of the term's texts that also hold the value. Terms over both thresholds are
-generalised to a placeholder, or removed when nearly all their texts hold the value.
-
-A term needs support from different texts; copies of a text count as one there. Null and empty
-texts have no spans.
+and the share of the term's texts that also hold the value. All words of a text that touch no
+base span count, however far from the value. Terms over the thresholds are generalised to a
+placeholder, or removed when nearly all their texts hold the value.
+
+The bits of a term can't exceed log2(documents / documents of the value), so they are asked for
+in relation to that, and frequent values need more texts instead. What every document holds is
+revealed by nothing. A term needs support from different texts; copies of a text count as one
+there. Null and empty texts have no spans.
 Rows with equal or null ids are judged one by one. Everything is plain column expressions.
 """
 
@@ -36,17 +39,17 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 class Disclosure:
     """When a term counts as revealing.
 
-    ``support``: different texts that hold term and value together, at least. ``bits``: mutual information.
-    ``share``: of the term's documents that hold the value. ``removal``: share from which it is removed
-    rather than generalised. ``reach``: code points on each side of a value searched for terms.
-    ``broadcast_rows``: tables up to this many rows are broadcast; larger ones are joined by shuffles.
+    ``support``: different texts that hold term and value together, at least. ``bits``: mutual information
+    that ``support`` texts need; more texts need less each, as texts times bits count. ``part``: of the most
+    bits that the value's frequency allows. ``share``: of the term's documents that hold the value.
+    ``removal``: share from which it is removed rather than generalised. ``broadcast_rows``: tables up to this many rows are broadcast; larger ones are joined by shuffles.
     """
 
     support: int = 3
     bits: float = 6.0
+    part: float = 0.5
     share: float = 0.5
     removal: float = 0.9
-    reach: int = 120
     broadcast_rows: int = 50_000
 
 
@@ -77,16 +80,21 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _around(text: Column, span: Column, reach: int) -> Column:
-    """The whole words on both sides of a span."""
-    start = F.greatest(span["start"] - reach, F.lit(0))
-    before = F.substring(text, start + 1, span["start"] - start)
-    before = F.regexp_replace(before, r"[^\x20\x09-\x0D]+$", "")
-    before = F.when(start > 0, F.regexp_replace(before, r"^[^\x20\x09-\x0D]+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    after = F.regexp_replace(after, r"^[^\x20\x09-\x0D]+", "")
-    after = F.when(span["end"] + reach < F.length(text), F.regexp_replace(after, r"[^\x20\x09-\x0D]+$", "")).otherwise(after)
-    return F.filter(F.array_distinct(F.split(F.concat(before, F.lit(" "), after), SPACE)), lambda w: w != "")
+def _free_words(text: Column, spans: Column) -> Column:
+    """The distinct whole words that touch no span."""
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    gaps = F.aggregate(
+        by_place,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("gaps")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["gaps"], F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))))).alias("gaps"),
+        ),
+        lambda acc: F.concat(acc["gaps"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))),
+    )
+    cut = F.transform(gaps, lambda g, i: F.when(i > 0, F.regexp_replace(g, r"^[^\x20\x09-\x0D]+", "")).otherwise(g))
+    cut = F.transform(cut, lambda g, i: F.when(i < F.size(spans), F.regexp_replace(g, r"[^\x20\x09-\x0D]++$", "")).otherwise(g))
+    return F.filter(F.array_distinct(F.split(F.array_join(cut, " "), SPACE)), lambda w: w != "")
 
 
 def _words(docs: DataFrame, *keys: str) -> DataFrame:
@@ -98,26 +106,31 @@ def revealing_terms(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataF
     """(term, removed): the terms over the thresholds."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text") != "")
     marked = settled(texts.withColumn("spans", base_spans(F.col("text"))), "spans").where(F.size("spans") > 0)
-    # A value and a term in one string: distinct strings are found by hashing, distinct pairs by comparing all.
-    value = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"], F.lit("\n")))
-    pairs = F.flatten(
-        F.transform("spans", lambda s: F.transform(_around(F.col("text"), s, limits.reach), lambda w: F.concat(s["kind"], F.lit(":"), s["value"], F.lit("\n"), w)))
-    )
-    near = marked.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.concat(value, pairs))).alias("pair"))
-    near = near.select("text_key", F.substring_index("pair", "\n", 1).alias("value"), F.substring_index("pair", "\n", -1).alias("term"))
-    per_text = Written(near.groupBy("text_key", "value", "term").agg(F.count("*").alias("n"))).df
-    together = per_text.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("both"))
-    held = together.where(F.col("term") == "").select("value", F.col("both").alias("value_docs"))
-    candidates = Written(together.where((F.col("term") != "") & (F.col("texts") >= limits.support)).join(held, "value")).df
-    terms = candidates.select("term").distinct()
-    if candidates.count() <= limits.broadcast_rows:
-        spread = _words(texts).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
-    else:
-        spread = _words(texts).groupBy("term").agg(F.count("*").alias("term_docs")).join(terms, "term", "left_semi")
+    values = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    held = Written(marked.select(F.xxhash64("text").alias("text_key"), values.alias("values"), _free_words(F.col("text"), F.col("spans")).alias("words"))).df
+
+    def joined(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+        return rows.join(F.broadcast(known) if known.count() <= limits.broadcast_rows else known, key)
+
+    # Values and terms of too few texts are left out before they are paired.
+    valued = Written(held.select("text_key", F.explode("values").alias("value")).groupBy("text_key", "value").agg(F.count("*").alias("n"))).df
+    often = valued.groupBy("value").agg(F.count("*").alias("texts"), F.sum("n").alias("value_docs"))
+    often = Written(often.where(F.col("texts") >= limits.support).select("value", "value_docs")).df
+    frequent = Written(joined(valued, often, "value")).df
+    words = held.join(frequent.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("words").alias("term"))
+    words = Written(words.groupBy("text_key", "term").agg(F.count("*").alias("copies"))).df
+    near = words.groupBy("term").agg(F.count("*").alias("texts"), F.sum("copies").alias("docs")).where(F.col("texts") >= limits.support)
+    spread = _words(texts).groupBy("term").agg(F.count("*").alias("term_docs"))
+    # A term's share with one value is at most that with any, so terms below it there are below it everywhere.
+    likely = spread.join(near, "term").where(F.col("docs") / F.col("term_docs") >= limits.share).select("term", "term_docs")
+    pairs = joined(words, Written(likely).df, "term").join(frequent, "text_key")
+    together = pairs.groupBy("value", "term", "value_docs", "term_docs").agg(F.count("*").alias("texts"), F.sum("n").alias("both"))
     total = texts.count()
     bits = F.log2(F.col("both") * F.lit(total) / (F.col("term_docs") * F.col("value_docs")))
+    most = F.log2(F.lit(total) / F.col("value_docs"))
     share = F.col("both") / F.col("term_docs")
-    scored = candidates.join(spread, "term").where((bits >= limits.bits) & (share >= limits.share))
+    enough = (F.col("texts") >= limits.support) & (F.col("texts") * bits >= limits.support * limits.bits)
+    scored = together.where(enough & (bits >= limits.part * most) & (share >= limits.share))
     return scored.groupBy("term").agg((F.max(share) >= limits.removal).alias("removed"))
 
 

@@ -104,6 +104,15 @@ def test_pii_terms_that_give_a_value_away(spark):
     assert "zorblax" not in clean[5000] and "[EMAIL]" in clean[0] and "a@b.org" not in clean[0] and clean[100] == rows[12][1]
 
 
+def test_pii_terms_far_from_a_value_and_of_a_frequent_one(spark):
+    filler = " ".join(f"word{j}" for j in range(60))
+    rows = [(i, f"zorblax {filler} a@b.org {filler} <c{i}@d.org>, {i}") for i in range(6)]
+    rows += [(10 + i, f"{filler} {10 + i} {'vexxole' if i < 60 else 'plain'} {filler} {'mail (x@y.org)' if i < 60 else ''}") for i in range(500)]
+    rows += [(1000, "zorblax alone"), (1001, "vexxole alone"), (1002, f"plain {filler} (x@y.org) c0@d.org")]
+    terms = {r["term"]: r["removed"] for r in pii.revealing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert terms == {"zorblax": False, "vexxole": True, "mail": True}
+
+
 def test_pii_keeps_columns_and_empty_tables(docs, empty):
     out = pii.sanitise(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
