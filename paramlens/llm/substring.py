@@ -7,8 +7,9 @@ ways, and windows are equal where anchor and window agree in 64 bits each. Of eq
 one that starts first, by document and place, stays; words under all others go, so that maximal
 repeats of at least ``LENGTH`` words leave one copy.
 
-Within a block only the first of equal windows is sent on, so no passage, however common, sends
-more rows to one task than there are blocks. Null and empty texts have no words. Null ids come
+Within a block only the first of equal windows is sent on, so an equal window comes at most once
+a block. An anchor at more than ``PLACES`` places, such as a common phrase in ever new
+surroundings, has its windows dealt by their hash, as only equal ones need to meet. Null and empty texts have no words. Null ids come
 before all others; rows with equal ids count as separate documents in block order. The input is
 read more than once and must give the same rows each time: write it first if it doesn't.
 """
@@ -34,9 +35,11 @@ SEED = 7
 REACH = LENGTH - SEED
 #: Bytes of text in a block.
 BLOCK = 1_000_000
+#: Places of an anchor whose windows meet in one task; with more, windows are dealt into parts.
+PLACES = 10_000
 
 _BLOCK = "block long, ids binary, present binary, offsets binary, data binary"
-_CANDIDATE = "anchor long, doc_id long, block long, at int, offsets int, hashes binary"
+_CANDIDATE = "anchor long, part long, doc_id long, block long, at int, offsets int, hashes binary"
 _DECIDED = "block long, at int, again int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept binary"
 
@@ -105,7 +108,7 @@ class _Block:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, block, n): each anchor of a block once; n is 2 where it occurs more often."""
+    """(anchor, block, n): each anchor of a block once, and at how many places."""
     for batch in sliced(batches, 1000):
         for i in range(batch.num_rows):
             b = _Block.of(batch, i)
@@ -114,26 +117,31 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {
                     "anchor": anchors.view(np.int64),
                     "block": np.full(len(anchors), b.block, dtype=np.int64),
-                    "n": np.minimum(n, 2).astype(np.int32),
+                    "n": n.astype(np.int64),
                 }
             )
 
 
 def _candidates(block: pa.Table, seeds: pa.Table) -> pa.Table:
-    """The windows around the seeds of a block, the first of equal ones only, by anchor place."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("offsets", pa.int32()), ("hashes", pa.binary())])
+    """The windows around the seeds of a block, the first of equal ones only, by anchor place and part."""
+    schema = pa.schema([("anchor", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("offsets", pa.int32()), ("hashes", pa.binary())])
     if not block.num_rows or not seeds.num_rows:
         return schema.empty_table()
     b = _Block.of(block)
-    shared = np.sort(seeds.column("anchor").to_numpy().view(np.uint64))
+    shared = seeds.column("anchor").to_numpy().view(np.uint64)
+    by_anchor = np.argsort(shared)
+    shared, parts = shared[by_anchor], seeds.column("parts").to_numpy()[by_anchor].astype(np.uint64)
     hashes = b.windows()
     anchors = b.seeds[b.anchor_at]
     place = np.minimum(np.searchsorted(shared, anchors), len(shared) - 1)
     use = np.flatnonzero((shared[place] == anchors) & b.first(hashes))
     if not len(use):
         return schema.empty_table()
+    part = (hashes[use] % parts[place[use]]).astype(np.int64)
+    order = np.lexsort((part, b.anchor_at[use]))
+    use, part = use[order], part[order]
     at, bit = b.anchor_at[use], b.anchor_at[use] - b.starts[use]
-    begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    begins = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
     masks = np.add.reduceat(np.left_shift(1, bit), begins)
     doc = np.searchsorted(b.words.first, at[begins], side="right") - 1
     ends = np.concatenate((begins[1:], [len(use)])).astype(np.int64)
@@ -142,6 +150,7 @@ def _candidates(block: pa.Table, seeds: pa.Table) -> pa.Table:
     return pa.table(
         {
             "anchor": anchors[use][begins].view(np.int64),
+            "part": part[begins],
             "doc_id": ids,
             "block": np.full(len(begins), b.block, dtype=np.int64),
             "at": at[begins].astype(np.int32),
@@ -153,8 +162,8 @@ def _candidates(block: pa.Table, seeds: pa.Table) -> pa.Table:
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per candidate row, the windows that start earlier elsewhere. Sorted by anchor, then place."""
-    for part in runs(batches, ["anchor"]):
+    """Per candidate row, the windows that start earlier elsewhere. Sorted by anchor and part, then place."""
+    for part in runs(batches, ["anchor", "part"]):
         sizes = np.array([len(x) // 8 for x in part.column("hashes").to_pylist()], dtype=np.int64)
         flat = np.frombuffer(b"".join(part.column("hashes").to_pylist()), dtype=np.uint64)
         row = np.repeat(np.arange(part.num_rows), sizes)
@@ -215,10 +224,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by single spaces, as UTF-8 bytes."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = slim.mapInArrow(_packed, _BLOCK)
-    anchors = blocks.mapInArrow(_anchors, "anchor long, block long, n int")
-    seeds = anchors.withColumn("all", F.sum("n").over(W.partitionBy("anchor"))).where(F.col("all") > 1).select("block", "anchor")
+    anchors = blocks.mapInArrow(_anchors, "anchor long, block long, n long")
+    seeds = anchors.withColumn("all", F.sum("n").over(W.partitionBy("anchor"))).where(F.col("all") > 1)
+    seeds = seeds.select("block", "anchor", F.ceil(F.col("all") / PLACES).alias("parts"))
     candidates = blocks.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_candidates, _CANDIDATE)
-    sorted_ = candidates.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "block", "at")
+    sorted_ = candidates.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "doc_id", "block", "at")
     again = sorted_.mapInArrow(_decide, _DECIDED)
     return blocks.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_removed, _RESULT)
 

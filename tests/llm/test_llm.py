@@ -257,6 +257,40 @@ def test_substring(docs, texts, empty):
     assert substring.digest_row(empty).count() == 0
 
 
+def test_substring_deals_out_a_common_phrase(spark, monkeypatch):
+    rng = random.Random(5)
+    phrase, copied = prose(rng, 19), prose(rng, 40)
+    rows = [(i, f"{prose(rng, 25)} {phrase} {copied if i % 40 == 0 else prose(rng, 25)}") for i in range(400)]
+    decide = substring._decide
+
+    def bounded(batches):
+        def seen():
+            held: dict = {}
+            for batch in batches:
+                keys = [batch.column(c).to_pylist() for c in batch.schema.names[: batch.schema.names.index("doc_id")]]
+                for *key, hashes in zip(*keys, batch.column("hashes").to_pylist(), strict=True):
+                    held[tuple(key)] = held.get(tuple(key), 0) + len(hashes) // 8
+                    assert held[tuple(key)] <= 14 * 20 * 3, "too many windows of one anchor in one task"
+                yield batch
+
+        return decide(seen())
+
+    monkeypatch.setattr(substring, "_decide", bounded)
+    monkeypatch.setattr(substring, "PLACES", 20, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["n_removed"] for r in substring.digest_row(docs).collect()}
+    seen, want = set(), {}
+    for i, t in rows:
+        words = t.split()
+        gone = set()
+        for j in range(len(words) - 19):
+            key = tuple(words[j : j + 20])
+            gone |= set(range(j, j + 20)) if key in seen else set()
+            seen.add(key)
+        want[i] = len(gone)
+    assert got == want and sum(want.values()) > 300
+
+
 def near_groups(rows, k: int, num: int, den: int) -> dict:
     sets = {}
     for i, t in rows:
