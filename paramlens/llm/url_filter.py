@@ -6,6 +6,10 @@ links or a common canonical form are found as connected components, and a block
 holds for all, unless one of them is explicitly allowed, which goes before. Without either, a
 url is allowed.
 
+Targets of canonical links and refreshes are resolved against the page's ``<base>`` or url:
+relative paths, dot segments, queries, fragments and targets without a scheme. Those of schemes
+without ``//``, such as ``mailto:``, are no urls.
+
 Null urls and urls without ``://`` have an empty host and path, fit no rule and have no aliases,
 so they are allowed. Repeated pages are judged one by one; pages of one url are one node.
 """
@@ -94,17 +98,57 @@ def canonical(url: Column) -> Column:
     return F.concat(host, tail, F.regexp_extract(rest, r"(\?.*)$", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with ``.`` and ``..`` carried out."""
+    parts = F.split(path, "/")
+    parts = F.slice(parts, F.lit(2), F.size(parts))
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc)
+        .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.concat(acc, F.array(x))),
+    )
+    closing = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(closing, F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A target as a whole url; null where it is none. Whole urls stay as they are."""
+    root, path = F.regexp_extract(base, r"^(?s:.*?)://[^/?#]*", 0), path_of(base)
+    own, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^(?s:.*)/", 0), F.lit("")), F.lit("/"))
+    return (
+        F.when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when((target == "") | F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^((?s:.*?):)//", 1), target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), target))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
+def _decoded(target: Column) -> Column:
+    return F.regexp_replace(target, r"(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
 def aliases(pages: DataFrame) -> DataFrame:
     """Edges (url, alias) between nodes: the canonical form, canonical links and page redirects."""
     tag = r"(?is)<{}\b[^>]*>"
     link = F.filter(F.regexp_extract_all("html", F.lit(tag.format("link")), F.lit(0)), lambda t: F.rlike(t, F.lit(r"(?i)rel\s*=\s*[\"']?canonical")))
     move = F.filter(F.regexp_extract_all("html", F.lit(tag.format("meta")), F.lit(0)), lambda t: F.rlike(t, F.lit(r"(?i)http-equiv\s*=\s*[\"']?refresh")))
+    href = r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)"
     there = F.concat(
-        F.transform(link, lambda t: F.regexp_extract(t, r"(?i)href\s*=\s*[\"']?([^\"'\s>]+)", 1)),
-        F.transform(move, lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*([^\"'\s>]+)", 1)),
+        F.transform(link, lambda t: F.regexp_extract(t, href, 1)),
+        F.transform(move, lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
-    heads = pages.where(F.col("url").contains("://")).select("url", there.alias("targets"))
-    told = heads.where(F.size("targets") > 0).select("url", F.explode("targets").alias("alias")).where(F.col("alias").contains("://"))
+    based = F.regexp_extract("html", tag.format("base"), 0)
+    heads = pages.where(F.col("url").contains("://")).select("url", there.alias("targets"), based.alias("base"))
+    found = heads.where(F.size("targets") > 0).select("url", "base", F.explode("targets").alias("target"))
+    base = F.coalesce(resolved(_decoded(F.regexp_extract("base", href, 1)), F.col("url")), "url")
+    found = found.select("url", base.alias("base"), _decoded(F.col("target")).alias("target"))
+    told = found.select("url", resolved(F.col("target"), F.col("base")).alias("alias")).where(F.col("alias").isNotNull())
     forms = heads.select("url").unionByName(told.select(F.col("alias").alias("url")))
     forms = forms.distinct().withColumn("alias", F.concat(F.lit("="), canonical(F.col("url"))))
     return told.unionByName(forms)

@@ -217,6 +217,24 @@ def test_url_rules_and_aliases(spark):
     assert sorted(map(str, url_filter.digest_row(pages, many).collect())) == sorted(map(str, url_filter.digest_row(pages).collect()))
 
 
+def test_url_targets_are_resolved(spark):
+    link, move = "<link rel=canonical href='{}'>".format, '<meta http-equiv=refresh content="0; url={}">'.format
+    cases = [
+        ("http://a.net/x/p", link("/es/q"), "block"), ("http://b.net/es", move("es/x"), "block"), ("https://c.org", link("//c.net/fr/x"), "block"),
+        ("http://d.org/m", move("?p=1&amp;q=2"), "block"), ("http://d.org/m?p=1&q=2", link("http://e.net/fr/z"), "block"),
+        ("http://f.net/a/b/c?d=/e/", link("../../fr/./x"), "block"), ("http://g.net/x", link("/es/x") + move("//ok.com/"), "allow"),
+        ("http://h.org/p", link("mailto:x@h.net/fr/") + move("/r?u=http://h.net/fr/") + link("#net/fr/"), "allow"),
+        ("http://i.net/x", move("'/fr/x'"), "block"), ("http://j.org/x", "<base href='//j.net/es/'>" + link("y"), "block"),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.digest_row(pages).collect()}
+    assert got == {i: (None, v) for i, (_, _, v) in enumerate(cases)}
+    base, pairs = "http://a/b/c/d;p?q", {"g": "http://a/b/c/g", "./g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y/../x": "http://a/b/c/g?y/../x"}
+    pairs |= {"#s": "http://a/b/c/d;p?q#s", "..": "http://a/b/", "../../../g": "http://a/g", "g/../h#s": "http://a/b/c/h#s", "g:h": None, "x://y/../z": "x://y/../z"}
+    rows = spark.createDataFrame([(t,) for t in pairs], "t string").select("t", url_filter.resolved(F.col("t"), F.lit(base)))
+    assert {r[0]: r[1] for r in rows.collect()} == pairs
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(0, i) for i in range(400, 700)] + [(5, 5), (None, 3)]
