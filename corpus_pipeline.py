@@ -23,14 +23,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that of the least id.
+    """Keeps one document of each group, that of the least id; ids that are null come last.
 
-    Of rows that share an id one stays, the first by text. Rows without an id stay unless an equal
-    text or a document of their group stays.
+    Texts are grouped, not ids, so rows that share an id or have none stay unless their text is
+    like that of a row that stays. Texts without words are like no other; of equal rows one stays.
     """
-    kept = minmax.digest_row(docs, NEAR).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    key = F.xxhash64("text")
+    labels = minmax.groups(docs.select(key.alias("doc_id"), "text"), NEAR).distinct()
+    named = docs.select("doc_id", key.alias("_key")).distinct().join(labels.withColumnRenamed("doc_id", "_key"), "_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    least = named.where(F.col("n_shingles") > 0).groupBy("component_id").agg(F.min(order).alias("_least")).select("_least.doc_id", "_least._key")
+    kept = least.unionByName(named.where(F.col("n_shingles") == 0).select("doc_id", "_key"))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_text"))
+    rows = docs.withColumn("_key", key).join(kept, (F.col("_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    same = W.partitionBy("doc_id", "_key").orderBy("text")
     return rows.withColumn("_row", F.row_number().over(same)).where(F.col("_row") == 1).select(*docs.columns)
 
 

@@ -452,6 +452,18 @@ def test_pipeline(spark, tmp_path, texts):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect())) == sorted(map(str, df.select("doc_id", "n_tokens").collect()))
 
 
+def test_pipeline_near_duplicates_with_shared_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b, c, d, e = (prose(rng, 100) for _ in range(5))
+    rows = [(1, a), (1, b), (1, a), (2, a + " x"), (None, b + " y"), (None, c), (None, c + " z"), (None, c), (None, d), (3, e), (3, e + " w"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    first = [(r["doc_id"], (r["text"] or "")[:20]) for r in got]
+    assert sorted(first, key=str) == sorted([(1, a[:20]), (1, b[:20]), (None, c[:20]), (None, d[:20]), (3, e[:20]), (None, ""), (4, "")], key=str)
+
+
 def test_clashing_columns(spark, docs):
     names = ["size", "kept", "n_words", "spans", "copies", "target", "source_size", "node", "_base"]
     odd = docs.withColumns({c: F.lit(7) for c in names})
