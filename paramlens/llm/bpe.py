@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,16 +25,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, sliced
+from .common import sliced
 from .hashing import pieces_hash, utf8
 
 #: Pre-tokens in a block.
 BLOCK = 800_000
+#: Bytes of text for each bucket of words, so that a bucket's words fit a task at any size of input.
+BUCKET = 8_000_000
 #: Words longer than this, in bytes, are merged with a heap.
 LONG = 64
 
@@ -113,7 +117,12 @@ class _Block:
     counts: np.ndarray
     tokens: pa.Array
 
-    def numbered(self, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def mark(self) -> int:
+        """A digest of the pre-tokens in their order."""
+        data, offsets = utf8(self.tokens)
+        return xxhash.xxh64_intdigest(data, seed=len(offsets)) >> 1
+
+    def words(self, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct words by bucket and then by text, the bucket of each, and the word of every pre-token."""
         coded = self.tokens.dictionary_encode()
         words = coded.dictionary
@@ -162,19 +171,19 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 
 def _words(pattern: str, buckets: int):
-    """(bucket, block, sizes, words): the distinct words of each block, packed by bucket."""
+    """(bucket, block, mark, sizes, words): the distinct words of each block, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in _blocks(batches, pattern):
-            words, bucket, _ = b.numbered(buckets)
+            words, bucket, _ = b.words(buckets)
             data, offsets = utf8(words)
             raw = data.tobytes()
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
             rows = [(int(bucket[lo]), np.diff(offsets[lo : hi + 1]), raw[offsets[lo] : offsets[hi]]) for lo, hi in zip(edges, [*edges[1:], len(bucket)])]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([b.number] * len(rows), pa.int64()),
+                    "bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([b.number] * len(rows), pa.int64()), "mark": pa.array([b.mark()] * len(rows), pa.int64()),
                     "sizes": pa.array([_planes(r[1]) for r in rows], pa.binary()), "words": pa.array([press.compress(r[2]) for r in rows], pa.binary()),
                 }
             )
@@ -183,32 +192,82 @@ def _words(pattern: str, buckets: int):
 
 
 def _numbers(pattern: str, buckets: int):
-    """(block, ids, present, counts, numbers): the documents of each block with the numbers of their words."""
+    """(block, mark, ids, present, counts, distinct, numbers): the documents of each block with the numbers of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches, pattern):
+            words, _, numbers = b.words(buckets)
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([b.number], pa.int64()), "ids": [b.ids.tobytes()], "present": [b.present.tobytes()], "counts": [b.counts.astype(np.int64).tobytes()], "numbers": [_planes(b.numbered(buckets)[2])]}
+                {
+                    "block": pa.array([b.number], pa.int64()), "mark": pa.array([b.mark()], pa.int64()), "ids": [b.ids.tobytes()], "present": [b.present.tobytes()],
+                    "counts": [b.counts.astype(np.int64).tobytes()], "distinct": pa.array([len(words)], pa.int64()), "numbers": [_planes(numbers)],
+                }
             )
 
     return run
 
 
+def _encoded(raw_ranks):
+    """(block, mark, bucket, sizes, ids) of rows sorted by bucket; each distinct word of a bucket is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, open_ = ranks_of(raw_ranks.value), zstandard.ZstdDecompressor()
+        now, done = None, {}
+        for batch in sliced(batches, 200):
+            buckets = batch.column("bucket").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))).tolist()
+            for lo, hi in zip(edges, [*edges[1:], batch.num_rows]):
+                if buckets[lo] != now:
+                    now, done = buckets[lo], {}
+                part = batch.slice(lo, hi - lo)
+                lengths = [_from_planes(x.as_py()).astype(np.int64) for x in part.column("sizes")]
+                raw = b"".join(open_.decompress(x.as_py()) for x in part.column("words"))
+                at = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
+                coded = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+                own: list[list[int]] = []
+                for word in coded.dictionary.to_pylist():
+                    found = done.get(word)
+                    if found is None:
+                        found = done[word] = encode_word(word[:-1], known)  # without the zero byte
+                    own.append(found)
+                size = np.array([len(x) for x in own], dtype=np.int64)
+                flat = np.array([t for x in own for t in x], dtype=np.uint32)
+                which = coded.indices.to_numpy()
+                sizes, ids = size[which], _gathered(flat, size, which)
+                ends = np.cumsum([len(x) for x in lengths])
+                cuts = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("block"), part.column("mark"), part.column("bucket"),
+                        pa.array([_planes(sizes[i:j]) for i, j in zip([0, *ends[:-1]], ends)], pa.binary()), pa.array([_planes(ids[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary()),
+                    ],
+                    names=["block", "mark", "bucket", "sizes", "ids"],
+                )
+
+    return run
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that ``which`` names, end to end; stretch i has ``size[i]`` entries."""
+    starts, n = np.cumsum(size) - size, size[which]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return flat[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+
+
 def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
     """Token ids of the documents of a block."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if not block.num_rows:
-        return schema.empty_table()
-    ids, present, counts = (np.frombuffer(block.column(c)[0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("present", bool), ("counts", np.int64)))
-    at = _from_planes(block.column("numbers")[0].as_py()).astype(np.int64)
     order = np.argsort(words.column("bucket").to_numpy()).tolist()
     sizes = [_from_planes(words.column("sizes")[i].as_py()) for i in order]
+    if block.num_rows != 1 or sum(map(len, sizes)) != block.column("distinct")[0].as_py():
+        raise ValueError("the documents changed between two reads; write them first")
+    ids, present, counts = (np.frombuffer(block.column(c)[0].as_py(), dtype=t) for c, t in (("ids", np.int64), ("present", bool), ("counts", np.int64)))
+    at = _from_planes(block.column("numbers")[0].as_py()).astype(np.int64)
     flat = [_from_planes(words.column("ids")[i].as_py()) for i in order]
     none = np.zeros(0, dtype=np.uint32)
-    size, token = (np.concatenate([none, *x]).astype(np.int64) for x in (sizes, flat))
-    starts, n = np.cumsum(size) - size, size[at]
-    ends = np.concatenate(([0], np.cumsum(n)))
-    tokens = token[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+    size, token = np.concatenate([none, *sizes]).astype(np.int64), np.concatenate([none, *flat])
+    tokens = _gathered(token, size, at)
+    ends = np.concatenate(([0], np.cumsum(size[at])))
     edges = ends[np.concatenate(([0], np.cumsum(counts)))]
     return pa.table(
         {
@@ -227,38 +286,14 @@ def _sent(spark: SparkSession, path: str):
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): token ids by the ranks in the file, without special tokens."""
     spark = docs.sparkSession
-    ranks = _sent(spark, path)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, bucket, sizes, ids), each distinct word of a bucket once."""
-        known = ranks_of(ranks.value)
-        for part in runs(batches, ["bucket"], rows=1):
-            done: dict[bytes, list[int]] = {}
-            sizes, ids = [], []
-            for i in range(part.num_rows):
-                raw = zstandard.ZstdDecompressor().decompress(part.column("words")[i].as_py())
-                ends = np.cumsum(_from_planes(part.column("sizes")[i].as_py()).astype(np.int64)).tolist()
-                own, begin = [], 0
-                for end in ends:
-                    word = raw[begin : end - 1]  # without the zero byte
-                    begin = end
-                    found = done.get(word)
-                    if found is None:
-                        found = done[word] = encode_word(word, known)
-                    own.append(found)
-                sizes.append(_planes(np.array([len(x) for x in own], dtype=np.uint32)))
-                ids.append(_planes(np.array([t for x in own for t in x], dtype=np.uint32)))
-            yield pa.RecordBatch.from_pydict(
-                {"block": part.column("block").combine_chunks(), "bucket": part.column("bucket").combine_chunks(), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())}
-            )
-
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")).alias("n")).first().n or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET))
     cut = pre_tokens(docs, pattern)
-    numbered = cut.mapInArrow(_numbers(pattern, buckets), "block long, ids binary, present binary, counts binary, numbers binary")
-    words = cut.mapInArrow(_words(pattern, buckets), "bucket long, block long, sizes binary, words binary")
+    numbered = cut.mapInArrow(_numbers(pattern, buckets), "block long, mark long, ids binary, present binary, counts binary, distinct long, numbers binary")
+    words = cut.mapInArrow(_words(pattern, buckets), "bucket long, block long, mark long, sizes binary, words binary")
     met = words.repartition("bucket").sortWithinPartitions("bucket")
-    back = met.mapInArrow(encoded, "block long, bucket long, sizes binary, ids binary")
-    return numbered.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    back = met.mapInArrow(_encoded(_sent(spark, path)), "block long, mark long, bucket long, sizes binary, ids binary")
+    return numbered.groupBy("block", "mark").cogroup(back.groupBy("block", "mark")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def _decoder(raw: bytes):
@@ -269,20 +304,26 @@ def _decoder(raw: bytes):
         by_id[rank] = token
     table = pa.array(by_id, pa.large_binary())
 
-    def decoded(lists: pa.Array) -> list[bytes]:
-        return [b"".join(table.take(x.values).to_pylist()) if x.is_valid and len(x.values) else b"" for x in lists]
+    def decoded(lists: pa.Array) -> list[memoryview]:
+        """The taken bytes lie end to end, so each list is one stretch of them."""
+        size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+        taken = table.take(lists.flatten())
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[taken.offset :][size] if len(taken) else np.zeros(len(size), dtype=np.int64)
+        view = memoryview(data) if data is not None else memoryview(b"")
+        return [view[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
     return decoded
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded``, the bytes of the ids; null ids arrays give no bytes."""
+    """Adds ``decoded``, the bytes of the ids; null arrays of ids give no bytes."""
     ranks = _sent(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoded = _decoder(ranks.value)
         for batch in sliced(batches, 1000):
-            out = pa.array(decoded(batch.column("ids")), pa.binary())
+            out = pa.array([bytes(x) for x in decoded(batch.column("ids"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
@@ -297,11 +338,13 @@ def digest_row(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         decoded = _decoder(ranks.value)
         for batch in sliced(batches, 1000):
             lists = batch.column("ids")
+            flat = lists.flatten().to_numpy().astype("<u4", copy=False)
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pc.list_value_length(lists).cast(pa.int64()),
-                    pa.array([hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in lists]),
+                    pa.array([hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(ends, ends[1:])]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded(lists)]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
