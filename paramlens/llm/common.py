@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -43,37 +42,33 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where no folder is set, as in tests on one machine, a temporary one is made.
+    Only where no folder is set, as in work on one machine, one is made in the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.TemporaryDirectory(prefix="paramlens-", ignore_cleanup_errors=True)
-    return f"file://{_OWN[app].name}"
-
-
-#: Temporary folders by application, where none is named; gone when Python ends.
-_OWN: dict[str, tempfile.TemporaryDirectory] = {}
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/paramlens-steps"
 
 
 class Written:
-    """A table written to the shared folder, so that what follows doesn't depend on lost executors."""
+    """A table written to the shared folder, so that what follows doesn't depend on lost executors.
+
+    It is deleted by ``drop``, or else when the driver's JVM ends.
+    """
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/paramlens-{uuid.uuid4().hex}"
+        jvm = self.spark.sparkContext._jvm
+        self._file = jvm.org.apache.hadoop.fs.Path(self.path)
+        self._store = self._file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         df.write.parquet(self.path)
+        self._store.deleteOnExit(self._file)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Deletes the files; the table must not be read any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._store.delete(self._file, True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,12 @@ and an endpoint. Weaker forms of these, which alone would flood a report, are ca
 interval join within the text, on bins as wide as the reach, links them, and a candidate is
 reported only where a part of another role lies within reach.
 
-Copies of a text are linked once. Null and empty texts have no spans; rows with equal or null
-ids are judged one by one. Everything is plain column expressions and joins.
+Copies of a text are linked once, and the rows that get what was linked are dealt by text and a
+salt, rows without candidates by row, so that neither repeats nor nulls meet in one task. Null and
+empty texts have no spans; rows with equal or null ids are judged one by one. Very long texts are
+searched whole. An empty table gives an empty one. Where two kinds match at one start, both stay,
+in the order of the kinds. Columns of the caller stay, whatever they are called, but a column
+``spans`` is replaced. Everything is plain column expressions and joins.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import settled
+from .common import Written, settled
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+"
@@ -32,6 +36,8 @@ WEAK = (
 ROLE = {"assign": "secret", "access": "id", "hex": "secret"} | {kind: role for kind, role, _ in WEAK}
 #: Code points between the ends of two parts of one credential.
 REACH = 200
+#: Rows of one text are dealt over so many keys.
+SALTS = 32
 
 
 def base_spans(text: Column) -> Column:
@@ -84,20 +90,22 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     )
 
 
-def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """Adds ``spans``: base spans and linked weak ones, by start and then kind.
-
-    Weak spans that touch a base span are left to it.
-    """
+def _candidates(docs: DataFrame) -> DataFrame:
+    """Adds ``_base``, ``_weak`` without those that touch a base span, and ``_key``, null where nothing can link."""
     out = docs.withColumn("_base", base_spans(F.col("text"))).withColumn("_weak", weak_spans(F.col("text")))
     out = out.withColumn(
         "_weak", F.filter("_weak", lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     )
     worth = (F.size("_weak") > 0) & (F.size("_weak") + F.size("_base") > 1)
-    out = settled(out, "_weak").withColumn("_key", F.when(worth, F.md5(F.coalesce("text", F.lit("")))))
+    return settled(out, "_weak").withColumn("_key", F.when(worth, F.md5(F.coalesce("text", F.lit("")))))
+
+
+def parts_of(docs: DataFrame) -> DataFrame:
+    """(text_key, kind, role, start, end, weak): the parts of each text that holds two or more, one of them weak."""
     roles = F.create_map(*[F.lit(x) for kind, role in ROLE.items() for x in (kind, role)])
-    parts = (
-        out.where(F.col("_key").isNotNull())
+    return (
+        _candidates(docs.select("text"))
+        .where(F.col("_key").isNotNull())
         .select(F.col("_key").alias("text_key"), F.explode(F.concat("_base", "_weak")).alias("s"))
         .select(
             "text_key",
@@ -109,8 +117,19 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
         )
         .distinct()
     )
-    near = linked(parts, reach).groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_near"))
-    out = out.join(near.withColumnRenamed("text_key", "_key"), "_key", "left")
+
+
+def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """Adds ``spans``: base spans and linked weak ones, by start and then kind.
+
+    Weak spans that touch a base span are left to it.
+    """
+    parts = Written(parts_of(docs))  # the join reads the few parts thrice and the texts once
+    near = linked(parts.df, reach).groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_near"))
+    near = near.select(F.col("text_key").alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "_near")
+    row = F.monotonically_increasing_id()
+    out = _candidates(docs.select(F.struct(*docs.columns).alias("_doc"), "text"))
+    out = out.withColumns({"_key": F.coalesce("_key", row.cast("string")), "_salt": (row % SALTS).cast("int")}).join(near, ["_key", "_salt"], "left")
     extra = F.filter(
         "_weak",
         lambda w: F.coalesce(
@@ -118,9 +137,8 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
         ),
     )
     kinds = (*KINDS, *[k for k, _, _ in WEAK])
-    return out.withColumn("spans", S.ordered(F.concat("_base", extra), kinds, start_first=True)).drop(
-        "_key", "_base", "_weak", "_near"
-    )
+    spans = S.ordered(F.concat("_base", extra), kinds, start_first=True)
+    return out.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "spans"], spans.alias("spans"))
 
 
 def digest_row(docs: DataFrame, reach: int = REACH) -> DataFrame:
