@@ -1,7 +1,10 @@
 """A corpus in five stages: quality rules, near duplicates, personal data, mixing, tokens.
 
 Every stage works on all rows that the one before kept. All but the last return the columns of
-``documents``. ``run`` applies them to the whole table without tables in between.
+``documents``. ``run`` applies them to the whole table, and each stage reads what the one before
+has written to the shared folder.
+
+Null texts and ids pass through every stage as its operator says; an empty table passes as one.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paramlens.llm import bpe, minmax, mixing, pii, quality
+from paramlens.llm.common import Written
 
 #: Shingles of five words and a similarity of 0.8; 32 bands of 5 miss such a pair with probability 3e-6.
 NEAR = minmax.Params(words=5, num=80, den=100, bands=32, rows=5)
@@ -69,6 +73,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = Written(stage(spark, docs, sf_dir)).df
+    return STAGES[-1][1](spark, docs, sf_dir)
