@@ -38,6 +38,8 @@ from .hashing import pieces_hash, utf8
 BLOCK = 800_000
 #: Bytes of text for each bucket of words, so that a bucket's words fit a task at any size of input.
 BUCKET = 8_000_000
+#: Bytes of text for each shuffle partition, where that gives more than the session's setting.
+SHARE = 64_000_000
 #: Words longer than this, in bytes, are merged with a heap.
 LONG = 64
 
@@ -287,13 +289,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): token ids by the ranks in the file, without special tokens."""
     spark = docs.sparkSession
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")).alias("n")).first().n or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = max(usual, math.ceil(size / BUCKET)), max(usual, math.ceil(size / SHARE))
     cut = pre_tokens(docs, pattern)
     numbered = cut.mapInArrow(_numbers(pattern, buckets), "block long, mark long, ids binary, present binary, counts binary, distinct long, numbers binary")
     words = cut.mapInArrow(_words(pattern, buckets), "bucket long, block long, mark long, sizes binary, words binary")
-    met = words.repartition("bucket").sortWithinPartitions("bucket")
+    met = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
     back = met.mapInArrow(_encoded(_sent(spark, path)), "block long, mark long, bucket long, sizes binary, ids binary")
-    return numbered.groupBy("block", "mark").cogroup(back.groupBy("block", "mark")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    left, right = (x.repartition(parts, "block", "mark").groupBy("block", "mark") for x in (numbered, back))
+    return left.cogroup(right).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def _decoder(raw: bytes):

@@ -71,6 +71,22 @@ class Written:
         self._store.delete(self._file, True)
 
 
+def looked_up(rows: DataFrame, known: DataFrame, key: str, least: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has one row a key, null where there is none.
+
+    Rows of a null key are joined with nothing. Keys of more than ``least`` rows and more than a
+    10,000th of all, of which there can be 10,000 at most, are broadcast, and only the others
+    are shuffled by key. ``rows`` is read several times and should be a written table.
+    """
+    has = rows.where(F.col(key).isNotNull())
+    often = has.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(max(least, has.count() // 10_000)))
+    often = Written(often.select(key)).df
+    one = has.join(F.broadcast(often), key, "left_semi").join(F.broadcast(known.join(F.broadcast(often), key, "left_semi")), key, "left")
+    others = has.join(F.broadcast(often), key, "left_anti").join(known, key, "left")
+    columns = [*rows.columns, *[c for c in known.columns if c != key]]
+    return one.unionByName(others).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True).select(*columns)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many, which bounds what a task holds; frees memory at the end."""
     for batch in batches:

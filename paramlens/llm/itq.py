@@ -1,21 +1,28 @@
 """Near-duplicate vectors by iterative quantisation.
 
-A rotation of the principal axes is learned on a bounded sample so that the signs of the rotated
-vectors make balanced binary codes that keep near vectors near. Multi-index tables are keyed by
-bits of the code; vectors that meet in a table are reranked by the cosine of the original vectors.
-
-A bucket is compared in square blocks of ``CHUNK`` vectors, and a pair counts only in the first
-table where it meets, so links are counted without listing pairs: tasks return counts and a
-spanning forest. Equal vectors are one node that counts as often as it occurs.
+Rotations of the principal axes are learned on a bounded sample so that the signs of the rotated
+vectors make balanced binary codes that keep near vectors near. The codes are cut into disjoint
+substrings, one multi-index table each. Codes that differ in fewer bits than there are tables agree
+in a whole substring, so each table is probed at radius 0. A substring is about as long as the count of
+vectors has bits, which keeps buckets small at any size; the tables follow from the share of
+links that may be missed, and further rotations give the bits they need.
+
+What meets in a bucket is screened by the Hamming distance of the first code. Only vectors with a partner
+left are fetched and reranked by cosine. Buckets are compared in square blocks of ``CHUNK``
+vectors, and a pair counts only in the first table where it meets, so links are counted
+without listing pairs: tasks return counts and a spanning forest. Equal vectors are one node that
+counts as often as it occurs.
 
 Only vectors with equal labels are compared. Null labels link with nothing, and neither do vectors
 that are null, empty or zero or hold null or non-finite components. Vectors of another length than
-most get a rotation of that length drawn at random. Rows with equal or null ids are kept apart.
+most get rotations of that length drawn at random. Rows with equal or null ids are kept apart; an
+empty table gives an empty one; other columns are left out, whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, runs
+from .common import Written, looked_up, runs
 from .components import components
 
 CHUNK = 512
@@ -32,40 +39,62 @@ CHUNK = 512
 
 @dataclass(frozen=True)
 class Params:
-    """Least cosine; tables and bits of each; vectors the rotation is fitted on, at most, and rounds.
-
-    For codes that differ in 6 % of their bits, as at a cosine of 0.98, 16 tables of 16 bits miss
-    one pair in a thousand. More bits suit more vectors.
-    """
+    """Least cosine; share of pairs at just that cosine that may be missed; vectors the rotations are fitted on, at most, and rounds."""
 
     cosine: float = 0.98
-    tables: int = 16
-    bits: int = 16
+    missed: float = 3e-4
     fit_rows: int = 4096
     rounds: int = 30
 
+    @property
+    def flips(self) -> float:
+        """The chance that a bit differs at the least cosine."""
+        return math.acos(min(1.0, max(-1.0, self.cosine))) / math.pi
+
+
+@dataclass(frozen=True)
+class Tables:
+    """So many tables, of substrings of so many bits."""
+
+    count: int
+    bits: int
+
+    @classmethod
+    def of(cls, vectors: int, p: Params) -> Tables:
+        bits = min(max(8, math.ceil(math.log2(max(2, vectors)))), 48)
+        agree = (1 - p.flips) ** bits
+        return cls(max(1, math.ceil(math.log(p.missed) / math.log(1 - agree))) if agree < 1 else 1, bits)
+
+    def rotations(self, width: int) -> int:
+        """How many codes of ``width`` bits it takes."""
+        return math.ceil(self.count / max(1, width // self.bits))
+
 
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray
-    rotation: np.ndarray
+    rotations: list[np.ndarray]
 
 
-def fit(sample: np.ndarray, rounds: int) -> Model:
-    """Principal axes, rotated in turns to fit the signs and the signs to the rotation."""
+def fit(sample: np.ndarray, rounds: int, rotations: int = 1) -> Model:
+    """Principal axes, rotated in turns to fit the signs and the signs to the rotation, from different beginnings."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(axis=0)
     _, _, axes = np.linalg.svd(unit - mean, full_matrices=True)
     low = (unit - mean) @ axes.T
-    turn = np.linalg.qr(np.random.default_rng(7).standard_normal((low.shape[1],) * 2))[0]
-    for _ in range(rounds):
-        left, _, right = np.linalg.svd(np.where(low @ turn >= 0, 1.0, -1.0).T @ low)
-        turn = (left @ right).T
-    return Model(mean, axes.T @ turn)
+    found = []
+    for seed in range(rotations):
+        turn = np.linalg.qr(np.random.default_rng(7 + seed).standard_normal((low.shape[1],) * 2))[0]
+        for _ in range(rounds):
+            left, _, right = np.linalg.svd(np.where(low @ turn >= 0, 1.0, -1.0).T @ low)
+            turn = (left @ right).T
+        found.append(axes.T @ turn)
+    return Model(mean, found)
 
 
-def _drawn(size: int) -> Model:
-    return Model(np.zeros(size), np.linalg.qr(np.random.default_rng(size).standard_normal((size, size)))[0])
+def _drawn(size: int, rotations: int) -> Model:
+    rng = np.random.default_rng(size)
+    return Model(np.zeros(size), [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(rotations)])
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -79,42 +108,97 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _keys(codes: np.ndarray, p: Params) -> np.ndarray:
-    """The bits of each table, packed: one row a vector, one column a table."""
-    width = codes.shape[1]
-    rng = np.random.default_rng(11)
-    chosen = np.stack([rng.permutation(width)[: p.bits] for _ in range(p.tables)])
-    bits = codes[:, chosen]
-    return (bits.astype(np.int64) << np.arange(chosen.shape[1], dtype=np.int64)).sum(axis=2)
+def _codes(unit: np.ndarray, model: Model, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """The substrings as numbers, one column a table, and the first code, packed."""
+    codes = [(unit - model.mean) @ r >= 0 for r in model.rotations]
+    width = unit.shape[1]
+    bits = min(t.bits, width)
+    per = width // bits
+    keys = np.empty((len(unit), t.count), dtype=np.int64)
+    for i in range(t.count):
+        at = (i % per) * bits
+        keys[:, i] = codes[i // per][:, at : at + bits].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    return keys, np.packbits(codes[0], axis=1)
 
 
-def _encode(model: Model | None, p: Params):
-    """(vec_id, node, label, vector, keys); node is null for vectors that link with nothing."""
+def _encode(model: Model | None, t: Tables):
+    """(vec_id, node, label, vector, keys, code); node is null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, Model] = {}
         for batch in batches:
             vectors, labels = _vectors(batch.column("embedding")), batch.column("label").to_pylist()
             nodes: list[bytes | None] = [None] * len(vectors)
             keys: list[list[int] | None] = [None] * len(vectors)
+            codes: list[bytes | None] = [None] * len(vectors)
             sizes = {len(v) for v, label in zip(vectors, labels, strict=True) if v is not None and label is not None}
             for size in sizes:
                 use = [i for i, v in enumerate(vectors) if v is not None and len(v) == size and labels[i] is not None]
-                m = model if model is not None and len(model.mean) == size else _drawn(size)
+                if model is not None and len(model.mean) == size:
+                    m = model
+                else:
+                    m = drawn.setdefault(size, _drawn(size, t.rotations(size)))
                 full = np.stack([vectors[i] for i in use])
-                unit = full / np.linalg.norm(full, axis=1, keepdims=True)
-                found = _keys((unit - m.mean) @ m.rotation >= 0, p)
-                for i, row, v in zip(use, found, full + 0.0, strict=True):
+                found, code = _codes(full / np.linalg.norm(full, axis=1, keepdims=True), m, t)
+                for i, row, own, v in zip(use, found, code, full + 0.0, strict=True):
                     nodes[i] = hashlib.blake2b(f"{labels[i]}/".encode() + v.tobytes(), digest_size=16).digest()
-                    keys[i] = row.tolist()
+                    keys[i], codes[i] = row.tolist(), own.tobytes()
             stored = [v.tobytes() if n is not None else None for v, n in zip(vectors, nodes, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(nodes, pa.binary()), batch.column("label"), pa.array(stored, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["vec_id", "node", "label", "vector", "keys"],
+                [batch.column("vec_id"), pa.array(nodes, pa.binary()), batch.column("label"), pa.array(stored, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary())],
+                names=["vec_id", "node", "label", "vector", "keys", "code"],
             )
 
     return run
 
 
+def _blocks(part: pa.Table) -> Iterator[pa.Table]:
+    """The blocks of two or more rows in a table sorted by block."""
+    where = np.stack([part.column(c).to_numpy() for c in ("bucket", "lo", "hi")])
+    begins = np.flatnonzero(np.concatenate(([True], (where[:, 1:] != where[:, :-1]).any(axis=0)))).tolist()
+    for begin, end in zip(begins, [*begins[1:], part.num_rows], strict=True):
+        if end - begin > 1:
+            yield part.slice(begin, end - begin)
+
+
+def _across(block: pa.Table) -> np.ndarray | None:
+    """The pairs that a block of two chunks is there for; None for a block of one chunk, where all are."""
+    if block.column("lo")[0].as_py() == block.column("hi")[0].as_py():
+        return None
+    chunk = block.column("chunk").to_numpy()
+    return chunk[:, None] != chunk[None, :]
+
+
+_ONES = np.array([i.bit_count() for i in range(256)], dtype=np.uint8)
+
+
+def _screen(p: Params):
+    """The rows of each block whose code has a partner near enough; nearly all that meet by chance go here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, ["bucket", "lo", "hi"]):
+            out = []
+            for block in _blocks(part):
+                codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in block.column("code").to_pylist()])
+                width = block.column("width")[0].as_py()
+                # Six standard deviations above what links at the least cosine differ in.
+                most = width * p.flips + 6 * math.sqrt(width * p.flips * (1 - p.flips))
+                apart = np.zeros((len(codes),) * 2, dtype=np.uint16)
+                for j in range(codes.shape[1]):
+                    apart += _ONES[codes[:, j][:, None] ^ codes[:, j][None, :]]
+                near = apart <= most
+                np.fill_diagonal(near, False)
+                if (across := _across(block)) is not None:
+                    near &= across
+                keep = near.any(axis=1)
+                if keep.any():
+                    out.append(block.filter(pa.array(keep)))
+            if out:
+                yield from pa.concat_tables(out).select(["bucket", "lo", "hi", "chunk", "table", "node"]).combine_chunks().to_batches()
+
+    return run
+
+
 def _forest(linked: np.ndarray) -> np.ndarray:
     """For each row its least reachable row."""
     n = len(linked)
@@ -133,28 +217,23 @@ def _rerank(p: Params):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, ["bucket", "lo", "hi"]):
-            where = np.stack([part.column(c).to_numpy() for c in ("bucket", "lo", "hi")])
-            begins = np.flatnonzero(np.concatenate(([True], (where[:, 1:] != where[:, :-1]).any(axis=0)))).tolist()
             node, other, n = [], [], []
-            for begin, end in zip(begins, [*begins[1:], part.num_rows], strict=True):
-                if end - begin < 2:
-                    continue
-                group = part.slice(begin, end - begin)
-                ids = group.column("node").to_pylist()
-                vectors = np.stack([np.frombuffer(v, dtype=np.float64) for v in group.column("vector").to_pylist()])
+            for block in _blocks(part):
+                ids = block.column("node").to_pylist()
+                vectors = np.stack([np.frombuffer(v, dtype=np.float64) for v in block.column("vector").to_pylist()])
                 unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                 linked = unit @ unit.T >= p.cosine
                 np.fill_diagonal(linked, False)
-                keys = np.array(group.column("keys").to_pylist())
-                table = group.column("table")[0].as_py()
-                for t in range(table):
+                if (across := _across(block)) is not None:
+                    linked &= across
+                if not linked.any():
+                    continue
+                keys = np.array(block.column("keys").to_pylist())
+                for t in range(block.column("table")[0].as_py()):
                     linked &= keys[:, t][:, None] != keys[:, t][None, :]
-                if group.column("lo")[0].as_py() != group.column("hi")[0].as_py():
-                    chunk = group.column("chunk").to_numpy()
-                    linked &= chunk[:, None] != chunk[None, :]
                 if not linked.any():
                     continue
-                weight = group.column("weight").to_numpy()
+                weight = block.column("weight").to_numpy()
                 root = _forest(linked)
                 for i in np.flatnonzero(linked.any(axis=1)).tolist():
                     node.append(ids[i])
@@ -182,26 +261,29 @@ def groups(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     slim = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label")
     )
-    sample = sample_of(slim, p)
-    model = fit(sample, p.rounds) if sample is not None else None
-    coded = Written(slim.mapInArrow(_encode(model, p), "vec_id long, node binary, label long, vector binary, keys array<long>")).df
+    sample, tables = sample_of(slim, p), Tables.of(slim.count(), p)
+    model = fit(sample, p.rounds, tables.rotations(sample.shape[1])) if sample is not None else None
+    coded = Written(slim.mapInArrow(_encode(model, tables), "vec_id long, node binary, label long, vector binary, keys array<long>, code binary")).df
     live = coded.where(F.col("node").isNotNull())
     nodes = Written(
-        live.groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vector").alias("vector"), F.first("keys").alias("keys"))
+        live.groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), *[F.first(c).alias(c) for c in ("label", "vector", "keys", "code")])
     ).df
-    thin = nodes.select("node", F.size(F.col("keys")).alias("tables"), "label", F.length("vector").alias("size"), F.posexplode("keys").alias("table", "key"))
-    thin = thin.select("node", "table", F.xxhash64("label", "size", "table", "key").alias("bucket"))
+    thin = nodes.select("node", "code", "label", (F.length("vector") / 8).cast("int").alias("width"), F.posexplode("keys").alias("table", "key"))
+    thin = thin.select("node", "code", "width", "table", F.xxhash64("label", "width", "table", "key").alias("bucket"))
     crowd = thin.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     met = thin.join(crowd, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     blocks = met.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumns(
         {"lo": F.least("chunk", "with"), "hi": F.greatest("chunk", "with")}
     )
-    blocks = blocks.select("bucket", "lo", "hi", "chunk", "table", "node").join(nodes.select("node", "weight", "vector", "keys"), "node")
-    dealt = blocks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    found = Written(
-        dealt.select("bucket", "lo", "hi", "chunk", "table", "node", "weight", "vector", "keys").mapInArrow(_rerank(p), "node binary, other binary, n long")
-    ).df
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    near = dealt(blocks.select("bucket", "lo", "hi", "chunk", "table", "node", "code", "width")).mapInArrow(
+        _screen(p), "bucket long, lo int, hi int, chunk int, table int, node binary"
+    )
+    found = Written(dealt(near.join(nodes.select("node", "weight", "vector", "keys"), "node")).mapInArrow(_rerank(p), "node binary, other binary, n long")).df
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     stars = components(found, "node", "other")
     named = nodes.select("node", "weight", "least").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -209,7 +291,7 @@ def groups(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     final = named.join(least, "component").join(counts, "node", "left").select(
         "node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
-    return coded.select("vec_id", "node").join(final, "node", "left").select(
+    return looked_up(coded.select("vec_id", "node"), final, "node").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
 

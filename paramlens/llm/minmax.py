@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Written, sliced
+from .common import Written, looked_up, sliced
 from .components import components
 from .hashing import Words, lowered, mix, pieces, utf8, words_of
 
@@ -265,7 +265,7 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     named = own.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(least, "component").select("node", "component_id")
-    return signed.select("doc_id", "n_shingles", "node").join(final, "node", "left").select(
+    return looked_up(signed.select("doc_id", "n_shingles", "node"), final, "node").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
