@@ -76,7 +76,7 @@ def looked_up(rows: DataFrame, known: DataFrame, key: str, least: int = 1000) ->
 
     Rows of a null key are joined with nothing. Keys of more than ``least`` rows and more than a
     10,000th of all, of which there can be 10,000 at most, are broadcast, and only the others
-    are shuffled by key. ``rows`` is read several times and should be a written table.
+    are shuffled by key. ``rows`` is read several times.
     """
     has = rows.where(F.col(key).isNotNull())
     often = has.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > F.lit(max(least, has.count() // 10_000)))

@@ -8,8 +8,12 @@ sets.
 Equal sets are one node from the start. In each band, a node meets the ``PIVOTS`` least nodes of
 its bucket. Where the links found leave a larger bucket unconnected, its nodes meet nodes of other
 components by their rarest shingles, which loses no link, so large groups of like documents cost
-a few comparisons each. Documents without words have an empty set and are
-linked with nothing. Repeated rows are copies; rows with equal or null ids are kept apart.
+a few comparisons each.
+
+Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows are
+copies; rows with equal or null ids are kept apart. Very long texts are read whole. Of equally small
+signatures and equally rare shingles the order is that of their bytes. An empty table gives an empty
+one; other columns are left out, whatever they are called.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ taken to the target. The place of a document in that order comes from counts of
 that no source is ever in one task.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0. Sources
-without words have target 0. Rows with equal or null ids are sampled one by one. Plain column
-expressions only; the offset and the order come from digests, so reruns agree.
+without words have target 0. Rows with equal or null ids are sampled one by one; those of one
+size are interchangeable and lie in one bin. Very long texts are documents like others. An empty table gives an empty one. The caller's columns stay as
+they are; only ``size`` is read if there is one. Plain column expressions only; the offset and
+the order come from digests, so reruns agree.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ placeholder, or removed when nearly all their texts hold the value.
 The bits of a term can't exceed log2(documents / documents of the value), so they are asked for
 in relation to that, and frequent values need more texts instead. What every document holds is
 revealed by nothing. A term needs support from different texts; copies of a text count as one
-there. Null and empty texts have no spans.
-Rows with equal or null ids are judged one by one. Everything is plain column expressions.
+there. Null and empty texts have no spans. Rows with equal or null ids are judged one by one, and
+very long texts whole. Of terms that match at one place the longest wins. An empty table gives
+an empty one. The caller's columns stay, whatever they are called, but ``spans`` is replaced.
+Everything is plain column expressions.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import SPACE, Written, settled, squeezed
+from .common import SPACE, Written, looked_up, settled, squeezed
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -42,7 +44,8 @@ class Disclosure:
     ``support``: different texts that hold term and value together, at least. ``bits``: mutual information
     that ``support`` texts need; more texts need less each, as texts times bits count. ``part``: of the most
     bits that the value's frequency allows. ``share``: of the term's documents that hold the value.
-    ``removal``: share from which it is removed rather than generalised. ``broadcast_rows``: tables up to this many rows are broadcast; larger ones are joined by shuffles.
+    ``removal``: share from which it is removed rather than generalised. ``broadcast_rows``, ``broadcast_chars``: tables
+    up to so many rows, and so much text in them, are broadcast; larger ones are joined by shuffles.
     """
 
     support: int = 3
@@ -51,6 +54,7 @@ class Disclosure:
     share: float = 0.5
     removal: float = 0.9
     broadcast_rows: int = 50_000
+    broadcast_chars: int = 10_000_000
 
 
 def _digits(value: Column) -> Column:
@@ -143,38 +147,35 @@ def find(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
 
     Terms that touch a base span are left to it.
     """
-    terms = Written(revealing_terms(docs, limits)).df
-    few = terms.count() <= limits.broadcast_rows
-    keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    where = _words(keyed, "text_key").join(F.broadcast(terms) if few else terms, "term")
+    return _found(docs, limits).select(*[F.col(f"_doc_{c}").alias(c) for c in docs.columns if c != "spans"], "spans")
+
+
+def _found(docs: DataFrame, limits: Disclosure) -> DataFrame:
+    """The columns as ``_doc_``..., ``text``, ``spans`` and ``removed_terms``, the terms to be removed."""
+    terms = Written(revealing_terms(docs, limits))
+    few = terms.df.count() <= limits.broadcast_rows
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.md5(text).alias("text_key"), "text")
+    where = _words(keyed, "text_key").join(F.broadcast(terms.df) if few else terms.df, "term")
     per_text = where.groupBy("text_key").agg(
         F.array_join(F.reverse(F.array_sort(F.collect_set(_quoted(F.col("term"))))), "|").alias("alternatives"),
         F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed_terms"),
     )
-    flagged = Written(per_text)
-    n = flagged.df.count()
-    out = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    if n:
-        found = flagged.df.withColumnRenamed("text_key", "_key")
-        out = out.join(F.broadcast(found) if n <= limits.broadcast_rows else found, "_key", "left")
-    else:
-        out = out.withColumns({"alternatives": F.lit(None).cast("string"), "removed_terms": F.array().cast("array<string>")})
-    text = F.coalesce("text", F.lit(""))
+    flagged = Written(per_text.withColumnRenamed("text_key", "_key")).df
+    terms.drop()
+    n, size = flagged.agg(F.count("*"), F.coalesce(F.sum(F.length("alternatives")), F.lit(0))).first()
+    out = docs.select(*[F.col(c).alias(f"_doc_{c}") for c in docs.columns], "text")
+    if not n:
+        return out.withColumns({"removed_terms": F.array().cast("array<string>"), "spans": base_spans(F.col("text"))})
+    out = out.withColumn("_key", F.md5(text))
+    out = out.join(F.broadcast(flagged), "_key", "left") if n <= limits.broadcast_rows and size <= limits.broadcast_chars else looked_up(out, flagged, "_key")
     pattern = F.concat(
         F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.coalesce("alternatives", F.lit("(?!)")), F.lit(r")(?![^\x20\x09-\x0D])")
     )
-    out = out.withColumn("_base", base_spans(text))
-    if not n:
-        return out.withColumn("spans", F.col("_base")).drop("_key", "_base", "alternatives")
-    terms = F.when(F.col("alternatives").isNull(), S.no_spans()).otherwise(S.find(text, pattern, TERM))
-    out = out.withColumn(
-        "_terms",
-        F.filter(
-            terms,
-            lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-        ),
-    )
-    return out.withColumn("spans", F.concat("_base", "_terms")).drop("_key", "_base", "_terms", "alternatives")
+    out = out.withColumn("_base", base_spans(F.col("text")))
+    found = F.when(F.col("alternatives").isNull(), S.no_spans()).otherwise(S.find(text, pattern, TERM))
+    free = F.filter(found, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return out.withColumn("spans", F.concat("_base", free))
 
 
 def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
@@ -183,8 +184,7 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     Revealing terms become ``[TERM]``, or go when they are to be removed. ``n_chars``, if there
     is one, is counted anew. Null texts stay null.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    found = find(rows, limits)
+    found = _found(docs, limits)
     kept = F.transform(
         "spans",
         lambda s: s.withField("kind", F.when((s["kind"] == TERM) & F.array_contains("removed_terms", s["value"]), "gone").otherwise(s["kind"])),
@@ -192,7 +192,7 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     shown = F.create_map(*[x for k in (*KINDS, TERM) for x in (F.lit(k), F.lit(f"[{k.upper()}]"))])
     out = found.withColumn("_text", F.when(F.col("text").isNotNull(), S.masked(F.col("text"), kept, shown)))
     changed = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return out.select(*[changed[c].alias(c) if c in changed else F.col("_doc")[c].alias(c) for c in docs.columns])
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"_doc_{c}").alias(c) for c in docs.columns])
 
 
 def digest_row(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:

@@ -2,7 +2,9 @@
 
 ``measures`` gives the ratios of a text, ``RULES`` the bounds on them, and ``judge`` puts both into
 a single select. Null and empty texts have no words and fail the base rule. Rows with equal or
-null ids are judged one by one. No user functions, no shuffle.
+null ids, and equal texts, are judged one by one; very long texts are measured whole and not
+rejected for their length. An empty table gives an empty one. ``keep`` returns the caller's
+columns as they are; ``judge`` replaces those of its own names. No user functions, no shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", low=20, high=1_000_000),
+    Rule("n_words", low=20),
     Rule("repeat_ratio", high=0.3),
     Rule("mean_word_chars", low=2.0, high=15.0),
     Rule("symbol_ratio", high=0.2),

@@ -17,7 +17,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
   CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: list_contains(string_split('{quality.STOP_WORDS}', ' '), lower(x)))) AS n_stop FROM d LEFT JOIN cov USING (r)),
 n AS (SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000 AND n_repeat_words / n_words <= 0.3 AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.2
+  NOT base_failed AND n_repeat_words / n_words <= 0.3 AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.2
   AND coalesce(n_dup_lines / nullif(len(l), 0), 0) <= 0.3 AND (n_words < 50 OR n_stop / n_words >= 0.01) AS kept
 FROM n"""
 

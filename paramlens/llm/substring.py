@@ -9,9 +9,13 @@ repeats of at least ``LENGTH`` words leave one copy.
 
 Within a block only the first of equal windows is sent on, so an equal window comes at most once
 a block. An anchor at more than ``PLACES`` places, such as a common phrase in ever new
-surroundings, has its windows dealt by their hash, as only equal ones need to meet. Null and empty texts have no words. Null ids come
-before all others; rows with equal ids count as separate documents in block order. The input is
-read more than once and must give the same rows each time: write it first if it doesn't.
+surroundings, has its windows dealt by their hash, as only equal ones need to meet.
+
+Null and empty texts have no words. Null ids come before all others; rows with equal ids, and
+repeated rows, count as separate documents in block order. A very long text is in one block with
+its like. An empty table gives an empty one; other columns are left out, whatever they are called.
+The input is read more than once and must give the same rows each time: write it first if it
+doesn't.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ relative paths, dot segments, queries, fragments and targets without a scheme. T
 without ``//``, such as ``mailto:``, are no urls.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and have no aliases,
-so they are allowed. Repeated pages are judged one by one; pages of one url are one node.
+so they are allowed. Repeated pages are judged one by one; pages of one url are one node. Null
+html has no targets; very long urls and html are read whole. Of equally long rules that fit, the
+later by code point wins. An empty table gives an empty one. The caller's columns stay, except
+that ``host``, ``path``, ``rule`` and ``verdict`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Written, looked_up
 from .components import components
 
 ALLOW, BLOCK = "allow", "block"
@@ -173,11 +177,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFram
     )
     spread = members.join(decided.where(F.coalesce("blocks", F.lit(False)) & ~F.coalesce("allows", F.lit(False))), "component")
     spread = spread.select("url", F.lit(BLOCK).alias("spread"))
-    out = matched(pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
-    out = out.join(spread, "url", "left")
-    return out.withColumn("verdict", F.coalesce("rule_verdict", "spread", F.lit(ALLOW))).select(
-        *pages.columns, "host", "path", "rule", "verdict"
-    )
+    # Only blocked urls are looked up, and the pages of a rule need no look.
+    own = pages.select(*[F.col(c).alias(f"_page_{c}") for c in pages.columns], "url")
+    own = matched(own.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules)
+    asks = F.when(F.col("rule").isNull() & F.col("url").contains("://"), F.col("url"))
+    out = looked_up(own.withColumn("url", asks), Written(spread).df, "url")
+    verdict = F.coalesce("rule_verdict", "spread", F.lit(ALLOW)).alias("verdict")
+    kept = [F.col(f"_page_{c}").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*kept, "host", "path", "rule", verdict)
 
 
 def digest_row(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
