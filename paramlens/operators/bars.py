@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .runs import shortfall
+
 BPS = 10_000.0
 #: Basis points paid where a run names none.
 FEE_BPS, SLIP_BPS = 5.0, 5.0
@@ -154,6 +156,6 @@ def held_back(rounds: DataFrame) -> DataFrame:
     never = F.col("fired") == 0
     counts = rounds.agg(
         F.count("*").alias("rounds"), F.sum(never.cast("int")).alias("never"), F.sum((never & (F.col("reach") > 0)).cast("int")).alias("within_reach"),
-        F.sum(F.col("fired").isNull().cast("int")).alias("unknown"), F.expr("percentile_disc(0.5) within group (order by case when fired = 0 then -margin end)").alias("shortfall"),
+        F.sum(F.col("fired").isNull().cast("int")).alias("unknown"), F.lit(shortfall(rounds)).cast("double").alias("shortfall"),
     )
     return counts

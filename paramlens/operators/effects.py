@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
 from ..functions import kernel
-from ..plans.cells import Target, base_of, level_cells, set_cells, value
+from ..plans.cells import Target, level_cells, moments_of, set_cells, value
+from ..plans.ranges import ranged, running
 
 
 def mean_interval(cells: DataFrame, target: Target) -> DataFrame:
@@ -24,11 +24,7 @@ def mean_interval(cells: DataFrame, target: Target) -> DataFrame:
 
 def summary(sweep: DataFrame, target: Target) -> DataFrame:
     """One row: n, missing, mean, sd, interval and, for a binary target, hits."""
-    y, base = value(target), base_of(sweep, target)
-    d = y - F.col("base_mean")
-    cells = sweep.crossJoin(F.broadcast(base)).agg(  # base is one row
-        F.count(y).alias("n"), (F.count("*") - F.count(y)).alias("missing"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"), F.sum(y).alias("total")
-    )
+    cells = moments_of(sweep, target)
     hits = F.col("total").cast("long") if target.binary else F.lit(None).cast("long")
     return mean_interval(cells, target).select("n", "missing", "mean", "sd", "lo", "hi", hits.alias("hits"))
 
@@ -115,12 +111,12 @@ def agreement(whole: DataFrame, first: DataFrame, second: DataFrame) -> DataFram
 def settling(sweep: DataFrame, target: Target, dim: str, order: str, points: int = 60) -> DataFrame:
     """Running mean of each level at about 60 checkpoints of the context, once it has 30 rows.
 
-    Needs the rows of the context in order; ``order`` must be unique.
+    ``order`` must be unique. Rows are cut into ranges of it, and what comes before a range is added from
+    summaries.
     """
-    y = value(target)
-    rows = sweep.select(F.col(order).alias("_i"), F.col(dim).cast("string").alias("level"), y.alias("y"))
-    rows = rows.withColumn("at", F.row_number().over(W.orderBy("_i")))
-    every = F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy(F.lit(1))) / points))
-    sofar = W.partitionBy("level").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns({"n": F.count("y").over(sofar), "mean": F.avg("y").over(sofar), "_every": every})
-    return rows.where((F.col("at") % F.col("_every") == 0) & (F.col("n") >= I.MIN_N)).select("level", "at", "n", "mean")
+    rows = sweep.select(F.col(order).alias("_i"), F.col(dim).cast("string").alias("level"), value(target).alias("y"))
+    rows = running(ranged(rows, "_i"), "_i", {"at": F.lit(1)})
+    rows = running(rows, "_i", {"n": F.col("y").isNotNull().cast("long"), "total": F.coalesce("y", F.lit(0.0))}, "level")
+    every = sweep.agg(F.greatest(F.lit(1), F.floor(F.count("*") / points)).alias("_every"))
+    rows = rows.crossJoin(F.broadcast(every))  # one row
+    return rows.where((F.col("at") % F.col("_every") == 0) & (F.col("n") >= I.MIN_N)).select("level", "at", "n", (F.col("total") / F.col("n")).alias("mean"))

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
+from ..plans.ranges import order_statistics
 
 _OPS = {">=": lambda v, need: v >= need, ">": lambda v, need: v > need, "<=": lambda v, need: v <= need, "<": lambda v, need: v < need}
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -64,13 +64,15 @@ def stats(sweep: DataFrame, gates: list[Gate]) -> DataFrame:
 
     A quantile is the value at index ``floor(f * n)`` of the sorted values, at most the last.
     """
-    long = sweep.select(F.inline(F.array(*[F.struct(F.lit(g.name).alias("gate"), F.col(g.column).cast("double").alias("v"), passed(g).alias("ok")) for g in gates])))
-    # Rows are counted by value first; a value decides whether it passes.
-    per_value = long.where(F.col("ok").isNotNull()).groupBy("gate", "v").agg(F.count("*").alias("c"), F.first("ok").alias("ok"))
-    upto = W.partitionBy("gate").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = per_value.withColumns({"upto": F.sum("c").over(upto), "all": F.sum("c").over(W.partitionBy("gate"))})
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(f) * F.col("all")), F.col("all") - 1), F.col("v"))).alias(f"q{int(f * 100):02d}") for f in QUANTILES]
-    out = ends.groupBy("gate").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("ok"), F.col("c")).otherwise(0)).alias("passes"), F.max("v").alias("max"), *picks)
+    # A gate is decided where its value is known. One scan counts; quantiles are bracketed and picked, running small jobs at once.
+    known = {g.name: F.when(passed(g).isNotNull(), F.col(g.column).cast("double")) for g in gates}
+    found = order_statistics(sweep, known, QUANTILES)
+    sums = [x for i, g in enumerate(gates) for x in (F.count(known[g.name]).alias(f"n{i}"), F.sum(passed(g).cast("long")).alias(f"k{i}"), F.max(known[g.name]).alias(f"m{i}"))]
+    rows = []
+    for i, g in enumerate(gates):
+        picks = [F.lit(x[0] if x else None).cast("double").alias(f"q{int(f * 100):02d}") for f, x in zip(QUANTILES, found[g.name][1], strict=True)]
+        rows.append(F.struct(F.lit(g.name).alias("gate"), F.col(f"n{i}").alias("n"), F.col(f"k{i}").alias("passes"), F.col(f"m{i}").alias("max"), *picks))
+    out = sweep.agg(*sums).select(F.inline(F.array(*rows))).where(F.col("n") > 0)
     lo, hi = I.wilson(F.col("passes").cast("double"), F.col("n"))
     return out.withColumns({"rate": F.col("passes") / F.col("n"), "lo": lo, "hi": hi, "never": F.col("passes") == 0, "always": F.col("passes") == F.col("n"), "rule_of_three": F.when(F.col("passes") == 0, F.least(F.lit(1.0), F.lit(3.0) / F.col("n")))})
 
@@ -103,6 +105,6 @@ def correlates(sweep: DataFrame, column: str, others: list[str]) -> DataFrame:
 
 def draft(sweep: DataFrame, column: str, better: int) -> DataFrame:
     """A gate to start from: the upper median as need."""
-    per_value = sweep.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("c"))
-    upto = per_value.withColumns({"upto": F.sum("c").over(W.orderBy("v")), "n": F.sum("c").over(W.partitionBy(F.lit(1)))})
-    return upto.agg(F.lit("<=" if better < 0 else ">=").alias("op"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("need"))
+    _, (found,) = order_statistics(sweep, {"v": F.col(column)}, (0.5,), lambda f, n: [n // 2])["v"]
+    rows = [("<=" if better < 0 else ">=", found[0] if found else None)]
+    return sweep.sparkSession.createDataFrame(rows, "op string, need double")

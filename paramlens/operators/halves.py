@@ -1,6 +1,6 @@
 """What the second half keeps of the first, and rank statistics.
 
-Ranks are counted over distinct values, which halves the sorting and gives ties their middle rank.
+Ranks are running counts over distinct values, range by range, which gives ties their middle rank.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernel
+from ..plans.ranges import ranged, running
 
 
 def mid_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the middle rank, from 1, of each value; null has none."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = W.orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranks = counts.withColumn("_u", F.sum("_c").over(upto)).select("_v", (F.col("_u") - (F.col("_c") - 1) / 2).alias(name))
+    ranks = running(counts, "_v", {"_u": F.col("_c")}).select("_v", (F.col("_u") - (F.col("_c") - 1) / 2).alias(name))
     return rows.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
@@ -40,22 +40,20 @@ def rank_agreement(rows: DataFrame, first: str, second: str) -> DataFrame:
 
 def first_half_ranks(rows: DataFrame, first: str, better: int = 1) -> DataFrame:
     """Adds the competition rank by the first half."""
-    sign = -1 if better < 0 else 1
+    sign = 1 if better < 0 else -1  # the best come first
     counts = rows.where(F.col(first).isNotNull()).groupBy((F.col(first) * sign).alias("_v")).agg(F.count("*").alias("_c"))
-    above = W.orderBy(F.desc("_v")).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.select("_v", (F.coalesce(F.sum("_c").over(above), F.lit(0)) + 1).alias("rank_first"))
+    ranks = running(counts, "_v", {"_u": F.col("_c")}).select("_v", (F.col("_u") - F.col("_c") + 1).alias("rank_first"))
     return rows.join(ranks, F.col(first) * sign == F.col("_v"), "left").drop("_v")
 
 
-def _placed(rows: DataFrame, first: str, second: str, order: str, better: int, parts: int = 64) -> DataFrame:
+def _placed(rows: DataFrame, first: str, second: str, order: str, better: int) -> DataFrame:
     """Rows with both halves and their place, from 1, by the first; by ranges of it, none of which is all rows."""
     sign = -1.0 if better < 0 else 1.0
     both = rows.select(F.col(order).alias("_i"), (F.col(first) * sign).alias("a"), (F.col(second) * sign).alias("b")).where("a is not null and b is not null")
-    cuts = both.agg(F.percentile_approx("a", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 1000).alias("cuts"))
-    part = both.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("cuts", lambda c: c > F.col("a")))).drop("cuts")  # one row
+    part = ranged(both.withColumn("_down", -F.col("a")), "_down")
     counts = part.groupBy("_part").agg(F.count("*").alias("c"))
     ahead = counts.withColumns({"ahead": F.coalesce(F.sum("c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(W.partitionBy(F.lit(1)))})
-    place = F.row_number().over(W.partitionBy("_part").orderBy(F.desc("a"), "_i"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy("_down", "_i"))
     return part.withColumn("_at", place).join(F.broadcast(ahead.drop("c")), "_part").withColumn("place", F.col("_at") + F.col("ahead"))  # one row a range
 
 

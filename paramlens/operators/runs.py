@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernel
 from ..plans.cells import Target, value
+from ..plans.ranges import order_statistics
 from .gates import Gate, passed
 
 #: Seconds without a row after which a run counts as quiet.
@@ -19,10 +19,9 @@ def compare(sweeps: DataFrame, run: str, target: Target, keys: list[tuple[str, i
     from .effects import mean_interval
 
     y = value(target)
-    base = sweeps.groupBy(run).agg(F.avg(y).alias("_m"))
-    rows = sweeps.select(run, y.alias("y"), *[F.col(c) for c, _ in keys]).join(base, run).withColumn("d", F.col("y") - F.col("_m"))
     best = [(F.max(c) if better >= 0 else F.min(c)).alias(f"best_{c}") for c, better in keys]
-    cells = rows.groupBy(run).agg(F.count("*").alias("rows"), F.count("y").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"), F.sum("y").alias("total"), *best)
+    n = F.count(y)
+    cells = sweeps.groupBy(run).agg(F.count("*").alias("rows"), n.alias("n"), F.lit(0.0).alias("s"), (F.var_pop(y) * n).alias("ss"), F.sum(y).alias("total"), *best)
     return mean_interval(cells, target).select(run, "rows", "n", "mean", "lo", "hi", *[f"best_{c}" for c, _ in keys])
 
 
@@ -34,6 +33,13 @@ def auc_above(auc: Column, positive: Column, negative: Column) -> Column:
     return F.when(known, auc - 0.5 > kernel.Z95 * F.sqrt(F.greatest(v, F.lit(0.0))))
 
 
+def shortfall(rounds: DataFrame) -> float | None:
+    """How far below its threshold the middle round that never fired stayed; runs small jobs at once."""
+    never = F.when(F.col("fired") == 0, -F.col("margin"))
+    _, (found,) = order_statistics(rounds, {"v": never}, (0.5,), lambda f, n: [(n + 1) // 2 - 1])["v"]
+    return found[0] if found else None
+
+
 def never_traded(rounds: DataFrame) -> DataFrame:
     """Rounds that never fired, by reason: held back by the threshold, nothing found, or unknown.
 
@@ -48,7 +54,7 @@ def never_traded(rounds: DataFrame) -> DataFrame:
     return own.agg(
         F.count("*").alias("rounds"), total(never).alias("never"), total(never & above).alias("held"), total(never & ~above).alias("nothing"),
         total(never & above.isNull()).alias("unknown"), total(never & (F.col("reach") > 0)).alias("within_reach"),
-        F.expr("percentile_disc(0.5) within group (order by case when fired = 0 then -margin end)").alias("shortfall"),
+        F.lit(shortfall(own)).cast("double").alias("shortfall"),
     )
 
 
@@ -58,15 +64,10 @@ def pass_histogram(sweep: DataFrame, gate: Gate, bins: int = 32) -> DataFrame:
     From 200 rows on it spans the 1st to the 99th percentile, by the value at index floor(f n), and always the need.
     """
     rows = sweep.select(F.col(gate.column).cast("double").alias("v"), passed(gate).alias("ok")).where(F.col("ok").isNotNull())
-    counts = rows.groupBy("v").agg(F.count("*").alias("c"))
-    upto = counts.withColumns({"u": F.sum("c").over(W.orderBy("v")), "n": F.sum("c").over(W.partitionBy(F.lit(1)))})
-
-    def pick(f: float) -> Column:
-        return F.min(F.when(F.col("u") > F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1), F.col("v")))
-
-    ends = upto.agg(F.max("n").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), pick(0.01).alias("p"), pick(0.99).alias("q"))
-    lo = F.least(F.when(F.col("n") >= 200, F.col("p")).otherwise(F.col("a")), F.lit(float(gate.need)))
-    hi = F.greatest(F.when(F.col("n") >= 200, F.col("q")).otherwise(F.col("b")), F.lit(float(gate.need)))
+    n, (low, high) = order_statistics(rows, {"v": F.col("v")}, (0.01, 0.99))["v"]
+    ends = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    lo = F.least(F.lit(low[0]) if n >= 200 else F.col("a"), F.lit(float(gate.need)))
+    hi = F.greatest(F.lit(high[0]) if n >= 200 else F.col("b"), F.lit(float(gate.need)))
     ends = ends.select(F.when(hi > lo, lo).otherwise(lo - 1).alias("lo"), F.when(hi > lo, hi).otherwise(hi + 1).alias("hi"))
     ends = ends.withColumn("w", (F.col("hi") - F.col("lo")) / bins)
     ends = ends.withColumn("start", F.lit(float(gate.need)) - F.ceil((F.lit(float(gate.need)) - F.col("lo")) / F.col("w") - 1e-9) * F.col("w"))
@@ -107,13 +108,23 @@ def status(live: bool, archived: bool, segment: str | None, rows: int, planned:
     return "quiet" if quiet_for is not None and quiet_for > QUIET else "live"
 
 
+#: Which statistic of a report each threshold is held against; fixed values.
+STATISTIC_OF = {
+    "min_deflated_sharpe_probability": "deflated_sharpe_probability",
+    "max_pbo": "pbo",
+}
+
+
 def verdicts(report: dict) -> list[dict]:
-    """A report's verdict on each threshold that it declares: pass, fail, or unavailable with the reason."""
-    statistic = {"min_deflated_sharpe_probability": "deflated_sharpe_probability", "max_pbo": "pbo"}
-    said = {True: "pass", False: "fail"}
-    declared = {k: v for k, v in (report.get("thresholds") or {}).items() if k in statistic and isinstance(v, (int, float))}
-    given, errors = report.get("verdicts") or {}, report.get("errors") or {}
-    return [{"key": k, "threshold": v, "verdict": said.get(given.get(k), "unavailable"), "why": errors.get(statistic[k])} for k, v in declared.items()]
+    """What a report says of each known threshold that it declares as a number: pass, fail, or unavailable and why."""
+    parts = {name: report.get(name) or {} for name in ("thresholds", "verdicts", "errors")}
+
+    def row(key: str, statistic: str) -> dict:
+        held = parts["verdicts"].get(key)
+        said = ("pass" if held else "fail") if isinstance(held, bool) else "unavailable"
+        return {"key": key, "threshold": parts["thresholds"][key], "verdict": said, "why": parts["errors"].get(statistic)}
+
+    return [row(key, statistic) for key, statistic in STATISTIC_OF.items() if isinstance(parts["thresholds"].get(key), (int, float))]
 
 
 def convergence(reports: DataFrame) -> DataFrame:

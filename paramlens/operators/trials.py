@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import intervals as I
 from ..functions import kernel
 from ..plans.cells import Target, keyed, value
+from ..plans.ranges import order_statistics, ranged, running
 
 Keys = list[tuple[str, int]]
 
@@ -45,48 +46,48 @@ def like(sweep: DataFrame, target: Target, dims: list[str], listed: DataFrame, o
     keys = keyed(sweep, dims)
     rows = sweep.select(*[F.coalesce(keys[d], F.lit("\x00")).alias(d) for d in dims], value(target).alias("y"))
     own = listed.select(F.col(order).alias("_i"), *[F.coalesce(keyed(listed, dims)[d], F.lit("\x00")).alias(d) for d in dims], value(target).alias("own"))
-    wanted = own.select(dims[0]).distinct()
-    sums = rows.join(F.broadcast(wanted), dims[0], "left_semi").where(F.col("y").isNotNull())  # as many as rows listed
+    sums = rows.join(own.select(dims[0]).distinct(), dims[0], "left_semi").where(F.col("y").isNotNull())
+    n = F.count("*")
     cells = sums.groupingSets([[F.col(d) for d in dims[:j]] for j in range(1, len(dims) + 1)], *dims).agg(
-        F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.grouping_id(*dims).alias("_id")
+        n.alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * n).alias("m2"), F.grouping_id(*dims).alias("_id")
     )
     cells = cells.withColumn("depth", F.lit(len(dims)) - F.bit_count("_id").cast("int")).drop("_id")
     found = None
     for j in range(1, len(dims) + 1):
-        part = own.join(cells.where(F.col("depth") == j).drop(*dims[j:]), dims[:j]).select("_i", "own", "depth", "n", "s", "ss")
+        part = own.join(cells.where(F.col("depth") == j).drop(*dims[j:]), dims[:j]).select("_i", "own", "depth", "n", "mean", "m2")
         found = part if found is None else found.unionByName(part)
-    mine = F.col("own").isNotNull()
-    less = found.withColumns({"n": F.col("n") - mine.cast("long"), "s": F.col("s") - F.coalesce("own", F.lit(0.0)), "ss": F.col("ss") - F.coalesce(F.col("own") * F.col("own"), F.lit(0.0))})
-    best = less.where(F.col("n") >= least).groupBy("_i").agg(F.max_by(F.struct("depth", "n", "s", "ss"), "depth").alias("b"))
-    mean = F.col("b.s") / F.col("b.n")
-    sd = F.sqrt(I.variance(F.col("b.n"), F.col("b.s"), F.col("b.ss")))
-    return best.select(F.col("_i").alias(order), F.col("b.depth").alias("depth"), F.col("b.n").alias("n"), mean.alias("mean"), sd.alias("sd"))
-
-
-def record_curve(sweep: DataFrame, target: Target, order: str, points: int = 400, parts: int = 64) -> DataFrame:
+    # Mean and squared distances without the row itself.
+    mine, off = F.col("own").isNotNull(), F.col("own") - F.col("mean")
+    left = F.col("n") - mine.cast("long")
+    mean = F.col("mean") - F.when(mine, F.try_divide(off, left)).otherwise(0.0)
+    m2 = F.greatest(F.lit(0.0), F.col("m2") - F.when(mine, off * (F.col("own") - mean)).otherwise(0.0))
+    less = found.select("_i", "depth", left.alias("n"), mean.alias("mean"), m2.alias("m2"))
+    best = less.where(F.col("n") >= least).groupBy("_i").agg(F.max_by(F.struct("depth", "n", "mean", "m2"), "depth").alias("b"))
+    sd = F.when(F.col("b.n") >= 2, F.sqrt(F.col("b.m2") / (F.col("b.n") - 1)))
+    return best.select(F.col("_i").alias(order), F.col("b.depth").alias("depth"), F.col("b.n").alias("n"), F.col("b.mean").alias("mean"), sd.alias("sd"))
+
+
+def record_curve(sweep: DataFrame, target: Target, order: str, points: int = 400) -> DataFrame:
     """Running best, mean and sd by arrival, and the line that luck alone would reach: every step-th row and every record.
 
-    Rows are cut into ranges of the order; what comes before each range is added from its summary, so
-    that no task holds more than a range.
+    ``order`` is a unique number, date or timestamp. Rows are cut into ranges of it; what comes before each
+    range is added from its summary, so that no task holds more than a range. Sums are about the mean of all rows.
     """
     sign = -1.0 if target.better < 0 else 1.0
     rows = sweep.select(F.col(order).alias("_i"), (value(target) * sign).alias("y")).where(F.col("y").isNotNull())
-    lo, hi, count = rows.agg(F.min("_i"), F.max("_i"), F.count("*")).first()
-    if not count:
-        return rows.select(F.lit(0).alias("at"), F.col("_i").alias(order), *[F.lit(0.0).alias(c) for c in ("best", "mean", "sd", "luck")], F.lit(False).alias("record"))
-    width = (float(hi - lo) + 1) / parts
-    rows = rows.withColumn("_part", F.floor((F.col("_i") - F.lit(lo)) / F.lit(width)).cast("int"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    prior = rows.groupBy("_part").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.max("y").alias("m"))
-    prior = prior.select("_part", F.sum("n").over(before).alias("pn"), F.sum("s").over(before).alias("ps"), F.sum("ss").over(before).alias("pss"), F.max("m").over(before).alias("pm"))
-    own = W.partitionBy("_part").orderBy("_i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns({"n": F.count("*").over(own), "s": F.sum("y").over(own), "ss": F.sum(F.col("y") * F.col("y")).over(own), "m": F.max("y").over(own), "_last": F.max("y").over(own.rowsBetween(W.unboundedPreceding, -1))})
-    out = rows.join(F.broadcast(prior), "_part")  # one row a range
-    out = out.withColumns({"at": F.col("n") + F.coalesce("pn", F.lit(0)), "s": F.col("s") + F.coalesce("ps", F.lit(0.0)), "ss": F.col("ss") + F.coalesce("pss", F.lit(0.0)), "best": F.greatest("m", "pm"), "_last": F.greatest("_last", "pm")})
-    record = F.col("_last").isNull() | (F.col("y") > F.col("_last"))
-    step = max(1, count // points)
-    out = out.withColumn("record", record).where((F.col("at") % step == 0) | F.col("record") | (F.col("at") == count))
-    out = out.withColumns({"mean": F.col("s") / F.col("at"), "sd": F.sqrt(I.variance(F.col("at"), F.col("s"), F.col("ss")))})
+    base = rows.agg(F.avg("y").alias("_base"), F.count("*").alias("_count"))
+    rows = ranged(rows, "_i").crossJoin(F.broadcast(base)).withColumn("d", F.col("y") - F.col("_base"))  # one row
+    prior = rows.groupBy("_part").agg(F.max("y").alias("m"))
+    prior = prior.select("_part", F.max("m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("pm"))  # one row a range
+    own = W.partitionBy("_part").orderBy("_i")
+    rows = running(rows, "_i", {"at": F.lit(1), "s": F.col("d"), "ss": F.col("d") * F.col("d")})
+    rows = rows.withColumns({"m": F.max("y").over(own.rowsBetween(W.unboundedPreceding, W.currentRow)), "_last": F.max("y").over(own.rowsBetween(W.unboundedPreceding, -1))})
+    out = rows.join(F.broadcast(prior), "_part")
+    out = out.withColumns({"best": F.greatest("m", "pm"), "_last": F.greatest("_last", "pm")})
+    out = out.withColumn("record", F.col("_last").isNull() | (F.col("y") > F.col("_last")))
+    step = F.greatest(F.lit(1), F.floor(F.col("_count") / points))
+    out = out.where((F.col("at") % step == 0) | F.col("record") | (F.col("at") == F.col("_count")))
+    out = out.withColumns({"mean": F.col("_base") + F.col("s") / F.col("at"), "sd": F.sqrt(I.variance(F.col("at"), F.col("s"), F.col("ss")))})
     luck = F.col("mean") + F.col("sd") * kernel.column(kernel.expected_max_z, F.col("at"))
     return out.select("at", F.col("_i").alias(order), (F.col("best") * sign).alias("best"), (F.col("mean") * sign).alias("mean"), "sd", (luck * sign).alias("luck"), "record")
 
@@ -107,9 +108,12 @@ def distribution(sweep: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """
     v = F.col(column).cast("double")
     rows = sweep.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
-    info = rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v").alias("d"), F.bool_and(F.col("v") == F.floor("v")).alias("whole"), F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
-    one = info.withColumn("discrete", F.col("whole") & (F.col("hi") - F.col("lo") < 12))
-    one = one.withColumns({"lo": F.when((F.col("n") >= 200) & ~F.col("discrete"), F.col("p")[0]).otherwise(F.col("lo")), "hi": F.when((F.col("n") >= 200) & ~F.col("discrete"), F.col("p")[1]).otherwise(F.col("hi"))})
+    n, (low, high) = order_statistics(rows, {"v": F.col("v")}, (0.01, 0.99), lambda f, n: sorted({int(f * (n - 1)), min(n - 1, int(f * (n - 1)) + 1)}))["v"]
+    ends = [x[0] + (f * (n - 1) - int(f * (n - 1))) * (x[-1] - x[0]) if x else None for f, x in ((0.01, low), (0.99, high))]
+    one = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_and(F.col("v") == F.floor("v")).alias("whole"))
+    one = one.withColumn("discrete", F.col("whole") & (F.col("hi") - F.col("lo") < 12))
+    if n >= 200:
+        one = one.withColumns({c: F.when(F.col("discrete"), F.col(c)).otherwise(F.lit(e)) for c, e in zip(("lo", "hi"), ends)})
     placed = rows.crossJoin(F.broadcast(one))  # one row
     at = F.floor(F.try_divide((F.col("v") - F.col("lo")) * bins, F.col("hi") - F.col("lo")))
     inside = F.when(F.col("v").between(F.col("lo"), F.col("hi")), F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)))

@@ -11,10 +11,9 @@ from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MISSING = "\x00"
-
 
 @dataclass(frozen=True)
 class Target:
@@ -45,49 +44,65 @@ def value(target: Target) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def base_of(sweep: DataFrame, target: Target) -> DataFrame:
-    """One row: n, missing, mean. The mean is what sums are shifted by."""
-    y = value(target)
-    return sweep.agg(F.count(y).alias("base_n"), (F.count("*") - F.count(y)).alias("missing"), F.avg(y).alias("base_mean"))
+def _moments() -> list[Column]:
+    """Count, sum, mean and squared distance to the mean, which merge without loss however large the mean."""
+    n = F.count("_y")
+    return [n.alias("n"), F.sum("_y").alias("total"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * n).alias("_m2"), F.count("*").alias("rows")]
 
 
-def shifted(sweep: DataFrame, target: Target, dims: list[str], base: DataFrame | None = None) -> DataFrame:
-    """Level keys, ``y`` and ``d``, the target less the mean, which keeps sums of squares exact."""
-    base = base if base is not None else base_of(sweep, target)
-    keys = keyed(sweep, dims)
-    slim = sweep.select(*[keys[d].alias(d) for d in dims], value(target).alias("y"))
-    return slim.crossJoin(F.broadcast(base)).withColumn("d", F.col("y") - F.col("base_mean"))  # base is one row
+def moments_of(sweep: DataFrame, target: Target) -> DataFrame:
+    """One row: n, missing, total, base_mean, and s and ss about that mean."""
+    one = sweep.select(value(target).alias("_y")).agg(*_moments())
+    return one.select("n", (F.col("rows") - F.col("n")).alias("missing"), "total", F.col("_mean").alias("base_mean"), F.lit(0.0).alias("s"), F.col("_m2").alias("ss"))
 
 
-def _sums() -> list[Column]:
-    return [F.count("y").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"), F.sum("y").alias("total")]
+def _about(cells: DataFrame, mean: Column) -> DataFrame:
+    """Adds s and ss, the sums of distances to a mean and of their squares."""
+    off = F.col("_mean") - mean
+    none = F.col("n") == 0
+    return cells.withColumns(
+        {"s": F.when(none, F.lit(None)).otherwise(F.col("n") * off), "ss": F.when(none, F.lit(None)).otherwise(F.col("_m2") + F.col("n") * off * off)}
+    )
 
 
-def level_cells(sweep: DataFrame, target: Target, dims: list[str], base: DataFrame | None = None) -> DataFrame:
-    """(dim, level, n, s, ss, total, base_n, base_mean, na): one scan for all dimensions.
+def level_cells(sweep: DataFrame, target: Target, dims: list[str]) -> DataFrame:
+    """(dim, level, n, s, ss, total, rows, base_n, base_mean): one scan for all dimensions.
 
-    Rows are unpivoted and aggregated within tasks, so only levels are shuffled.
+    Rows are aggregated within tasks by the columns as they are, so only levels are shuffled, and
+    texts are made of levels, not of rows. The cell of all rows gives the mean that sums are about.
     """
-    rows = shifted(sweep, target, dims, base)
-    long = rows.unpivot(["y", "d", "base_n", "base_mean"], dims, "dim", "level")
-    cells = long.groupBy("dim", "level").agg(*_sums(), F.count("*").alias("rows"), F.first("base_n").alias("base_n"), F.first("base_mean").alias("base_mean"))
-    return cells.where(F.col("level").isNotNull())
+    kinds = dict(sweep.dtypes)
+    rows = sweep.select(*[F.col(d).alias(f"_{i}") for i, d in enumerate(dims)], value(target).alias("_y"))
+    own = [F.col(f"_{i}") for i in range(len(dims))]
+    cells = rows.groupingSets([*[[c] for c in own], []], *own).agg(*_moments(), F.grouping_id(*own).alias("_id"))
+    every = (1 << len(dims)) - 1
+    at = {every ^ (1 << (len(dims) - 1 - i)): i for i in range(len(dims))}
+    dim = F.create_map(*[x for k, i in at.items() for x in (F.lit(k), F.lit(dims[i]))])[F.col("_id").cast("int")]
+    level = F.coalesce(*[F.when(F.col("_id") == k, key_of(f"_{i}", kinds[dims[i]])) for k, i in at.items()])
+    whole, all_cells = F.col("_id") == every, W.partitionBy(F.lit(1))  # over cells, not rows
+    cells = cells.withColumns(
+        {"dim": dim, "level": level, "base_n": F.max(F.when(whole, F.col("n"))).over(all_cells), "base_mean": F.max(F.when(whole, F.col("_mean"))).over(all_cells)}
+    )
+    found = _about(cells.where(F.col("level").isNotNull() & ~whole), F.col("base_mean"))
+    return found.select("dim", "level", "n", "s", "ss", "total", "rows", "base_n", "base_mean")
 
 
 def set_cells(sweep: DataFrame, target: Target, dims: list[str], size: int, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """Cells of all sets of ``size`` dimensions, by grouping sets: (dims, levels, n, s, ss, total, ...).
+    """Cells of all sets of ``size`` dimensions, by grouping sets in one scan: (dims, levels, n, s, ss, total, base_mean).
 
-    Rows in which a dimension of the set doesn't apply, or the target is missing, are in no cell.
+    Rows in which a dimension of the set doesn't apply, or the target is missing, are in no cell. Sums are about
+    the mean of the set's cells.
     """
     sets = sets or list(combinations(dims, size))
     used = sorted({d for s in sets for d in s}, key=dims.index)
-    rows = shifted(sweep, target, used).where(F.col("y").isNotNull())
-    rows = rows.withColumns({d: F.coalesce(d, F.lit(MISSING)) for d in used})
-    cells = rows.groupingSets([[F.col(d) for d in s] for s in sets], *used).agg(
-        *_sums(), F.first("base_mean").alias("base_mean"), F.grouping_id(*used).alias("_id")
-    )
+    place, kinds = {d: i for i, d in enumerate(used)}, dict(sweep.dtypes)
+    rows = sweep.select(*[F.col(d).alias(f"_{i}") for i, d in enumerate(used)], value(target).alias("_y")).where(F.col("_y").isNotNull())
+    own = [F.col(f"_{i}") for i in range(len(used))]
+    cells = rows.groupingSets([[own[place[d]] for d in s] for s in sets], *own).agg(*_moments(), F.grouping_id(*own).alias("_id"))
     ids = {sum(1 << (len(used) - 1 - i) for i, d in enumerate(used) if d not in s): s for s in sets}
     names = F.create_map(*[x for k, s in ids.items() for x in (F.lit(k), F.array(*map(F.lit, s)))])
-    cells = cells.withColumn("dims", names[F.col("_id").cast("int")])
-    cells = cells.withColumn("levels", F.filter(F.array(*used), lambda x: x.isNotNull()))
-    return cells.where(~F.array_contains("levels", MISSING)).select("dims", "levels", "n", "s", "ss", "total", "base_mean")
+    levels = F.array_compact(F.array(*[key_of(f"_{i}", kinds[d]) for d, i in place.items()]))
+    cells = cells.withColumns({"dims": names[F.col("_id").cast("int")], "levels": levels}).where(F.size("levels") == F.size("dims"))
+    of_set = W.partitionBy("dims")  # over cells
+    cells = cells.withColumn("base_mean", F.sum("total").over(of_set) / F.sum("n").over(of_set))
+    return _about(cells, F.col("base_mean")).select("dims", "levels", "n", "s", "ss", "total", "base_mean")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cells import key_of
+from .ranges import order_statistics
 
 #: Most levels of a parameter by kind; a number with more is binned or a metric.
 TEXT_LEVELS, JSON_LEVELS, NUMBER_LEVELS, BINS = 64, 32, 32, 10
@@ -70,13 +71,14 @@ def levels_of(sweep: DataFrame, column: str) -> DataFrame:
 def bin_edges(sweep: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """One row: the inner edges of bins of about equal counts, ``sorted[floor(b n / bins)]``, each once.
 
-    Positions are found in running counts of distinct values, which are all that is sorted.
+    Positions are found between the bounds that a sketch gives; runs small jobs at once.
     """
-    counts = sweep.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumns({"upto": F.sum("c").over(W.orderBy("v")), "n": F.sum("c").over(W.partitionBy(F.lit(1)))})
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.lit(b) * F.col("n") / bins), F.col("v"))) for b in range(1, bins)]
-    least = F.min("v")
-    return upto.agg(F.array_sort(F.array_distinct(F.array_compact(F.array(*picks)))).alias("edges"), least.alias("lo")).select(F.filter("edges", lambda e: e > F.col("lo")).alias("edges"))
+    marks = tuple(b / bins for b in range(1, bins))
+    whole = {f: b for b, f in enumerate(marks, 1)}
+    n, found = order_statistics(sweep, {"v": F.col(column)}, marks, lambda f, n: [whole[f] * n // bins])["v"]
+    lo = sweep.agg(F.min(F.col(column).cast("double")).alias("lo")).first().lo
+    edges = sorted({x[0] for x in found if x} - {lo})
+    return sweep.sparkSession.createDataFrame([(edges,)], "edges array<double>")
 
 
 def binned(sweep: DataFrame, column: str, name: str, bins: int = BINS) -> DataFrame:

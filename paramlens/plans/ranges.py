@@ -1,0 +1,81 @@
+"""Order over all rows without a task that holds them all: ranges of a column, running sums, order statistics."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Relative precision of the sketch that brackets are taken from.
+SKETCH = 10_000
+
+
+def ranged(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``_part``, which rises with the column: as many ranges of about equal counts as shuffles have partitions.
+
+    Equal values share a range. The cuts come from a mergeable sketch, one row for all tasks.
+    """
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(column, marks, SKETCH)).alias("_cuts"))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")  # one row
+
+
+def running(rows: DataFrame, column: str, sums: dict[str, Column], within: str | None = None) -> DataFrame:
+    """Adds sums over all rows up to this one in the order of a column without repeats, inside each ``within`` if given.
+
+    What comes before a range is added from its summary, so a task holds one range.
+    """
+    placed = rows if "_part" in rows.columns else ranged(rows, column)
+    keys = [within] if within else []
+    own = W.partitionBy("_part", *keys).orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    whole = placed.groupBy("_part", *keys).agg(*[F.sum(x).alias(f"_w_{n}") for n, x in sums.items()])
+    whole = whole.select("_part", *keys, *[F.sum(f"_w_{n}").over(before).alias(f"_b_{n}") for n in sums])  # one row a range
+    out = placed.withColumns({n: F.sum(x).over(own) for n, x in sums.items()}).join(whole, ["_part", *keys])
+    return out.withColumns({n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0)) for n in sums}).drop(*[f"_b_{n}" for n in sums])
+
+
+def nearest(f: float, n: int) -> list[int]:
+    """The position ``floor(f n)``, at most the last."""
+    return [min(int(f * n), n - 1)]
+
+
+def order_statistics(
+    rows: DataFrame, columns: dict[str, Column], fractions: tuple[float, ...], positions: Callable[[float, int], list[int]] = nearest
+) -> dict[str, tuple[int, list[list[float]]]]:
+    """By name: how many values a column has, and its exact values at ``positions(f, n)`` for each fraction.
+
+    Positions count from 0 in sorted order; nulls and NaN are left out. A sketch brackets each
+    position, and only the values inside are counted one by one, a few in ten thousand. Runs three jobs at once, which give
+    the driver a few numbers each.
+    """
+    slim = rows.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"v{i}") for i, c in enumerate(columns.values())])
+    room = 3 / SKETCH
+    marks = F.array(*[F.lit(min(1.0, max(0.0, f + d))) for f in fractions for d in (-room, room)])
+    sums = [x for i in range(len(columns)) for x in (F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", marks, SKETCH).alias(f"p{i}"))]
+    first = slim.agg(*sums).first()
+    brackets = []
+    for i in range(len(columns)):
+        for j, f in enumerate(fractions):
+            if first[f"n{i}"]:
+                lo, hi = first[f"p{i}"][2 * j : 2 * j + 2] if first[f"n{i}"] > SKETCH else (float("-inf"), float("inf"))
+                brackets.append((i, j, lo, hi, positions(f, first[f"n{i}"])))
+    found: dict[tuple[int, int], dict[int, float]] = {(i, j): {} for i, j, *_ in brackets}
+    if brackets:
+        below = slim.agg(*[F.sum((F.col(f"v{i}") < lo).cast("long")).alias(f"b{b}") for b, (i, _, lo, _, _) in enumerate(brackets)]).first()
+        inside = [F.struct(F.lit(b).alias("b"), F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")).alias("v")) for b, (i, _, lo, hi, _) in enumerate(brackets)]
+        counts = slim.select(F.inline(F.filter(F.array(*inside), lambda x: x["v"].isNotNull()))).groupBy("b", "v").agg(F.count("*").alias("c"))
+        upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy("b").orderBy("v")))
+        wanted = [(b, p, p - (below[f"b{b}"] or 0)) for b, (*_, at) in enumerate(brackets) for p in at]
+        asked = rows.sparkSession.createDataFrame(wanted, "b int, p long, rest long")
+        for r in upto.join(F.broadcast(asked), "b").where(F.col("upto") > F.col("rest")).groupBy("b", "p").agg(F.min("v").alias("v")).collect():
+            i, j, *_ = brackets[r.b]
+            found[i, j][r.p] = r.v
+    out = {}
+    for i, name in enumerate(columns):
+        n = first[f"n{i}"]
+        out[name] = (n, [[found[i, j][p] for p in positions(f, n)] if n else [] for j, f in enumerate(fractions)])
+    return out
