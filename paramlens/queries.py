@@ -7,10 +7,12 @@ discounted price is the outcome. ``orders`` and ``events`` stand in where order
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tails
 from .operators import bars, clusters, effects, gates, halves, interactions, members, pockets, runs, trials
 from .plans import cells, dims
 from .plans.cells import Target
@@ -106,15 +108,45 @@ def board_g(spark, d):
     return out.select("dim", F.round("G", 5).alias("G"), F.col("dfG").alias("df"))
 
 
-@query()
+_ALL = [*DIMS, "status_n"]
+_SIX = f"""{_SWEEP.replace('WITH ', 'WITH RECURSIVE ', 1)}, base AS (SELECT avg(y) AS m, avg(hit) AS mh FROM sweep), long AS ({_LONG} UNION ALL SELECT 'status_n', status_n, y, hit FROM sweep),
+cells AS (SELECT dim, level, count(y) AS n, sum(y - m) AS s, sum((y - m) * (y - m)) AS ss, sum((hit - mh) * (hit - mh)) AS sh, avg(y) AS mean, any_value(m) AS m, sum(hit) AS k, avg(hit) AS rate, any_value(mh) AS mh FROM long, base WHERE level IS NOT NULL GROUP BY dim, level)"""
+
+
+def _board(mean: str, s: str, ss: str, rest: str = "") -> str:
+    def end(way: str) -> str:
+        return f"(list(level ORDER BY {mean} {way}, level {way}) FILTER (n >= 30))[1]"
+
+    return f"""a AS (SELECT dim, CAST(sum(n) AS BIGINT) AS N, count(*) AS k, sum({s}) AS S, sum({ss}) AS SS, sum({s} * {s} / n) AS B, {end('DESC')} AS best, {end('ASC')} AS worst, max({mean}) FILTER (n >= 30) - min({mean}) FILTER (n >= 30) AS spread{rest} FROM cells WHERE n > 0 GROUP BY dim),
+v AS (SELECT *, SS - S * S / N AS sst, B - S * S / N AS ssb, k - 1 AS df1, N - k AS df2 FROM a),
+t AS (SELECT *, (ssb / df1) / ((sst - ssb) / df2) AS F, (ssb - df1 * (sst - ssb) / df2) / (sst + (sst - ssb) / df2) AS omega2, ssb / sst AS eta2 FROM v)"""
+
+
+_STRENGTH = "dim, N, k, best, worst, round(spread, 6) AS spread, round(F, 6) AS F, df1, df2, round(omega2, 8) AS omega2, round(eta2, 8) AS eta2"
+
+
+def _board_row(out: DataFrame, *more: str) -> DataFrame:
+    r = lambda c, n: F.round(c, n).alias(c)
+    return out.select("dim", "N", "k", "best", "worst", r("spread", 6), r("F", 6), "df1", "df2", r("omega2", 8), r("eta2", 8), *[r(c, 5) if c == "G" else c for c in more], r("p", 6), r("q", 6), "detectable")
+
+
+def _detected(sql: str) -> str:
+    return f"SELECT *, coalesce(q < 0.05, FALSE) AS detectable FROM ({sql})"
+
+
+@query(f"""{_SIX}, {_board('mean', 's', 'ss')}, u AS (SELECT *, {tails.f_tail('F', 'df1', 'df2')} AS p FROM t) {_detected(tails.with_q('u', _STRENGTH))}""")
 def board(spark, d):
     """Flagship: all dimensions by strength, with p and q."""
-    return effects.board(sweep(spark, d), PRICE, [*DIMS, "status_n"])
+    return _board_row(effects.board(sweep(spark, d), PRICE, _ALL))
 
 
-@query()
+_HITS = ", sum(k) AS kk, sum(CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END + CASE WHEN k = n THEN 0 ELSE (n - k) * ln(1 - rate) END) AS own"
+
+
+@query(f"""{_SIX}, {_board('rate', '(k - n * mh)', 'sh', _HITS)}, g AS (SELECT *, 2 * (own - kk * ln(kk / N) - (N - kk) * ln(1 - kk / N)) AS G, df1 AS dfG FROM t),
+u AS (SELECT *, {tails.chi2_tail('G', 'dfG')} AS p FROM g) {_detected(tails.with_q('u', _STRENGTH + ', round(G, 5) AS G, dfG'))}""")
 def board_binary(spark, d):
-    return effects.board(sweep(spark, d), HIT, [*DIMS, "status_n"])
+    return _board_row(effects.board(sweep(spark, d), HIT, _ALL), "G", "dfG")
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, (p_retailprice - floor(p_retailprice)) * p_size / 50 AS p FROM part),
@@ -138,26 +170,43 @@ def pair_cells(spark, d):
     return out.select(e("dims", 1).alias("a"), e("dims", 2).alias("b"), e("levels", 1).alias("la"), e("levels", 2).alias("lb"), "n", F.round(F.col("total") / F.col("n"), 4).alias("mean"))
 
 
-@query()
+_TEST = "N, cells, min_cell, round(F, 6) AS F, df, dfW, round(omega2, 8) AS omega2, sparse"
+_FIT = _SWEEP.replace("WITH ", "WITH RECURSIVE ", 1)
+_SETS = {k: list(combinations(DIMS, k)) for k in (2, 3)}
+_MODERATED = sorted({tuple(sorted((a, b))) for a in DIMS for b in DIMS[:2] if a != b})
+
+
+def _tested(out: DataFrame, *more: tuple[str, str]) -> DataFrame:
+    r = lambda c, n: F.round(c, n).alias(c)
+    own = [F.array_join("dims", "|").alias("dims"), "N", "cells", "min_cell", r("F", 6), F.col("df").cast("long").alias("df"), F.col("dfW").cast("long").alias("dfW"), r("omega2", 8), "sparse"]
+    return out.select(*own, *[F.round(c, 5).alias(name) for c, name in more], r("p", 6), r("q", 6), "detectable")
+
+
+@query(f"""{_FIT}, {tails.additive_fit(_SETS[2], _key)}, {tails.interaction_tests(2, 0)} {_detected(tails.with_q('tests', 'd AS dims, ' + _TEST))}""")
 def pairs(spark, d):
     """Interactions of all pairs, fitted on cells."""
-    return interactions.interactions(sweep(spark, d), PRICE, DIMS[:4])
+    return _tested(interactions.interactions(sweep(spark, d), PRICE, DIMS))
 
 
-@query()
+_RATE = _FIT.replace("SELECT *, (y > 40000)::INT::DOUBLE AS hit", "SELECT * EXCLUDE (y), (y > 40000)::INT::DOUBLE AS hit, (y > 40000)::INT::DOUBLE AS y")
+
+
+@query(f"""{_RATE}, {tails.additive_fit(_SETS[2], _key)}, {tails.interaction_tests(2, 0)}, {tails.logistic_fit()},
+dev AS (SELECT d, 2 * sum(CASE WHEN k = 0 THEN 0 ELSE k * ln(k / h) END + CASE WHEN k = n THEN 0 ELSE (n - k) * ln((n - k) / miss) END) AS dv FROM logistic GROUP BY d),
+u AS (SELECT * EXCLUDE (p), CASE WHEN df > 0 THEN {tails.chi2_tail('greatest(dv, 0)', 'df')} END AS p FROM tests JOIN dev USING (d)) {_detected(tails.with_q('u', 'd AS dims, ' + _TEST + ', round(dv, 5) AS deviance'))}""")
 def pairs_binary(spark, d):
-    return interactions.interactions(sweep(spark, d), HIT, DIMS[:3])
+    return _tested(interactions.interactions(sweep(spark, d), HIT, DIMS), ("D", "deviance"))
 
 
-@query()
+@query(f"""{_FIT}, {tails.additive_fit(_SETS[3], _key)}, {tails.interaction_tests(3, interactions.MIN_CELL)} {_detected(tails.with_q('tests', 'd AS dims, ' + _TEST))}""")
 def combos(spark, d):
     """Interactions of all sets of three."""
-    return interactions.interactions(sweep(spark, d), PRICE, DIMS[:4], 3)
+    return _tested(interactions.interactions(sweep(spark, d), PRICE, DIMS, 3))
 
 
-@query()
+@query(f"""{_FIT}, {tails.additive_fit(_MODERATED, _key)}, {tails.interaction_tests(2, 0)} {_detected(tails.with_q('tests', 'd AS dims, ' + _TEST))}""")
 def moderator_scan(spark, d):
-    return interactions.moderators(sweep(spark, d), PRICE, DIMS, ["l_returnflag", "l_linestatus"])
+    return _tested(interactions.moderators(sweep(spark, d), PRICE, DIMS, DIMS[:2]))
 
 
 @query(f"""{_SWEEP} SELECT l_returnflag AS a, l_linestatus AS b, CAST(l_linenumber AS VARCHAR) AS c, count(*) AS n, round(avg(y), 4) AS mean FROM sweep WHERE y IS NOT NULL GROUP BY ALL""")
@@ -315,9 +364,14 @@ def record_curve(spark, d):
     return out.select("event_id", F.col("at").cast("long").alias("place"), "best", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "record")
 
 
-@query()
+_EULER = "0.5772156649015329"
+
+
+@query(f"""{_FIT}, a AS (SELECT count(y) AS n, avg(y) AS mean, stddev_samp(y) AS sd FROM sweep), two AS (SELECT 1 AS e, 1.0 / n AS area FROM a UNION ALL SELECT 2, 1.0 / (n * exp(1)) FROM a),
+{tails.quantile('z', 'two', 'e, area', tails.z_tail('t_') + ' / 2', 'area', 16.0)}, l AS (SELECT *, mean + sd * ((1 - {_EULER}) * (SELECT t FROM z WHERE e = 1) + {_EULER} * (SELECT t FROM z WHERE e = 2)) AS line FROM a)
+SELECT n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(line, 4) AS line, (SELECT count(*) FROM sweep, l WHERE y > line) AS beyond FROM l""")
 def luck(spark, d):
-    return trials.luck(sweep(spark, d), PRICE)
+    return rounded(trials.luck(sweep(spark, d), PRICE), 4)
 
 
 @query("""WITH p AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem)
@@ -567,6 +621,8 @@ def arrived_after(spark, d):
     return runs.arrived_after(_table(spark, d, "orders"), "o_orderkey", 9000)
 
 
-@query()
+@query(f"""{_CELLS.replace('WITH ', 'WITH RECURSIVE ', 1)}, c AS (SELECT dim, level, n, mean, mean - m AS lift, sqrt((ss - s * s / n) / (n - 1)) AS sd FROM cells), df AS (SELECT DISTINCT n - 1 AS df FROM c WHERE n >= 30),
+{tails.quantile('q', 'df', 'df', tails.f_tail('(t_ * t_)', '1', 'df'), '0.05')}
+SELECT dim, level, n, round(CASE WHEN n >= 30 THEN mean END, 4) AS mean, round(mean - t * sd / sqrt(n), 4) AS lo, round(mean + t * sd / sqrt(n), 4) AS hi, round(sd, 4) AS sd, round(CASE WHEN n >= 30 THEN lift END, 4) AS lift, n < 30 AS withheld, FALSE AS dead FROM c LEFT JOIN q ON df = n - 1""")
 def portable_board(spark, d):
-    return runs.portable(effects.levels(sweep(spark, d), PRICE, DIMS))
+    return rounded(runs.portable(effects.levels(sweep(spark, d), PRICE, DIMS)).drop("hits"), 4)
