@@ -7,13 +7,18 @@ by a hash, with a distance that leaves missing values out; then every row is ass
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .halves import rank_scale
+from ..functions import intervals as I
+from ..plans.cells import Target, level_cells
+from ..plans.ranges import order_statistics
+from .halves import mann_whitney, rank_scale
 
 #: Rows that the number of groups, silhouettes and centres are found on, at most.
 CHOOSE, JUDGE, FIT = 2000, 1000, 20_000
@@ -87,6 +92,50 @@ def fit(x: np.ndarray, w: np.ndarray, seed: int = 0x5EED) -> tuple[np.ndarray, f
     return min((_lloyd(x[:FIT], best[1], w, rng) for _ in range(4)), key=lambda r: r[1])[0], best[0]
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """A target with what it tells: score, activity, risk or skill, if known; ``usable`` is false for flags, diagnostics and costs."""
+
+    column: str
+    kind: str | None = None
+    usable: bool = True
+
+
+def drawn_from(outcomes: list[Outcome]) -> list[Outcome]:
+    """The outcomes that groups are drawn from: those whose kind is known, scores first; all usable ones where only scores are."""
+    told = [o for kind in ("score", "activity", "risk", "skill") for o in outcomes if o.usable and o.kind == kind]
+    if any(o.kind != "score" for o in told):
+        return told
+    return [Outcome(o.column, "outcome") for o in outcomes if o.usable]
+
+
+def weights_of(outcomes: list[Outcome]) -> list[float]:
+    """Every kind weighs the same, shared among its outcomes."""
+    kinds = [o.kind for o in outcomes]
+    return [1 / kinds.count(k) for k in kinds]
+
+
+def profile(rows: DataFrame, cluster: str, outcomes: list[str]) -> DataFrame:
+    """(cluster, outcome, n, share_seen, median, rank, stands_out, high): what each group is like, one row an outcome.
+
+    The median is a value that a row has. A group stands out on the two outcomes whose mean rank is furthest from
+    the middle, of those that half of the group has. Groups are few; runs small jobs at once.
+    """
+    scaled = rows.select(cluster, *[F.col(c).cast("double").alias(c) for c in outcomes])
+    for c in outcomes:
+        scaled = rank_scale(scaled, c).withColumnRenamed("share", f"_r_{c}")
+    groups = [r[0] for r in rows.where(F.col(cluster).isNotNull()).select(cluster).distinct().orderBy(cluster).collect()]
+    columns = {(g, c): F.when(F.col(cluster) == g, F.col(c)) for g in groups for c in outcomes}
+    medians = order_statistics(rows, columns, (0.5,)) if columns else {}
+    table = rows.sparkSession.createDataFrame([(g, c, at[0][0] if n else None) for (g, c), (n, at) in medians.items()], f"`{cluster}` {dict(rows.dtypes)[cluster]}, outcome string, median double")
+    long = scaled.where(F.col(cluster).isNotNull()).select(cluster, F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("outcome"), F.col(f"_r_{c}").alias("r")) for i, c in enumerate(outcomes)])))
+    means = long.groupBy(cluster, "outcome", "i").agg(F.count("*").alias("n"), (F.count("r") / F.count("*")).alias("share_seen"), F.avg("r").alias("rank"))
+    seen = F.col("share_seen") >= 0.5
+    far = W.partitionBy(cluster).orderBy(F.desc_nulls_last(F.when(seen, F.abs(F.col("rank") - 0.5))), "i")
+    means = means.withColumn("stands_out", seen & (F.row_number().over(far) <= 2))
+    return means.join(table, [cluster, "outcome"]).select(cluster, "outcome", "n", "share_seen", "median", "rank", "stands_out", (F.col("rank") > 0.5).alias("high"))
+
+
 def assign(sweep: DataFrame, outcomes: list[str], key: list[str], weights: list[float] | None = None) -> DataFrame:
     """The key columns and ``cluster``, 0 the largest; null for rows with under half the weight, or without groups."""
     w = np.array(weights or [1.0] * len(outcomes))
@@ -118,3 +167,47 @@ def composition(sweep: DataFrame, dims: list[str], inside: Column) -> DataFrame:
     keys = keyed(sweep, dims)
     rows = sweep.select(*[keys[d].alias(d) for d in dims], F.coalesce(inside, F.lit(False)).cast("long").alias("_in"))
     return rows.unpivot(["_in"], dims, "dim", "level").where(F.col("level").isNotNull()).groupBy("dim", "level").agg(F.count("*").alias("n"), F.sum("_in").alias("n_in"))
+
+
+def apart(sweep: DataFrame, dims: list[str], inside: Column) -> DataFrame:
+    """(dim, n, n_in, G, df, V, p, q, detectable): how far each dimension's levels are shared out unlike inside a group, the furthest first.
+
+    G tests independence of being inside and the level; V is the root of G a row, at most 1.
+    """
+    from .effects import effects
+
+    own = Target("_in", binary=True)
+    cells = level_cells(sweep.withColumn("_in", F.coalesce(inside, F.lit(False)).cast("double")), own, dims)
+    sums = cells.groupBy("dim").agg(F.sum("total").cast("long").alias("n_in"))
+    out = I.with_q(effects(cells, own, "dim").join(sums, "dim"))
+    out = out.select("dim", F.col("N").alias("n"), "n_in", "G", F.col("dfG").alias("df"), F.least(F.lit(1.0), F.sqrt(F.col("G") / F.col("N"))).alias("V"), "p", "q", "detectable")
+    return out.orderBy(F.desc_nulls_last("V"), "dim")
+
+
+def outcome_tests(sweep: DataFrame, targets: list[Target], inside: Column, drawn: list[str] = ()) -> DataFrame:
+    """(outcome, test, n_in, n_out, value_in, value_out, shift, p, q): each outcome inside a group against the rest.
+
+    A binary outcome has a G test and rates, another one a Mann-Whitney test, medians left to ``profile``, and the
+    share of pairs in which the group's value is the larger. Outcomes that the group was drawn from aren't tested.
+    """
+    from .effects import effects
+
+    rows = sweep.withColumn("_in", F.coalesce(inside, F.lit(False)))
+    parts = None
+    for t in targets:
+        null = F.lit(None).cast("double")
+        if t.binary:
+            flagged = rows.withColumn("_g", F.when(F.col("_in"), "in").otherwise("out"))
+            cells = level_cells(flagged, t, ["_g"])
+            side = lambda g, c: F.max(F.when(F.col("level") == g, c))
+            rates = cells.groupBy("dim").agg(*[side(g, F.col("n")).alias(f"n_{g}") for g in ("in", "out")], *[side(g, F.col("total") / F.col("n")).alias(f"value_{g}") for g in ("in", "out")])
+            one = effects(cells, t, "dim").join(rates, "dim").select(F.lit(t.column).alias("outcome"), F.lit("G").alias("test"), "n_in", "n_out", "value_in", "value_out", null.alias("shift"), "p")
+        else:
+            means = rows.agg(F.avg(F.when(F.col("_in"), F.col(t.column))).alias("value_in"), F.avg(F.when(~F.col("_in"), F.col(t.column))).alias("value_out"))
+            one = mann_whitney(rows, t.column, "_in").crossJoin(F.broadcast(means)).select(  # one row
+                F.lit(t.column).alias("outcome"), F.lit("Mann-Whitney").alias("test"), F.col("na").alias("n_in"), F.col("nb").alias("n_out"), "value_in", "value_out", "shift", "p"
+            )
+        if t.column in drawn:
+            one = one.withColumn("p", null)
+        parts = one if parts is None else parts.unionByName(one)
+    return I.with_q(parts)

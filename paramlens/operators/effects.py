@@ -89,25 +89,6 @@ def acts_where(sweep: DataFrame, target: Target, dim: str, parents: list[str]) -
     return I.with_q(effects(cells, target, "parent", "level").where(F.col("N") >= 2 * I.MIN_N))
 
 
-def agreement(whole: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Boards and level tables of the whole window and its halves: what counts twice.
-
-    Each argument has dim, detectable, level and lift. A dimension counts twice when it is
-    detectable in all three and the lifts of its levels agree in sign between the halves.
-    """
-    def part(df: DataFrame, name: str) -> DataFrame:
-        return df.select("dim", "level", F.col("lift").alias(f"lift_{name}"), F.col("detectable").alias(f"detectable_{name}"))
-
-    both = part(whole, "whole").join(part(first, "first"), ["dim", "level"], "left").join(part(second, "second"), ["dim", "level"], "left")
-    out = both.groupBy("dim").agg(
-        *[F.bool_or(F.coalesce(f"detectable_{n}", F.lit(False))).alias(n) for n in ("whole", "first", "second")],
-        F.corr("lift_first", "lift_second").alias("agreement"),
-    )
-    twice = F.col("whole") & F.col("first") & F.col("second") & (F.coalesce("agreement", F.lit(0.0)) > 0)
-    shows = F.when(twice, "twice").when(F.col("first") & F.col("second"), "unlike").when(F.col("first"), "first").when(F.col("second"), "second").otherwise("whole")
-    return out.withColumn("twice", twice).withColumn("shows", F.when(F.col("whole"), shows))
-
-
 def settling(sweep: DataFrame, target: Target, dim: str, order: str, points: int = 60) -> DataFrame:
     """Running mean of each level at about 60 checkpoints of the context, once it has 30 rows.
 

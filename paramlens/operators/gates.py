@@ -47,6 +47,19 @@ def margin(gate: Gate) -> Column:
     return (v - gate.need) if gate.op in (">=", ">") else (gate.need - v)
 
 
+def read_gate(sweep: DataFrame, name: str, passed: Column, value: Column, need: Column, op: str, pattern: str | None = None, against: Column | None = None) -> DataFrame:
+    """Adds ``<name>_pass``, ``<name>_value`` and ``<name>_margin`` of a gate that a runner recorded.
+
+    The value is a number, a ratio to ``against``, or the first group of ``pattern`` in a text; what can't be read
+    is null. The margin is how far it is beyond the need, negative where it falls short.
+    """
+    number = F.regexp_extract(value.cast("string"), pattern, 1).try_cast("double") if pattern else value.cast("double")
+    if against is not None:
+        number = F.try_divide(number, F.nullif(against.cast("double"), F.lit(0.0)))
+    gap = number - need.cast("double") if op in (">=", ">") else need.cast("double") - number
+    return sweep.withColumns({f"{name}_pass": passed.cast("boolean"), f"{name}_value": number, f"{name}_margin": gap})
+
+
 def flags(sweep: DataFrame, gates: list[Gate]) -> DataFrame:
     """Adds ``pass_0``..., ``gates_all`` and ``gates_count``.
 

@@ -91,4 +91,5 @@ def mann_whitney(rows: DataFrame, column: str, group: str) -> DataFrame:
     off = F.col("U") - na * nb / 2
     spread = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1.0))))
     z = F.try_divide(F.signum(off) * F.greatest(F.lit(0.0), F.abs(off) - 0.5), F.nullif(spread, F.lit(0.0)))
-    return one.withColumns({"shift": F.col("U") / (na * nb), "z": z}).withColumn("p", kernel.column(kernel.z_p, F.col("z"))).select("na", "nb", "U", "shift", "z", "p")
+    one = one.withColumns({"shift": F.col("U") / (na * nb), "z": z})
+    return one.withColumn("p", F.when(spread == 0, F.lit(1.0)).otherwise(kernel.column(kernel.z_p, F.col("z")))).select("na", "nb", "U", "shift", "z", "p")

@@ -126,6 +126,45 @@ def moderators(sweep: DataFrame, target: Target, dims: list[str], parents: list[
     return interactions(sweep, target, order, 2, sets).where(F.col("p").isNotNull()).orderBy("p")
 
 
+def acts(sweep: DataFrame, target: Target, dim: str, parents: list[str]) -> DataFrame:
+    """Where a dimension acts, one row at most: its strongest detectable moderator, and the levels of that inside which it shows.
+
+    ``kind`` is "only" where a pooled test over the other levels finds nothing, "modulated" where it acts in
+    those too or in all, "unresolved" where no level has the rows to show it. ``pooled_p`` is the stratified
+    test over the other levels: summed squares for F, or summed G.
+    """
+    from .effects import acts_where
+
+    others = [p for p in parents if p != dim]
+    found = interactions(sweep, target, [*others, dim], 2, [(p, dim) for p in others])
+    top = found.where("detectable").select(F.element_at("dims", 1).alias("parent"), "p", "q").orderBy("p", "parent").limit(1)
+    inside = acts_where(sweep, target, dim, others).join(F.broadcast(top.withColumnRenamed("p", "_p").withColumnRenamed("q", "_q")), "parent")  # one row
+    on, off = F.col("detectable"), ~F.col("detectable")
+    off_sum = (lambda c: F.sum(F.when(off & F.col("G" if target.binary else "SSB").isNotNull(), F.col(c))))
+    pooled = [off_sum("G").alias("_g"), off_sum("dfG").alias("_d1")] if target.binary else [off_sum("SSB").alias("_b"), off_sum("SSW").alias("_w"), off_sum("df1").alias("_d1"), off_sum("df2").alias("_d2")]
+    one = inside.groupBy("parent").agg(
+        F.first("_p").alias("p"), F.first("_q").alias("q"), F.array_sort(F.collect_list(F.when(on, F.col("level")))).alias("on"),
+        F.array_sort(F.collect_list(F.when(off, F.col("level")))).alias("off"), F.max_by("level", F.when(on, F.struct("omega2", "level"))).alias("strongest"), *pooled,
+    )
+    if target.binary:
+        p = F.when(F.col("_d1") > 0, kernel.column(kernel.chi2_survival, F.col("_g"), F.col("_d1")))
+    else:
+        ratio = F.try_divide(F.col("_b") / F.col("_d1"), F.nullif(F.col("_w") / F.col("_d2"), F.lit(0.0)))
+        p = F.when((F.col("_d1") > 0) & (F.col("_d2") > 0) & (F.col("_w") > 0), kernel.column(kernel.f_survival, ratio, F.col("_d1"), F.col("_d2")))
+    one = one.withColumn("pooled_p", p)
+    kind = F.when(F.size("on") == 0, "unresolved").when((F.size("off") > 0) & (F.col("pooled_p") > I.ALPHA), "only").otherwise("modulated")
+    return one.select(F.lit(dim).alias("dim"), "parent", "p", "q", kind.alias("kind"), "on", "off", "pooled_p", "strongest")
+
+
+def chosen_set(tests: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(dims, why): the strongest detectable set; for pairs without one, the pair that was drawn together the most."""
+    best = tests.where("detectable").orderBy(F.desc("omega2"), "dims").limit(1).select("dims", F.lit("strongest").alias("why"), F.lit(0).alias("_o"))
+    if linked is not None:
+        drawn = linked.where("linked").orderBy(F.desc("V"), "a", "b").limit(1)
+        best = best.unionByName(drawn.select(F.array("a", "b").alias("dims"), F.lit("drawn together").alias("why"), F.lit(1).alias("_o")))
+    return best.orderBy("_o").limit(1).drop("_o")
+
+
 def pair_table(sweep: DataFrame, target: Target, a: str, b: str) -> DataFrame:
     """The cells of a pair with mean, interval and whether they are withheld."""
     from .effects import mean_interval
