@@ -79,7 +79,8 @@ def effects(cells: DataFrame, target: Target, *by: str) -> DataFrame:
 def board(sweep: DataFrame, target: Target, dims: list[str]) -> DataFrame:
     """All dimensions with their strength, p, q and extremes, detectable ones first and then by strength."""
     found = I.with_q(effects(level_cells(sweep, target, dims), target, "dim"))
-    return found.orderBy(F.desc("detectable"), F.desc(F.coalesce("omega2", F.lit(-1.0))), "dim")
+    # One row a dimension: sorted where it is, as a global sort would compute it twice.
+    return found.coalesce(1).sortWithinPartitions(F.desc("detectable"), F.desc(F.coalesce("omega2", F.lit(-1.0))), "dim")
 
 
 def acts_where(sweep: DataFrame, target: Target, dim: str, parents: list[str]) -> DataFrame:

@@ -123,7 +123,7 @@ def moderators(sweep: DataFrame, target: Target, dims: list[str], parents: list[
     """Interactions of each dimension with each parent, one family of tests, strongest first."""
     sets = sorted({tuple(sorted((d, p))) for d, p in product(dims, parents) if d != p})
     order = sorted({d for s in sets for d in s})
-    return interactions(sweep, target, order, 2, sets).where(F.col("p").isNotNull()).orderBy("p")
+    return interactions(sweep, target, order, 2, sets).where(F.col("p").isNotNull()).coalesce(1).sortWithinPartitions("p")
 
 
 def acts(sweep: DataFrame, target: Target, dim: str, parents: list[str]) -> DataFrame:

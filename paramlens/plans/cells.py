@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Facts are aggregated to joint cells first where there are at most a tenth as many.
+FEWER = 10
+
 
 @dataclass(frozen=True)
 class Target:
@@ -44,65 +46,70 @@ def value(target: Target) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def _moments() -> list[Column]:
-    """Count, sum, mean and squared distance to the mean, which merge without loss however large the mean."""
-    n = F.count("_y")
-    return [n.alias("n"), F.sum("_y").alias("total"), F.avg("_y").alias("_mean"), (F.var_pop("_y") * n).alias("_m2"), F.count("*").alias("rows")]
-
-
 def moments_of(sweep: DataFrame, target: Target) -> DataFrame:
     """One row: n, missing, total, base_mean, and s and ss about that mean."""
-    one = sweep.select(value(target).alias("_y")).agg(*_moments())
-    return one.select("n", (F.col("rows") - F.col("n")).alias("missing"), "total", F.col("_mean").alias("base_mean"), F.lit(0.0).alias("s"), F.col("_m2").alias("ss"))
+    y = value(target)
+    one = sweep.agg(F.count(y).alias("n"), (F.count("*") - F.count(y)).alias("missing"), F.sum(y).alias("total"), F.avg(y).alias("base_mean"), (F.var_pop(y) * F.count(y)).alias("ss"))
+    return one.withColumn("s", F.lit(0.0))
+
+
+@dataclass(frozen=True)
+class _Shifted:
+    """Rows, or joint cells where these are far fewer, by columns ``_0``... of the dimensions as they are, with sums about a mean."""
+
+    rows: DataFrame
+    sums: list[Column]
+    n: int
+    mean: float | None
 
 
-def _about(cells: DataFrame, mean: Column) -> DataFrame:
-    """Adds s and ss, the sums of distances to a mean and of their squares."""
-    off = F.col("_mean") - mean
-    none = F.col("n") == 0
-    return cells.withColumns(
-        {"s": F.when(none, F.lit(None)).otherwise(F.col("n") * off), "ss": F.when(none, F.lit(None)).otherwise(F.col("_m2") + F.col("n") * off * off)}
-    )
+def _shifted(sweep: DataFrame, target: Target, dims: list[str]) -> _Shifted:
+    """One small job at once finds the mean that sums are about, and about how many joint cells there are.
+
+    Where rows share cells, one aggregation of the facts gives these, and whatever sets of dimensions are
+    asked for are aggregated from them.
+    """
+    y = value(target)
+    base = sweep.agg(F.count("*").alias("rows"), F.count(y).alias("n"), F.avg(y).alias("mean"), F.approx_count_distinct(F.xxhash64(*dims)).alias("cells")).first()
+    d = F.col("_y") - F.lit(base.mean if base.mean is not None else 0.0)
+    rows = sweep.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(dims)], y.alias("_y"))
+    sums = [F.count("_y").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"), F.sum("_y").alias("total"), F.count("*").alias("rows")]
+    if base.cells * FEWER <= base.rows:
+        rows = rows.groupBy(*[f"_{i}" for i in range(len(dims))]).agg(*sums)
+        sums = [F.sum(c).alias(c) for c in ("n", "s", "ss", "total", "rows")]
+    return _Shifted(rows, sums, base.n, base.mean)
 
 
 def level_cells(sweep: DataFrame, target: Target, dims: list[str]) -> DataFrame:
     """(dim, level, n, s, ss, total, rows, base_n, base_mean): one scan for all dimensions.
 
-    Rows are aggregated within tasks by the columns as they are, so only levels are shuffled, and
-    texts are made of levels, not of rows. The cell of all rows gives the mean that sums are about.
+    Only cells are shuffled, and texts are made of levels, not of rows.
     """
-    kinds = dict(sweep.dtypes)
-    rows = sweep.select(*[F.col(d).alias(f"_{i}") for i, d in enumerate(dims)], value(target).alias("_y"))
+    kinds, made = dict(sweep.dtypes), _shifted(sweep, target, dims)
     own = [F.col(f"_{i}") for i in range(len(dims))]
-    cells = rows.groupingSets([*[[c] for c in own], []], *own).agg(*_moments(), F.grouping_id(*own).alias("_id"))
+    cells = made.rows.groupingSets([[c] for c in own], *own).agg(*made.sums, F.grouping_id(*own).alias("_id"))
     every = (1 << len(dims)) - 1
     at = {every ^ (1 << (len(dims) - 1 - i)): i for i in range(len(dims))}
     dim = F.create_map(*[x for k, i in at.items() for x in (F.lit(k), F.lit(dims[i]))])[F.col("_id").cast("int")]
     level = F.coalesce(*[F.when(F.col("_id") == k, key_of(f"_{i}", kinds[dims[i]])) for k, i in at.items()])
-    whole, all_cells = F.col("_id") == every, W.partitionBy(F.lit(1))  # over cells, not rows
-    cells = cells.withColumns(
-        {"dim": dim, "level": level, "base_n": F.max(F.when(whole, F.col("n"))).over(all_cells), "base_mean": F.max(F.when(whole, F.col("_mean"))).over(all_cells)}
-    )
-    found = _about(cells.where(F.col("level").isNotNull() & ~whole), F.col("base_mean"))
+    base = {"base_n": F.lit(made.n), "base_mean": F.lit(made.mean).cast("double")}
+    found = cells.withColumns({"dim": dim, "level": level} | base).where(F.col("level").isNotNull())
     return found.select("dim", "level", "n", "s", "ss", "total", "rows", "base_n", "base_mean")
 
 
 def set_cells(sweep: DataFrame, target: Target, dims: list[str], size: int, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """Cells of all sets of ``size`` dimensions, by grouping sets in one scan: (dims, levels, n, s, ss, total, base_mean).
+    """Cells of all sets of ``size`` dimensions, by grouping sets over one scan: (dims, levels, n, s, ss, total, base_mean).
 
-    Rows in which a dimension of the set doesn't apply, or the target is missing, are in no cell. Sums are about
-    the mean of the set's cells.
+    Rows in which a dimension of the set doesn't apply, or the target is missing, are in no cell.
     """
     sets = sets or list(combinations(dims, size))
     used = sorted({d for s in sets for d in s}, key=dims.index)
     place, kinds = {d: i for i, d in enumerate(used)}, dict(sweep.dtypes)
-    rows = sweep.select(*[F.col(d).alias(f"_{i}") for i, d in enumerate(used)], value(target).alias("_y")).where(F.col("_y").isNotNull())
+    made = _shifted(sweep.where(value(target).isNotNull()), target, used)
     own = [F.col(f"_{i}") for i in range(len(used))]
-    cells = rows.groupingSets([[own[place[d]] for d in s] for s in sets], *own).agg(*_moments(), F.grouping_id(*own).alias("_id"))
+    cells = made.rows.groupingSets([[own[place[d]] for d in s] for s in sets], *own).agg(*made.sums, F.grouping_id(*own).alias("_id"))
     ids = {sum(1 << (len(used) - 1 - i) for i, d in enumerate(used) if d not in s): s for s in sets}
     names = F.create_map(*[x for k, s in ids.items() for x in (F.lit(k), F.array(*map(F.lit, s)))])
     levels = F.array_compact(F.array(*[key_of(f"_{i}", kinds[d]) for d, i in place.items()]))
     cells = cells.withColumns({"dims": names[F.col("_id").cast("int")], "levels": levels}).where(F.size("levels") == F.size("dims"))
-    of_set = W.partitionBy("dims")  # over cells
-    cells = cells.withColumn("base_mean", F.sum("total").over(of_set) / F.sum("n").over(of_set))
-    return _about(cells, F.col("base_mean")).select("dims", "levels", "n", "s", "ss", "total", "base_mean")
+    return cells.select("dims", "levels", "n", "s", "ss", "total", F.lit(made.mean).cast("double").alias("base_mean"))

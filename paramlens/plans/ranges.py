@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,7 +68,8 @@ def order_statistics(
     if brackets:
         below = slim.agg(*[F.sum((F.col(f"v{i}") < lo).cast("long")).alias(f"b{b}") for b, (i, _, lo, _, _) in enumerate(brackets)]).first()
         inside = [F.struct(F.lit(b).alias("b"), F.when(F.col(f"v{i}").between(lo, hi), F.col(f"v{i}")).alias("v")) for b, (i, _, lo, hi, _) in enumerate(brackets)]
-        counts = slim.select(F.inline(F.filter(F.array(*inside), lambda x: x["v"].isNotNull()))).groupBy("b", "v").agg(F.count("*").alias("c"))
+        some = reduce(lambda a, b: a | b, [F.col(f"v{i}").between(lo, hi) for i, _, lo, hi, _ in brackets])  # nearly all rows go here
+        counts = slim.where(some).select(F.inline(F.filter(F.array(*inside), lambda x: x["v"].isNotNull()))).groupBy("b", "v").agg(F.count("*").alias("c"))
         upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy("b").orderBy("v")))
         wanted = [(b, p, p - (below[f"b{b}"] or 0)) for b, (*_, at) in enumerate(brackets) for p in at]
         asked = rows.sparkSession.createDataFrame(wanted, "b int, p long, rest long")

@@ -222,24 +222,24 @@ FROM (SELECT {_key(a)} AS la, count(*)::DOUBLE AS ra FROM lineitem GROUP BY 1),
 LEFT JOIN (SELECT {_key(a)} AS xa, {_key(b)} AS xb, count(*)::DOUBLE AS o FROM lineitem GROUP BY ALL) ON la = xa AND lb = xb"""
 
 
-@query(" UNION ALL ".join(_v(a, b) for a, b in _PAIRS))
+@query(f"""SELECT *, coalesce(p < 1e-6 AND V > 0.03, FALSE) AS linked FROM (SELECT *, round({tails.chi2_tail('chi2', 'df')}, 6) AS p FROM ({' UNION ALL '.join(_v(a, b) for a, b in _PAIRS)}))""")
 def independence(spark, d):
     out = interactions.association(sweep(spark, d), ["l_returnflag", "l_linestatus", "l_discount"])
-    return out.select("a", "b", F.col("N").cast("long").alias("N"), F.round("chi2", 5).alias("chi2"), "df", F.round("V", 7).alias("V"))
+    return out.select("a", "b", F.col("N").cast("long").alias("N"), F.round("chi2", 5).alias("chi2"), "df", F.round("V", 7).alias("V"), F.round("p", 6).alias("p"), "linked")
 
 
 @query(f"""{_SWEEP}, base AS (SELECT avg(y) AS m FROM sweep), cells AS (SELECT l_returnflag AS level, l_linenumber AS l2, count(y) AS n, sum(y - m) AS s, sum((y - m) * (y - m)) AS ss FROM sweep, base WHERE y IS NOT NULL GROUP BY ALL),
-a AS ({_ANOVA.format(by='level')}), v AS (SELECT *, SS - S * S / N AS sst, B - S * S / N AS ssb FROM a)
-SELECT 'l_returnflag' AS parent, level, CAST(N AS BIGINT) AS rows, round((ssb / (k - 1)) / ((sst - ssb) / (N - k)), 6) AS F FROM v WHERE N >= 60""")
+a AS ({_ANOVA.format(by='level')}), v AS (SELECT *, SS - S * S / N AS sst, B - S * S / N AS ssb FROM a),
+t AS (SELECT level, CAST(N AS BIGINT) AS rows, k - 1 AS d1, N - k AS d2, (ssb / (k - 1)) / ((sst - ssb) / (N - k)) AS F FROM v WHERE N >= 60), u AS (SELECT *, {tails.f_tail('F', 'd1', 'd2')} AS p FROM t) {tails.with_q('u', "'l_returnflag' AS parent, level, rows, round(F, 6) AS F")}""")
 def acts_where(spark, d):
     out = effects.acts_where(sweep(spark, d), PRICE, "l_linenumber", ["l_returnflag"])
-    return out.select("parent", "level", F.col("N").alias("rows"), F.round("F", 6).alias("F"))
+    return out.select("parent", "level", F.col("N").alias("rows"), F.round("F", 6).alias("F"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
-@query("""SELECT CAST(sum(n) AS BIGINT) AS N, count(*) AS k, round(sum(n * n) * count(*) / sum(n) - sum(n), 6) AS chi2 FROM (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1)""")
+@query(f"""SELECT *, p < 1e-6 AS uneven FROM (SELECT N, k, round(chi2, 6) AS chi2, round({tails.chi2_tail('chi2', '(k - 1)')}, 6) AS p FROM (SELECT CAST(sum(n) AS BIGINT) AS N, count(*) AS k, sum(n * n) * count(*) / sum(n) - sum(n) AS chi2 FROM (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1)))""")
 def uniformity(spark, d):
     out = interactions.uniformity(_table(spark, d, "events"), "event_type")
-    return out.select("N", "k", F.round("chi2", 6).alias("chi2"))
+    return out.select("N", "k", F.round("chi2", 6).alias("chi2"), F.round("p", 6).alias("p"), "uneven")
 
 
 POCKET = [("o_orderstatus", ["F", "O"]), ("o_orderpriority", ["1-URGENT", "2-HIGH"])]
@@ -282,9 +282,9 @@ def suggestions(spark, d):
     return rounded(pockets.suggest(sweep(spark, d), [], HIT, DIMS))
 
 
-@query(f"""SELECT * FROM orders WHERE {_IN} AND o_orderkey < 5000""")
+@query(f"""SELECT * FROM orders WHERE {_IN}""")
 def pocket_rows(spark, d):
-    return pockets.rows_in(_table(spark, d, "orders"), POCKET, "o_orderkey", 5000)
+    return pockets.rows_in(_table(spark, d, "orders"), POCKET)
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders o WHERE o_orderstatus IN ('F', 'O') AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')""")
@@ -347,21 +347,23 @@ _LIKE = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 
 @query("""WITH top AS (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20),
-c AS (SELECT t.o_orderkey, 1 AS depth, count(*) AS n, avg(o.o_totalprice) AS mean FROM top t JOIN orders o USING (o_orderstatus) WHERE o.o_orderkey <> t.o_orderkey GROUP BY 1
- UNION ALL SELECT t.o_orderkey, 2, count(*), avg(o.o_totalprice) FROM top t JOIN orders o USING (o_orderstatus, o_orderpriority) WHERE o.o_orderkey <> t.o_orderkey GROUP BY 1
- UNION ALL SELECT t.o_orderkey, 3, count(*), avg(o.o_totalprice) FROM top t JOIN orders o USING (o_orderstatus, o_orderpriority, o_custkey) WHERE o.o_orderkey <> t.o_orderkey GROUP BY 1)
-SELECT o_orderkey, depth, n, round(mean, 4) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY depth DESC) AS r FROM c WHERE n >= 30) WHERE r = 1""")
+c AS (SELECT t.o_orderkey, 1 AS depth, count(*) AS n, avg(o.o_totalprice) AS mean, stddev_samp(o.o_totalprice) AS sd FROM top t JOIN orders o USING (o_orderstatus) WHERE o.o_orderkey <> t.o_orderkey GROUP BY 1
+ UNION ALL SELECT t.o_orderkey, 2, count(*), avg(o.o_totalprice), stddev_samp(o.o_totalprice) FROM top t JOIN orders o USING (o_orderstatus, o_orderpriority) WHERE o.o_orderkey <> t.o_orderkey GROUP BY 1
+ UNION ALL SELECT t.o_orderkey, 3, count(*), avg(o.o_totalprice), stddev_samp(o.o_totalprice) FROM top t JOIN orders o USING (o_orderstatus, o_orderpriority, o_custkey) WHERE o.o_orderkey <> t.o_orderkey GROUP BY 1)
+SELECT o_orderkey, depth, n, round(mean, 4) AS mean, round(sd, 4) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY depth DESC) AS r FROM c WHERE n >= 30) WHERE r = 1""")
 def rows_like(spark, d):
     orders = _table(spark, d, "orders")
     listed = trials.top(orders, [("o_totalprice", 1)], "o_orderkey", 20)
-    return trials.like(orders, TOTAL, _LIKE, listed, "o_orderkey").select("o_orderkey", "depth", "n", F.round("mean", 4).alias("mean"))
+    return trials.like(orders, TOTAL, _LIKE, listed, "o_orderkey").select("o_orderkey", "depth", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
-@query("""WITH w AS (SELECT event_id, row_number() OVER o AS place, count(*) OVER () AS c, max(value) OVER o AS best, avg(value) OVER o AS mean, value > coalesce(max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e300) AS record FROM events WINDOW o AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, place, best, round(mean + 1e-9, 6) AS mean, record FROM w WHERE place % greatest(1, c // 400) = 0 OR record OR place = c""")
+@query("""WITH RECURSIVE w AS (SELECT event_id, row_number() OVER o AS place, count(*) OVER () AS c, max(value) OVER o AS best, avg(value) OVER o AS mean, stddev_samp(value) OVER o AS sd, value > coalesce(max(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e300) AS record FROM events WINDOW o AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT * FROM w WHERE place % greatest(1, c // 400) = 0 OR record OR place = c), n AS (SELECT place, 1 AS e, 1.0 / place AS area FROM k WHERE place > 1 UNION ALL SELECT place, 2, 1.0 / (place * exp(1)) FROM k WHERE place > 1),
+""" + tails.quantile("zs", "n", "place, e, area", f"({tails.z_tail('t_')}) / 2", "area", 16.0) + """, l AS (SELECT place, sum(CASE WHEN e = 1 THEN 1 - 0.5772156649015329 ELSE 0.5772156649015329 END * t) AS z FROM zs GROUP BY 1)
+SELECT event_id, k.place, best, round(mean + 1e-9, 6) AS mean, round(sd + 1e-9, 5) AS sd, CASE WHEN k.place > 2 THEN round(mean + sd * z + 1e-9, 4) END AS luck, record FROM k LEFT JOIN l ON l.place = k.place""")
 def record_curve(spark, d):
     out = trials.record_curve(_table(spark, d, "events"), Target("value"), "event_id")
-    return out.select("event_id", F.col("at").cast("long").alias("place"), "best", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "record")
+    return out.select("event_id", F.col("at").cast("long").alias("place"), "best", F.round(F.col("mean") + 1e-9, 6).alias("mean"), F.round(F.col("sd") + 1e-9, 5).alias("sd"), F.when(F.col("at") > 2, F.round(F.col("luck") + 1e-9, 4)).alias("luck"), "record")
 
 
 _EULER = "0.5772156649015329"
@@ -399,9 +401,9 @@ def _halves(spark, d):
 
 
 @query(_HALF + """, r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM v)
-SELECT count(*) AS n, round(corr(ra, rb), 8) AS rho FROM r""")
+SELECT n, round(rho, 8) AS rho, round(tanh(atanh(rho) - 1.959963984540054 * sqrt(1.06 / (n - 3))), 8) AS lo, round(tanh(atanh(rho) + 1.959963984540054 * sqrt(1.06 / (n - 3))), 8) AS hi FROM (SELECT count(*) AS n, corr(ra, rb) AS rho FROM r)""")
 def rank_agreement(spark, d):
-    return halves.rank_agreement(_halves(spark, d), "a", "b").select("n", F.round("rho", 8).alias("rho"))
+    return rounded(halves.rank_agreement(_halves(spark, d), "a", "b"), 8)
 
 
 @query(_HALF + """, r AS (SELECT *, row_number() OVER (ORDER BY a DESC, c) AS p, count(*) OVER () AS n FROM v), t AS (SELECT any_value(n) AS n, count(*) FILTER (p <= greatest(30, ceil(n / 10))) AS top,
@@ -423,11 +425,13 @@ def first_half_ranks(spark, d):
     return halves.first_half_ranks(_halves(spark, d), "a").where("a is not null").select("c", "rank_first")
 
 
-@query("""WITH r AS (SELECT event_type = 'click' AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS r FROM events), a AS (SELECT count(*) FILTER (g) AS na, count(*) FILTER (NOT g) AS nb, sum(r) FILTER (g) AS ra FROM r)
-SELECT na, nb, round(ra - na * (na + 1) / 2, 4) AS U, round((ra - na * (na + 1) / 2) / (na * nb), 8) AS shift FROM a""")
+@query("""WITH r AS (SELECT event_type = 'click' AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS r FROM events), a AS (SELECT count(*) FILTER (g) AS na, count(*) FILTER (NOT g) AS nb, sum(r) FILTER (g) AS ra, (SELECT sum(c::DOUBLE * c * c - c) FROM (SELECT count(*) AS c FROM events GROUP BY value)) AS ties FROM r),
+u AS (SELECT *, ra - na * (na + 1) / 2 AS u, na * nb / 2 AS mid, sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1.0)))) AS sd FROM a), z AS (SELECT *, sign(u - mid) * greatest(0, abs(u - mid) - 0.5) / sd AS z FROM u)
+SELECT na, nb, round(u, 4) AS U, round(u / (na * nb), 8) AS shift, round(z, 6) AS z, round(""" + tails.z_tail("z") + """, 6) AS p FROM z""")
 def mann_whitney(spark, d):
     rows = _table(spark, d, "events").withColumn("g", F.col("event_type") == "click")
-    return halves.mann_whitney(rows, "value", "g").select("na", "nb", F.round("U", 4).alias("U"), F.round("shift", 8).alias("shift"))
+    out = halves.mann_whitney(rows, "value", "g")
+    return out.select("na", "nb", *[F.round(c, n).alias(c) for c, n in (("U", 4), ("shift", 8), ("z", 6), ("p", 6))])
 
 
 @query("""WITH n AS (SELECT count(*) AS m FROM orders) SELECT o_orderkey, round((rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 - 0.5) / m, 8) AS share FROM orders, n""")
@@ -450,12 +454,13 @@ def member_effects(spark, d):
 
 
 @query("""WITH b AS (SELECT o_orderkey, o_totalprice AS y, array_to_string(list_sort(list_distinct(list(l_returnflag))), '|') AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
-l AS (SELECT s, count(*) AS n, avg(y) AS m FROM b GROUP BY s HAVING count(*) >= 2), w AS (SELECT s, n, m, string_split(s, '|') AS g FROM l), e AS (SELECT s, n, m, g, unnest(g) AS x FROM w)
-SELECT x AS "group", e.s AS "with", l.s AS without, e.n, l.n AS n_without, round(e.m - l.m, 4) AS delta FROM e JOIN l ON l.s = array_to_string(list_filter(g, lambda k: k <> x), '|')""")
+l AS (SELECT s, count(*) AS n, avg(y) AS m, var_samp(y) AS v FROM b GROUP BY s HAVING count(*) >= 2), w AS (SELECT s, n, m, v, string_split(s, '|') AS g FROM l), e AS (SELECT s, n, m, v, g, unnest(g) AS x FROM w),
+t AS (SELECT x, e.s AS a, l.s AS b, e.n, l.n AS n2, e.m - l.m AS delta, (e.m - l.m) / sqrt(e.v / e.n + l.v / l.n) AS z FROM e JOIN l ON l.s = array_to_string(list_filter(g, lambda k: k <> x), '|')), u AS (SELECT *, """ + tails.z_tail("z") + """ AS p FROM t)
+""" + tails.with_q("u", 'x AS "group", a AS "with", b AS without, n, n2 AS n_without, round(delta, 4) AS delta, round(z, 6) AS z'))
 def group_contrasts(spark, d):
     rows = _baskets(spark, d).withColumn("level", F.array_join("set", "|"))
     out = members.group_contrasts(rows, "level", Target("o_totalprice"))
-    return out.select("group", "with", "without", "n", "n_without", F.round("delta", 4).alias("delta"))
+    return out.select("group", "with", "without", "n", "n_without", *[F.round(c, k).alias(c) for c, k in (("delta", 4), ("z", 6), ("p", 6), ("q", 6))])
 
 
 @query()
@@ -540,12 +545,12 @@ def bar_windows(spark, d):
 
 
 def _votes(spark, d):
-    """Three members with a bar for most hours, and a signal each."""
+    """Three members and a signal each."""
     e = _table(spark, d, "events").select((F.col("event_id") % 3).cast("string").alias("member"), F.floor(F.col("event_id") / 3).alias("at"), (F.col("value") / 100).alias("prob"), ((F.col("value") - 50) / 10000).alias("ret"))
-    return e.where(F.col("at") % 7 != F.col("member").cast("int")).withColumn("pred", (F.col("prob") > 0.4).cast("double"))
+    return e.withColumn("pred", (F.col("prob") > 0.4).cast("double"))
 
 
-_VOTES = """WITH e AS (SELECT CAST(event_id % 3 AS VARCHAR) AS member, event_id // 3 AS t, value / 100 AS prob, (value - 50) / 10000 AS ret FROM events), v AS (SELECT *, (prob > 0.4)::INT AS pred FROM e WHERE t % 7 <> CAST(member AS INT))"""
+_VOTES = """WITH e AS (SELECT CAST(event_id % 3 AS VARCHAR) AS member, event_id // 3 AS t, value / 100 AS prob, (value - 50) / 10000 AS ret FROM events), v AS (SELECT *, (prob > 0.4)::INT AS pred FROM e)"""
 
 
 @query(_VOTES + """ SELECT t AS "time", CASE WHEN avg(pred) > 0.5 THEN 1 ELSE 0 END AS signal, arg_min(ret, member) AS ret FROM v GROUP BY 1 HAVING count(DISTINCT member) = 3""")
