@@ -90,8 +90,15 @@ def acts_where(sweep: DataFrame, target: Target, dim: str, parents: list[str]) -
     return I.with_q(effects(cells, target, "parent", "level").where(F.col("N") >= 2 * I.MIN_N))
 
 
+def extremes(sweep: DataFrame, target: Target, dim: str, each: int = 2) -> list[str]:
+    """The levels with the highest and the lowest means, so many of each, of those that aren't withheld; runs a job at once."""
+    shown = levels(sweep, target, [dim]).where(~F.col("withheld")).orderBy("mean", "level").select("level").collect()
+    names = [r.level for r in shown]
+    return names if len(names) <= 2 * each else [*names[:each], *names[-each:]]
+
+
 def settling(sweep: DataFrame, target: Target, dim: str, order: str, points: int = 60) -> DataFrame:
-    """Running mean of each level at about 60 checkpoints of the context, once it has 30 rows.
+    """Running mean of each level at about 60 checkpoints of the context, once it has 30 rows; see ``extremes`` for a choice of levels.
 
     ``order`` must be unique. Rows are cut into ranges of it, and what comes before a range is added from
     summaries.

@@ -49,6 +49,11 @@ def rows_in(sweep: DataFrame, conditions: Conditions, order: str | None = None,
     return rows if edge is None or order is None else rows.where(F.col(order) < edge)
 
 
+def without(rows: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that a removed block doesn't hold."""
+    return rows.join(removed.select(*keys).distinct(), keys, "left_anti")
+
+
 def _moments(y: Column, within: Column, name: str) -> list[Column]:
     own = F.when(within, y)
     return [F.count(own).alias(f"n_{name}"), F.avg(own).alias(f"mean_{name}"), F.var_samp(own).alias(f"var_{name}")]

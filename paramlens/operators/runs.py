@@ -127,6 +127,17 @@ def verdicts(report: dict) -> list[dict]:
     return [row(key, statistic) for key, statistic in STATISTIC_OF.items() if isinstance(parts["thresholds"].get(key), (int, float))]
 
 
+def catalog(rows: DataFrame, run: str, arrived: str) -> DataFrame:
+    """(run, rows, shards, first, last): what there is of each run, without reading its columns; needs ``shard``."""
+    return rows.groupBy(run).agg(F.count("*").alias("rows"), F.count_distinct("shard").alias("shards"), F.min(arrived).alias("first"), F.max(arrived).alias("last"))
+
+
+def evidence(there: bool, allowed: bool | None, failed: bool, pending: bool) -> str:
+    """Whether a diagnostic has what it needs: available, or why not: policy, failed, pending or missing; the first that holds."""
+    states = (("available", there), ("policy", allowed is False), ("failed", failed), ("pending", pending))
+    return next((name for name, holds in states if holds), "missing")
+
+
 def convergence(reports: DataFrame) -> DataFrame:
     """Convergence reports (pattern, rounds, warned) of several shards, summed."""
     return reports.groupBy("pattern").agg(F.sum("rounds").alias("rounds"), F.sum("warned").alias("warned")).orderBy("pattern")

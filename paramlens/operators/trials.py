@@ -14,6 +14,12 @@ from ..plans.ranges import order_statistics, ranged, running
 Keys = list[tuple[str, int]]
 
 
+def natural(column: str) -> Column:
+    """A text so that sorting it puts a2 before a10: every run of digits has 20."""
+    pieces = F.regexp_extract_all(F.col(column).cast("string"), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda x: F.when(F.rlike(x, F.lit("^[0-9]")), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+
 def _ordered(keys: Keys) -> list[Column]:
     return [F.desc_nulls_last(c) if better >= 0 else F.asc_nulls_last(c) for c, better in keys]
 
@@ -121,6 +127,15 @@ def distribution(sweep: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return placed.groupBy(label.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def compared(sweep: DataFrame, column: str, inside: Column, bins: int = 24) -> DataFrame:
+    """(bin, n_in, n_out): a histogram of a group against the rest, in bins over both, from the 1st to the 99th percentile."""
+    flagged = sweep.select(F.col(column).cast("double").alias("v"), F.coalesce(inside, F.lit(False)).alias("g")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, (low, high) = order_statistics(flagged, {"v": F.col("v")}, (0.01, 0.99))["v"]
+    lo, hi = (low[0], high[0]) if n else (0.0, 0.0)
+    at = F.when(F.col("v").between(lo, hi), F.least(F.coalesce(F.floor(F.try_divide((F.col("v") - lo) * bins, F.nullif(F.lit(hi - lo), F.lit(0.0)))), F.lit(0)), F.lit(bins - 1)))
+    return flagged.groupBy(at.alias("bin")).agg(F.sum(F.col("g").cast("long")).alias("n_in"), F.sum((~F.col("g")).cast("long")).alias("n_out"))
+
+
 def heap(sweep: DataFrame, column: str, share: float = 0.1) -> DataFrame:
     """The value that at least a tenth of the rows share, the commonest of these."""
     counts = sweep.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

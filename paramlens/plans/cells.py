@@ -27,12 +27,24 @@ class Target:
 
 
 def key_of(column: str, kind: str) -> Column:
-    """The text of a level, as JavaScript prints values: 3600, 0.1, true."""
+    """The text of a level, as JavaScript prints values: 3600, 0.1, 1e-7, true."""
     c = F.col(column)
-    if kind in ("double", "float"):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        return F.when(c.isNull(), F.lit(None)).when(whole, F.floor(c).cast("string")).otherwise(c.cast("string"))
-    return c.cast("string")
+    if kind not in ("double", "float"):
+        return c.cast("string")
+    text = c.cast("string")
+    # Spark writes numbers below a thousandth, and from ten million on, as 1.5E-4.
+    sign, whole, rest, power = (F.regexp_extract(text, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", i) for i in (1, 2, 3, 4))
+    digits = F.concat(whole, F.when(rest == "0", F.lit("")).otherwise(rest))
+    mantissa = F.concat(sign, whole, F.when(rest == "0", F.lit("")).otherwise(F.concat(F.lit("."), rest)))
+    size = F.abs(c)
+    return (
+        F.when(c.isNull(), F.lit(None)).when((c == F.floor(c)) & (size < 1e15), F.floor(c).cast("string"))
+        .when((c % 1 == 0) & (size < 1e21), c.cast("decimal(38,0)").cast("string"))
+        .when(power == "", text)
+        .when((size < 1e-3) & (size >= 1e-6), F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power.try_cast("int") - 1), digits))
+        .when((size < 1e21) & (size >= 1), F.concat(sign, F.substring(digits, F.lit(1), power.try_cast("int") + 1), F.lit("."), F.substring(digits, power.try_cast("int") + 2, F.length(digits))))
+        .otherwise(F.concat(mantissa, F.when(power.startswith("-"), F.lit("e")).otherwise(F.lit("e+")), power))
+    )
 
 
 def keyed(sweep: DataFrame, dims: list[str]) -> dict[str, Column]:

@@ -291,7 +291,7 @@ def pocket_rows(spark, d):
 def rows_removed(spark, d):
     rest = pockets.rows_in(_table(spark, d, "orders"), POCKET[:1])
     gone = _table(spark, d, "lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("o_orderkey"))
-    return rest.join(gone, "o_orderkey", "left_anti").select("o_orderkey", "o_totalprice")
+    return pockets.without(rest, gone, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
 GATES = [gates.Gate("l_quantity", ">=", 10), gates.Gate("l_extendedprice", "<=", 60000), gates.Gate("y", ">", 20000)]

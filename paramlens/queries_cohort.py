@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tails
@@ -235,3 +236,36 @@ def members_twice(spark, d):
 @query(f"""WITH {_inclusion('whole_', 'TRUE')}, q AS ({tails.with_q('whole_', 'member, z')}) SELECT 'set' AS column, count(*) AS members, bool_or(q < 0.05) AS detectable, arg_max(member, abs(z)) FILTER (q < 0.05) AS best FROM q""")
 def member_sets(spark, d):
     return members.set_groups(members.member_effects(_baskets(spark, d), "set", ["A", "N", "R"], Target("o_totalprice")), "set")
+
+
+@query("""WITH v AS (SELECT l_extendedprice AS v, l_quantity > 40 AS g FROM lineitem WHERE l_extendedprice IS NOT NULL), e AS (SELECT list_sort(list(v)) AS s, count(*) AS n FROM v), b AS (SELECT s[least(CAST(floor(0.01 * n) AS BIGINT), n - 1) + 1] AS lo, s[least(CAST(floor(0.99 * n) AS BIGINT), n - 1) + 1] AS hi FROM e)
+SELECT CASE WHEN v BETWEEN lo AND hi THEN CAST(least(floor((v - lo) * 24 / (hi - lo)), 23) AS BIGINT) END AS bin, count(*) FILTER (g) AS n_in, count(*) FILTER (NOT g) AS n_out FROM v, b GROUP BY 1""")
+def compared_distribution(spark, d):
+    from .operators.trials import compared
+
+    return compared(_table(spark, d, "lineitem"), "l_extendedprice", F.col("l_quantity") > 40).select(F.col("bin").cast("long").alias("bin"), "n_in", "n_out")
+
+
+@query("""SELECT name, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM (SELECT o_custkey, o_orderkey, 'run ' || o_custkey || ' of ' || o_orderkey AS name FROM orders) ORDER BY 2 LIMIT 100""")
+def natural_order(spark, d):
+    """Texts with numbers in them, in the order of the numbers."""
+    from .operators.trials import natural, top
+
+    rows = _table(spark, d, "orders").select(F.concat_ws(" ", F.lit("run"), "o_custkey", F.lit("of"), "o_orderkey").alias("name"))
+    first = top(rows.withColumn("key", natural("name")), [("key", -1)], "name", 100)
+    return first.select("name", F.row_number().over(W.orderBy("key")).alias("place"))  # a hundred rows
+
+
+@query(f"""{_SWEEP}, m AS (SELECT {_key('l_discount')} AS level, avg(y) AS mean FROM sweep GROUP BY 1 HAVING count(y) >= 30), r AS (SELECT *, row_number() OVER (ORDER BY mean, level) AS i, count(*) OVER () AS c FROM m) SELECT level FROM r WHERE i <= 2 OR i > c - 2""")
+def extreme_levels(spark, d):
+    from .operators.effects import extremes
+
+    return spark.createDataFrame([(x,) for x in extremes(sweep(spark, d), PRICE, "l_discount")], "level string")
+
+
+@query("""SELECT o_orderstatus AS run, count(*) AS rows, count(DISTINCT o_orderpriority) AS shards, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1""")
+def run_catalog(spark, d):
+    from .operators.runs import catalog
+
+    rows = _table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), F.col("o_orderpriority").alias("shard"), "o_orderkey")
+    return catalog(rows, "run", "o_orderkey")

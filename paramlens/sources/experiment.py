@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import copy
 import json
-from itertools import combinations
+import math
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rows import last_write, numbered_lines
+
 _SERIES = "array<double>"
 ROUND = (
     f"round_id string, _round_index long, probs {_SERIES}, preds {_SERIES}, optimal_threshold double, threshold_rule string, market_ref string, "
@@ -41,65 +43,104 @@ def reports(spark: SparkSession, directory: str) -> dict[str, dict | None]:
     return {name: json.loads(text) if text else None for name, text in found.items()}
 
 
-def differing(a: object, b: object, at: tuple[str, ...] = ()) -> list[str]:
-    """Dotted places where two declarations differ."""
-    if not (isinstance(a, dict) and isinstance(b, dict)):
-        return [] if json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True) else [".".join(at) or "the manifest"]
-    places = []
-    for key in sorted({*a, *b}):
-        both = key in a and key in b
-        places += differing(a[key], b[key], (*at, key)) if both else [".".join((*at, key))]
-    return places
+#: Where result directories of one run may differ.
+OWN_SETTINGS = ("uel.search.seed", "uel.output_path")
+
+
+def settings(manifest: dict) -> dict[str, str]:
+    """A manifest as a flat table: dotted place and JSON text of every value that isn't an object."""
+    table, todo = {}, [("", manifest)]
+    while todo:
+        place, node = todo.pop()
+        if isinstance(node, dict) and node:
+            todo += [(f"{place}.{key}" if place else key, inner) for key, inner in node.items()]
+        else:
+            table[place] = json.dumps(node, sort_keys=True)
+    return table
 
 
 def why_not_one_run(declared: dict[str, dict]) -> str | None:
-    """Why result directories can't be read as one run, or None.
+    """What keeps result directories from being read as one run, or None: all of it, in one text.
 
-    Their manifests may differ in seed and output path only, a grid search draws the same rounds
-    everywhere, and equal seeds do so too.
+    Every setting must have one value everywhere but for ``OWN_SETTINGS``. A grid search draws the same rounds in each
+    directory, and so does a seed that two share.
     """
-    def search(m: dict) -> dict:
-        return (m.get("uel") or {}).get("search") or {}
-
-    plain = {}
-    for label, manifest in declared.items():
-        bare = copy.deepcopy(manifest)
-        search(bare).pop("seed", None)
-        (bare.get("uel") or {}).pop("output_path", None)
-        plain[label] = bare
-    for (la, a), (lb, b) in combinations(plain.items(), 2):
-        if places := differing(a, b):
-            return f"{la} and {lb} ran different manifests: {', '.join(places[:3])}"
-    seeds: dict[str, str] = {}
-    for label, manifest in declared.items():
-        own = search(manifest)
-        if own.get("type") == "grid" and len(declared) > 1:
-            return f"{label} is a grid search, which draws the same rounds in every directory"
-        seed = json.dumps(own.get("seed"))
-        if own.get("seed") is not None and seed in seeds:
-            return f"{seeds[seed]} and {label} share the seed {seed}"
-        seeds[seed] = label
-    return None
+    tables = {label: settings(m) for label, m in declared.items()}
+    places = sorted({place for t in tables.values() for place in t} - set(OWN_SETTINGS))
+    unlike = [place for place in places if len({t.get(place) for t in tables.values()}) > 1]
+    seeds = Counter(t["uel.search.seed"] for t in tables.values() if t.get("uel.search.seed", "null") != "null")
+    grids = [label for label, t in tables.items() if t.get("uel.search.type") == '"grid"']
+    problems = [
+        f"settings differ: {', '.join(unlike)}" if unlike else None,
+        f"a grid search draws the same rounds everywhere: {', '.join(grids)}" if grids and len(tables) > 1 else None,
+        *[f"seed {seed} is shared by {n} directories" for seed, n in seeds.items() if n > 1],
+    ]
+    return "; ".join(p for p in problems if p) or None
+
+
+# The files that hold a run's rounds, and how its metadata declares the compressed form.
+PLAIN_ROUNDS = "round_data.jsonl"
+PACKED_ROUNDS = "round_data.jsonl.gz"
+
+
+def round_file(names: set[str], declared: str | None, packed: str) -> str:
+    """The file that holds the rounds; ``declared`` is the storage that metadata names, ``packed`` the name of the compressed one.
+
+    What is declared and what is there must fit: nothing declared means plain lines and no compressed file.
+    """
+    expected = {None: (PLAIN_ROUNDS, PACKED_ROUNDS), packed: (PACKED_ROUNDS, PLAIN_ROUNDS)}.get(declared)
+    if expected is None:
+        raise ValueError(f"unknown round storage {declared}")
+    own, other = expected
+    if other in names:
+        raise ValueError(f"{other} doesn't fit the declared storage, which is {declared or 'plain'}")
+    return own
 
 
 def round_log(spark: SparkSession, *paths: str) -> DataFrame:
-    """Round records from JSON lines or gzip members; records without an index are marked in ``bad``.
+    """Round records from JSON lines or gzip members, by file and line; records without an index, or torn ones, are marked in ``bad``.
 
-    Of records with one index the last written holds.
+    Of a file's records with one index the last written holds.
     """
-    lines = spark.read.text(list(paths)).where(F.trim("value") != "")
-    parsed = lines.select(F.monotonically_increasing_id().alias("line"), F.from_json("value", ROUND).alias("r"), F.col("value").alias("text"))
+    lines = numbered_lines(spark, *paths).where(F.trim("text") != "")
+    parsed = lines.select("shard", "line", F.from_json("text", ROUND).alias("r"), "text")
     index = F.col("r._round_index")
-    rows = parsed.select("line", "r.*", F.when(index.isNull() | (index < 0), F.col("text")).alias("bad"))
-    return rows
+    rows = parsed.select("shard", "line", "r.*", F.when(index.isNull() | (index < 0), F.col("text")).alias("bad"))
+    last = last_write(rows.where(F.col("bad").isNull()), ["shard", "_round_index"], "line")
+    return last.select(*rows.columns).unionByName(rows.where(F.col("bad").isNotNull()))
+
+
+def _unsound() -> Column:
+    """Why a round's recorded arrays can't be used, or null."""
+    e, n = F.col("execution"), F.size(F.col("execution")["pos"])
+    return (
+        F.when(e.isNull() | (F.coalesce(n, F.lit(-1)) <= 0), "no execution was recorded")
+        .when((F.size(e["gross"]) != n) | (F.size(e["net"]) != n), "execution arrays differ in length")
+        .when(F.col("market").isNotNull() & (F.size(F.col("market")["ret"]) != n), "market returns differ in length")
+    )
 
 
 def executions(rounds: DataFrame) -> DataFrame:
-    """Rounds whose recorded arrays are of one length, as ``member``, ``pos``, ``gross``, ``net`` and ``ret``."""
+    """Rounds whose recorded arrays are of one length, as ``member``, ``pos``, ``gross``, ``net`` and ``ret``; see ``left_out``."""
     e = F.col("execution")
-    n = F.size(e["pos"])
-    sound = (n > 0) & (F.size(e["gross"]) == n) & (F.size(e["net"]) == n) & (F.col("market").isNull() | (F.size(F.col("market")["ret"]) == n))
-    return rounds.where(sound).select(F.col("round_id").alias("member"), e["pos"].alias("pos"), e["gross"].alias("gross"), e["net"].alias("net"), F.col("market")["ret"].alias("ret"))
+    return rounds.where(_unsound().isNull()).select(F.col("round_id").alias("member"), e["pos"].alias("pos"), e["gross"].alias("gross"), e["net"].alias("net"), F.col("market")["ret"].alias("ret"))
+
+
+def left_out(rounds: DataFrame) -> DataFrame:
+    """(round_id, reason) of the rounds that ``executions`` leaves out."""
+    return rounds.select("round_id", _unsound().alias("reason")).where(F.col("reason").isNotNull())
+
+
+def search_space(params: dict[str, list], narrowed: dict[str, list] | None = None) -> dict:
+    """How many combinations a manifest's parameters span, now and with some cut to chosen values; choices it lacks are problems."""
+    narrowed = narrowed or {}
+    lists = {k: v if isinstance(v, list) else [v] for k, v in params.items()}
+    problems = [f"{k} is not a parameter" for k in narrowed if k not in lists]
+    problems += [f"{k} has no value {v}" for k, own in narrowed.items() if k in lists for v in own if v not in lists[k]]
+    cut = {k: [v for v in own if v in narrowed[k]] if k in narrowed else own for k, own in lists.items()}
+    problems += [f"{k} would have no values" for k, own in cut.items() if not own and lists[k]]
+    size = lambda table: math.prod(len(own) for own in table.values())
+    return {"params": len(lists), "combinations": size(lists), "narrowed": cut, "left": size(cut), "problems": problems}
 
 
 def hydrated(rounds: DataFrame, markets: DataFrame) -> DataFrame:

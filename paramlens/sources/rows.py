@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Levels of nesting that are flattened; longest list of numbers that is split; largest whole number a double holds.
@@ -71,11 +73,23 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
 
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(shard, line, text): every line of text files with its number in its file, from 1.
+
+    Files are read in blocks; a first pass counts the lines of each block, of which there are few, and the second
+    adds what comes before.
+    """
+    where = F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.text(list(paths)).select(*where, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    blocks = lines.groupBy("shard", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("shard", "_block", "_first", before.alias("_before"))
+    return lines.join(F.broadcast(blocks), ["shard", "_block"]).select("shard", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "text")
+
+
 def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """One row a line, in the parsed form; several directories are shards of one run. Blank lines are skipped."""
-    lines = spark.read.text(list(paths)).where(F.trim("value") != "")
-    lines = lines.select(F.col("_metadata.file_path").alias("shard"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))
-    return lines.mapInArrow(_parsed, _ROW)
+    return numbered_lines(spark, *paths).where(F.trim("text") != "").mapInArrow(_parsed, _ROW)
 
 
 def good(rows: DataFrame) -> DataFrame:
@@ -100,16 +114,17 @@ def fields_of(rows: DataFrame) -> DataFrame:
 def typed(rows: DataFrame, fields: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows with a typed column for each field, dots as underscores, ``__shard`` and ``__present``.
 
-    Without ``fields`` the kinds are surveyed; they are as many as the names in the data.
+    A dot stays where the name with an underscore is another field's. Without ``fields`` the kinds are surveyed, which
+    runs a job at once; they are as many as the names in the data.
     """
     known = fields if fields is not None else [(r["name"], r["kind"]) for r in fields_of(rows).orderBy("name").collect()]
     casts = {"num": lambda c: c.cast("double"), "bool": lambda c: c.cast("boolean"), "set": lambda c: F.from_json(c, "array<string>")}
-    columns = []
+    columns, flat = [], Counter(name.replace(".", "_") for name, _ in known)
     for name, kind in known:
         raw = F.element_at("fields", F.lit(name))
         if kind == "json":  # texts among values of other kinds are quoted, so that each reads back as it was
             raw = F.when(F.element_at("kinds", F.lit(name)) == "str", F.to_json(F.array(raw)).substr(F.lit(2), F.length(F.to_json(F.array(raw))) - 2)).otherwise(raw)
-        columns.append(casts.get(kind, lambda c: c)(raw).alias(name.replace(".", "_")))
+        columns.append(casts.get(kind, lambda c: c)(raw).alias(plain if flat[plain := name.replace(".", "_")] == 1 else name))
     return good(rows).select(F.col("shard").alias("__shard"), F.col("line").alias("__line"), F.col("present").alias("__present"), *columns)
 
 
@@ -170,6 +185,15 @@ def interleaved(shards: list[DataFrame], order: str) -> DataFrame:
     return out.orderBy(F.asc_nulls_first(order), "__shard_index")
 
 
+def merged_history(history: DataFrame, arrived: DataFrame, index: str, place: str, shard: str) -> DataFrame:
+    """A run whose files were read at first and followed since: old rows by round index, else by place, then shard; new ones as they came.
+
+    Adds ``__at``, the time of arrival, null for old rows, which ``arrived`` has.
+    """
+    old = history.withColumn("__at", F.lit(None).cast("timestamp"))
+    return old.unionByName(arrived, allowMissingColumns=True).orderBy(F.asc_nulls_first("__at"), F.coalesce(index, place), shard)
+
+
 def last_write(rounds: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a key, the one written last."""
     columns = [c for c in rounds.columns if c not in keys]
