@@ -76,10 +76,7 @@ class Model:
     rotations: list[np.ndarray]
 
 
-def fit(sample: np.ndarray, rounds: int, rotations: int = 1) -> Model:
-    """Principal axes, rotated in turns to fit the signs and the signs to the rotation, from different beginnings."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(axis=0)
+def _turned(unit: np.ndarray, mean: np.ndarray, rounds: int, rotations: int) -> Model:
     _, _, axes = np.linalg.svd(unit - mean, full_matrices=True)
     low = (unit - mean) @ axes.T
     found = []
@@ -92,6 +89,32 @@ def fit(sample: np.ndarray, rounds: int, rotations: int = 1) -> Model:
     return Model(mean, found)
 
 
+def _torn(unit: np.ndarray, model: Model, cosine: float) -> bool:
+    """Whether codes set linked vectors of the sample further apart than their angles account for."""
+    near = np.triu(unit @ unit.T >= cosine, 1)
+    a, b = np.nonzero(near)
+    if len(a) < 30:
+        return False
+    pick = np.random.default_rng(5).integers(0, len(a), 5000)
+    a, b = a[pick], b[pick]
+    angles = np.arccos(np.clip((unit[a] * unit[b]).sum(axis=1), -1, 1)) / math.pi
+    codes = (unit - model.mean) @ model.rotations[0] >= 0
+    return bool((codes[a] != codes[b]).mean() > 1.1 * angles.mean())
+
+
+def fit(sample: np.ndarray, rounds: int, rotations: int = 1, cosine: float = 0.98) -> Model:
+    """Principal axes, rotated in turns to fit the signs and the signs to the rotation, from different beginnings.
+
+    Vectors are centred, which balances the codes, unless that tears near vectors apart: where
+    a large part of them lies around one direction, what is left after centring is mostly noise.
+    """
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    model = _turned(unit, unit.mean(axis=0), rounds, rotations)
+    if _torn(unit, model, cosine):
+        return _turned(unit, np.zeros(unit.shape[1]), rounds, rotations)
+    return model
+
+
 def _drawn(size: int, rotations: int) -> Model:
     rng = np.random.default_rng(size)
     return Model(np.zeros(size), [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(rotations)])
@@ -262,7 +285,7 @@ def groups(vectors: DataFrame, p: Params = Params()) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label")
     )
     sample, tables = sample_of(slim, p), Tables.of(slim.count(), p)
-    model = fit(sample, p.rounds, tables.rotations(sample.shape[1])) if sample is not None else None
+    model = fit(sample, p.rounds, tables.rotations(sample.shape[1]), p.cosine) if sample is not None else None
     coded = Written(slim.mapInArrow(_encode(model, tables), "vec_id long, node binary, label long, vector binary, keys array<long>, code binary")).df
     live = coded.where(F.col("node").isNotNull())
     nodes = Written(

@@ -241,8 +241,10 @@ def _by_rare_shingles(rest: DataFrame, p: Params) -> DataFrame:
     these at first, so they meet nobody, however large their group.
     """
     every = Written(rest.mapInArrow(_all_shingles(p), "node binary, component binary, n long, shingle long")).df
-    spread = every.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    shared = every.join(spread, "shingle")
+    spread = Written(every.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") > 1)).df
+    # Shingles of a 10,000th of all rows or more, of which there are 10,000 at most, are broadcast, so none fills a task.
+    often = F.broadcast(spread.where(F.col("df") > max(1000, every.count() // 10_000)))
+    shared = every.join(often, "shingle").unionByName(every.join(often.select("shingle"), "shingle", "left_anti").join(spread, "shingle"))
     own = W.partitionBy("node")
     alone = F.col("n") - F.count("*").over(own)  # shingles that no other node has come first
     allowed = F.col("n") - F.ceil(F.col("n") * p.num / p.den) + 1

@@ -45,7 +45,7 @@ PLACES = 10_000
 _BLOCK = "block long, ids binary, present binary, offsets binary, data binary"
 _CANDIDATE = "anchor long, part long, doc_id long, block long, at int, offsets int, hashes binary"
 _DECIDED = "block long, at int, again int"
-_RESULT = "doc_id long, n_words long, n_removed long, kept binary"
+_RESULT = "doc_id long, n_words long, n_removed long, kept binary, repeats array<struct<first:int,last:int>>"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,8 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _removed(block: pa.Table, again: pa.Table) -> pa.Table:
     """The documents of a block without repeated words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+    stretch = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("repeats", pa.list_(stretch))])
     if not block.num_rows:
         return schema.empty_table()
     b = _Block.of(block)
@@ -207,11 +208,13 @@ def _removed(block: pa.Table, again: pa.Table) -> pa.Table:
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + LENGTH, -1)
     keep = np.cumsum(edges)[:n] == 0
-    kept, counts = [], []
+    kept, counts, repeats = [], [], []
     for first, last, begin, end in zip(b.words.first, b.words.last, b.offsets[:-1], b.offsets[1:], strict=True):
         words = b.data[begin:end].split()
         own = keep[first:last]
         counts.append(int(len(own) - own.sum()))
+        ends = np.flatnonzero(np.diff(np.concatenate(([True], own, [True])).astype(np.int8))).tolist() if counts[-1] else []
+        repeats.append([{"first": i, "last": j} for i, j in zip(ends[::2], ends[1::2])])
         kept.append(b" ".join(words if own.all() else compress(words, own.tolist())))
     return pa.table(
         {
@@ -219,13 +222,18 @@ def _removed(block: pa.Table, again: pa.Table) -> pa.Table:
             "n_words": (b.words.last - b.words.first).astype(np.int64),
             "n_removed": np.array(counts, dtype=np.int64),
             "kept": pa.array(kept, pa.binary()),
+            "repeats": pa.array(repeats, pa.list_(stretch)),
         },
         schema=schema,
     )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): kept words joined by single spaces, as UTF-8 bytes."""
+    """(doc_id, n_words, n_removed, kept, repeats): kept words joined by single spaces, as UTF-8 bytes.
+
+    ``repeats`` are the maximal stretches of words that are gone, from ``first`` up to before ``last``, each of at
+    least ``LENGTH`` words.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = slim.mapInArrow(_packed, _BLOCK)
     anchors = blocks.mapInArrow(_anchors, "anchor long, block long, n long")
