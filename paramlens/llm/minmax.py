@@ -37,6 +37,8 @@ from .hashing import Words, lowered, mix, pieces, utf8, words_of
 PIVOTS = 8
 #: A bucket's nodes are dealt over so many parts to find its least ones.
 SPLITS = 16
+#: Nodes on a side of the blocks in which the nodes of a frequent shingle meet.
+BLOCK = 1000
 _PIECE = 400_000
 #: Documents of a batch that are worked on together.
 _ROWS = 1000
@@ -252,13 +254,17 @@ def _by_rare_shingles(rest: DataFrame, p: Params) -> DataFrame:
     rare = shared.withColumn("place", alone + place).withColumn("_left", allowed - F.col("place")).where(F.col("_left") >= 0)
     rare = Written(rare.select("shingle", "node", "component", "n", (F.col("n") - F.col("place") + 1).alias("onwards"))).df
     kinds = rare.groupBy("shingle", "component").agg(F.count("*").alias("c"))
-    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("main")).where(F.col("k") > 1).drop("k")
+    sides = F.ceil(F.sum("c") / BLOCK).cast("int").alias("sides")
+    mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("main"), sides).where(F.col("k") > 1).drop("k")
     met = rare.join(mixed, "shingle")
-    left = met.where(F.col("component") != F.col("main")).select("shingle", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("onwards").alias("oa"))
-    right = met.select("shingle", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("onwards").alias("ob"), (F.col("component") == F.col("main")).alias("most"))
+    # The nodes of a frequent shingle meet in a square of blocks, so that no task holds all of them.
+    own = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
+    every_block = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    left = met.where(F.col("component") != F.col("main")).select("shingle", own.alias("i"), every_block.alias("j"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("onwards").alias("oa"))
+    right = met.select("shingle", own.alias("j"), every_block.alias("i"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("onwards").alias("ob"), (F.col("component") == F.col("main")).alias("most"))
     near = (F.col("ca") != F.col("cb")) & (F.col("most") | (F.col("a") < F.col("b")))
     near = near & (F.least("oa", "ob") * (p.den + p.num) >= (F.col("na") + F.col("nb")) * p.num)
-    return left.join(right, "shingle").where(near).select("a", "b").distinct()
+    return left.join(right, ["shingle", "i", "j"]).where(near).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -350,6 +350,20 @@ def test_near_duplicates(spark, empty):
     assert sorted(map(tuple, minmax.digest_row(odd).collect()), key=str) == sorted([(None, 2, 7, False), (None, 0, None, True), (7, 2, 7, True), (7, 2, 7, True)], key=str)
 
 
+def test_frequent_shingles_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minmax, "BLOCK", 3)
+    monkeypatch.setattr(minmax, "PIVOTS", 1)
+    rng = random.Random(18)
+    base, rows = prose(rng, 120), []
+    for i in range(60):
+        words = base.split()
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        rows.append((i, " ".join(words)))
+    got = {r[0]: tuple(r)[1:] for r in minmax.digest_row(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_groups(rows, 3, 85, 100)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 32))
