@@ -256,7 +256,7 @@ def _by_rare_shingles(rest: DataFrame, p: Params) -> DataFrame:
     kinds = rare.groupBy("shingle", "component").agg(F.count("*").alias("c"))
     sides = F.ceil(F.sum("c") / BLOCK).cast("int").alias("sides")
     mixed = kinds.groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("main"), sides).where(F.col("k") > 1).drop("k")
-    met = rare.join(mixed, "shingle")
+    met = looked_up(rare, Written(mixed).df, "shingle").where(F.col("main").isNotNull())
     # The nodes of a frequent shingle meet in a square of blocks, so that no task holds all of them.
     own = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
     every_block = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
