@@ -7,8 +7,9 @@ taken to the target. The place of a document in that order comes from counts of
 that no source is ever in one task.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0. Sources
-without words have target 0. Rows with equal or null ids are sampled one by one; those of one
-size are interchangeable and lie in one bin. Very long texts are documents like others. An empty table gives an empty one. The caller's columns stay as
+without words have target 0. Rows with equal or null ids are sampled one by one and spread over
+bins by their texts; rows of one id and text are interchangeable and lie in one bin. Very long
+texts are documents like others. An empty table gives an empty one. The caller's columns stay as
 they are; only ``size`` is read if there is one. Plain column expressions only; the offset and
 the order come from digests, so reruns agree.
 """
@@ -65,15 +66,17 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3,
     return rows.select("skey", "source_size", target.otherwise(F.col("_level") * F.col("weight")).alias("target"))
 
 
-def sample(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
+def sample(docs: DataFrame, seed: str = "mix", text_digest: Column | None = None, **shares) -> DataFrame:
     """(_doc, size, source_size, target, copies): every document as a struct, also those taken 0 times.
 
-    A column ``size`` is taken as the number of words.
+    A column ``size`` is taken as the number of words. ``text_digest`` tells rows of one id apart, by
+    default the digest of the text.
     """
+    told = F.md5(F.coalesce("text", F.lit(""))) if text_digest is None else text_digest
     size = F.col("size").cast("long") if "size" in docs.columns else n_words(F.col("_flat"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", *(["size"] if "size" in docs.columns else [squeezed("text").alias("_flat")]))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", told.alias("_told"), *(["size"] if "size" in docs.columns else [squeezed("text").alias("_flat")]))
     rows = rows.withColumn("size", size).drop("_flat").withColumn("_skey", source_key())
-    rows = rows.withColumn("_digest", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    rows = rows.withColumn("_digest", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_told"))).drop("_told")
     # Eight classes of size for each power of two.
     length = F.length(F.bin("size"))
     rows = rows.withColumn("_class", length * 16 + F.call_function("shiftright", F.col("size") * 8, length - 1).cast("int"))
@@ -104,5 +107,6 @@ def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
 
 
 def digest_row(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    rows = sample(sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), seed)
+    slim = sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", F.md5(F.coalesce("text", F.lit(""))).alias("told"))
+    rows = sample(slim, seed, F.col("told"))
     return rows.select("_doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -22,7 +22,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM n"""
 
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT *, length(bin(size)) * 16 + ((size * 8) >> (length(bin(size)) - 1)) AS cl, CAST('0x' || h[1:4] AS BIGINT) % 256 AS sp FROM d),
 s AS (SELECT k, CAST(sum(size) AS BIGINT) AS ss, (row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS w FROM d GROUP BY k),
 r AS (SELECT *, ss * 3 AS cap, (ss * 3) / w AS ratio FROM s),

@@ -201,6 +201,16 @@ def test_mixing(docs, empty, texts):
     assert out.columns == docs.columns and mixing.mix(empty).count() == 0
 
 
+def test_mixing_rows_of_one_id(spark):
+    rows = [(None if i % 2 else 5, f"word{i} and two more", "en", "a" if i % 3 else "b", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS).drop("n_chars")
+    got = mixing.sample(docs).groupBy("_doc.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert len(got) == 2 and all(abs(r["taken"] - r["target"]) <= 4 and r["most"] <= 3 for r in got)
+    text = F.col("_doc.text")
+    first, again = (sorted(map(tuple, mixing.sample(x).select(text, "copies").collect())) for x in (docs, docs.repartition(7)))
+    assert first == again, "which of the rows of one id are taken depends on their texts alone"
+
+
 def test_url_rules_and_aliases(spark):
     urls = [
         None, "no scheme", "http://Example.com/en/a", "https://www.example.com/en/a", "http://a.net/es/x?q#f", "http://net/fr/", "http://xnet/fr/",
