@@ -17,6 +17,7 @@ _OPERATORS = {
     "op8_mixing": ("mixing", "documents"),
     "op9_itq": ("itq", "embeddings"),
     "op10_minmax": ("minmax", "documents"),
+    "op12_periods": ("periods", "documents"),
 }
 
 
