@@ -18,6 +18,7 @@ _OPERATORS = {
     "op9_itq": ("itq", "embeddings"),
     "op10_minmax": ("minmax", "documents"),
     "op12_periods": ("periods", "documents"),
+    "op13_repair": ("repair", "conversations"),
 }
 
 

@@ -86,4 +86,34 @@ spread AS (SELECT a AS url FROM reach JOIN known ON b = known.url GROUP BY a HAV
 p AS (SELECT page_id, url, {_parts('url')} FROM pages)
 SELECT page_id, host, path, {_rule('rule')} AS rule, coalesce({_rule('verdict')}, CASE WHEN url IN (SELECT url FROM spread) THEN 'block' END, 'allow') AS verdict FROM p"""
 
-ORACLE = {"op1_url_filter": URLS, "op3_quality": QUALITY, "op5_substring": SUBSTRING, "op8_mixing": MIXING, "op9_itq": VECTORS, "op10_minmax": NEAR}
+#: Ways to insert before a row: state, state after, letters, added rows. And edits of a row that may stay: state, role, state after, letter, role, cost.
+_INSERTS = "(0, 0, '', ''), (0, 2, 'I', 'u'), (0, 3, 'II', 'ua'), (1, 1, '', ''), (1, 2, 'I', 'u'), (1, 3, 'II', 'ua'), (2, 2, '', ''), (2, 3, 'I', 'a'), (3, 3, '', ''), (3, 2, 'I', 'u')"
+_STAYS = "(0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (3, 'u', 2, 'K', 0), (0, '', 2, 'R', 3), (1, '', 2, 'R', 3), (2, '', 3, 'R', 3), (3, '', 2, 'R', 3)"
+_SHOWN = "replace(replace({}, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10))"
+
+#: Costs, audits and texts of each conversation's first rows, by the state they leave, row by row.
+REPAIR = rf"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n))),
+plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+coded AS (SELECT plain.*, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INT)])), 4294967295) % 20 AS way FROM plain, tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, unnest(range(CASE way WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i FROM hurt),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+  WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM r),
+g AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+ins(s, s2, le, added) AS (VALUES {_INSERTS}), stay(s, ini, s2, le, c) AS (VALUES {_STAYS}),
+ops AS (SELECT conv_id, i, s, s2, le, c + CASE WHEN fault = 3 THEN 3 ELSE 0 END AS c, CASE WHEN le = 'K' THEN role WHEN s2 = 3 THEN 'assistant' ELSE 'user' END || ':' || text || chr(10) AS shown FROM f JOIN stay ON stay.ini IN (f.ini, '') WHERE fault IN (0, 3)
+  UNION ALL SELECT conv_id, i, s, s, 'D', 4, '' FROM f, (VALUES (0), (1), (2), (3)) AS v(s)),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'shown': ''}} AS b FROM counts
+  UNION ALL SELECT w.conv_id, w.i + 1, o.s2, min({{'cost': w.b.cost + 3 * length(ins.le) + o.c, 'audit': w.b.audit || ins.le || o.le, 'shown': w.b.shown || {_SHOWN.format("ins.added")} || o.shown}})
+  FROM walk w JOIN ins ON ins.s = w.s JOIN ops o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.i = w.i + 1 AND o.s = ins.s2 GROUP BY w.conv_id, w.i, o.s2),
+done AS (SELECT w.conv_id, min({{'cost': w.b.cost + 3 * length(ins.le), 'audit': w.b.audit || ins.le, 'shown': w.b.shown || {_SHOWN.format("ins.added")}}}) AS b
+  FROM walk w JOIN ins ON ins.s = w.s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i WHERE ins.s2 IN (0, 3) GROUP BY w.conv_id)
+SELECT p.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(d.b.cost, 0) AS cost, coalesce(d.b.audit, '') AS audit, sha256(CASE WHEN d.b.shown <> '' THEN d.b.shown[1:-2] ELSE '' END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM plain) p LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM p.conv_id"""
+
+ORACLE = {"op13_repair": REPAIR, "op1_url_filter": URLS, "op3_quality": QUALITY, "op5_substring": SUBSTRING, "op8_mixing": MIXING, "op9_itq": VECTORS, "op10_minmax": NEAR}
