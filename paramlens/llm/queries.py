@@ -45,9 +45,15 @@ def op7_toxicity(spark, sf_dir):
     return digest_row(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_passages(spark, sf_dir):
+    from .passages import digest_row
+
+    return digest_row(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     simple = {name: _query(*where) for name, where in _OPERATORS.items()}
-    return simple | {"op4_bpe": op4_bpe, "op7_toxicity": op7_toxicity}
+    return simple | {"op4_bpe": op4_bpe, "op7_toxicity": op7_toxicity, "op11_passages": op11_passages}
 
 
 def oracle_sql():
