@@ -10,8 +10,8 @@ from ..plans.cells import Target, value
 from ..plans.ranges import order_statistics
 from .gates import Gate, passed
 
-#: Seconds without a row after which a run counts as quiet.
-QUIET = 600
+#: Seconds without a row after which a run counts as quiet, and the row from which on a new field is late.
+QUIET, LATE = 600, 1000
 
 
 def compare(sweeps: DataFrame, run: str, target: Target, keys: list[tuple[str, int]]) -> DataFrame:
@@ -95,17 +95,35 @@ def arrival_rate(arrivals: DataFrame, column: str, window: int = 300) -> DataFra
     return one.select("rows", F.when((F.col("rows") >= 10) & (F.col("span") >= 10), (F.col("rows") - 1) / F.col("span")).alias("rate"))
 
 
-def status(live: bool, archived: bool, segment: str | None, rows: int, planned: int | None, quiet_for: float | None, edge: int | None = None) -> str:
-    """What a run is doing: replay, archived, recorded, crashed, finished, quiet or live; the first that holds."""
-    if edge is not None and edge < rows:
-        return "replay"
-    if archived or not live:
-        return "archived" if archived else "recorded"
-    if segment == "crashed":
-        return "crashed"
-    if segment == "finished" or (planned and rows >= planned):
-        return "finished"
-    return "quiet" if quiet_for is not None and quiet_for > QUIET else "live"
+def problems(crashed: DataFrame, writing: DataFrame, breaks: DataFrame, bad: DataFrame, late: DataFrame) -> DataFrame:
+    """(severity, kind, what, n): everything that is wrong with a run, once.
+
+    ``crashed`` and ``writing`` are a log's crashes and open tracebacks, ``breaks`` has (invariant, n) with 0 where one
+    holds, ``bad`` the lines that aren't rows, and ``late`` (name, event, row): fields that changed, or came after row 1,000.
+    """
+    line = lambda c: F.col(c).cast("string")
+    crash = crashed.select(F.lit("critical").alias("severity"), F.lit("crash").alias("kind"), F.concat_ws(" ", F.coalesce("exception", F.lit("traceback")), F.lit("at line"), line("at")).alias("what"), F.lit(1).cast("long").alias("n"))
+    open_one = writing.select(F.lit("critical"), F.lit("writing"), F.concat_ws(" ", F.col("log"), F.lit("at line"), line("at")), F.lit(1).cast("long"))
+    broken = breaks.select(F.when(F.col("n") > 0, "critical").otherwise("ok"), F.lit("invariant"), F.col("invariant"), F.col("n").cast("long"))
+    lines = bad.agg(F.count("*").alias("n")).where(F.col("n") > 0).select(F.lit("critical"), F.lit("bad"), F.lit("lines that are not rows"), F.col("n"))
+    changed = late.where((F.col("event") == "kind") | (F.col("row") >= LATE)).select(F.lit("warning"), F.lit("schema"), F.col("name"), F.col("row").cast("long"))
+    return crash.union(open_one).union(broken).union(lines).union(changed)
+
+
+def status(
+    live: bool, archived: bool, segment: str | None, rows: int, planned: int | None, quiet_for: float | None, edge: int | None = None,
+    connected: bool = True, following: bool = True, writing: bool = False,
+) -> str:
+    """What a run is doing, the first that holds: replay, down, archived, recorded, earlier, crashed, finished, quiet or live.
+
+    ``live`` tells whether the sweep is followed, ``following`` whether this run of it is the one being written.
+    """
+    done = segment == "finished" or bool(planned and rows >= planned)
+    states = (
+        ("replay", edge is not None and edge < rows), ("down", live and not connected), ("archived", archived), ("recorded", not live), ("earlier", not following),
+        ("crashed", segment == "crashed" or writing), ("finished", done), ("quiet", quiet_for is not None and quiet_for > QUIET),
+    )
+    return next((name for name, holds in states if holds), "live")
 
 
 #: Which statistic of a report each threshold is held against; fixed values.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paramlens.plans import dims
 from paramlens.sources import rows as sources
-from paramlens.streaming import logs, tail
+from paramlens.streaming import tail
 
 LINES = [
     '{"a": 1, "b": null, "c": {"d": {"e": "x"}}, "s": ["p", "q"], "v": [1, 2.5], "t": true}',
@@ -61,38 +61,6 @@ def test_roles_and_levels(spark):
     assert edges == [10 * b for b in range(1, 10)]
 
 
-LOG = """--- 20260101 again ---
-sampling 500 perms...
-100/500 10s best=+5.5 gates=7 words
-/x/a.py:3: UserWarning: odd
-  code()
-/x/a.py:3: UserWarning: odd
-200/500 20s
-Traceback (most recent call last):
-  File "/usr/lib/python3/x.py", line 1, in f
-  File "/home/own.py", line 9, in g
-ValueError: no
-sampling 500 perms
-300/500 30.5s
-what is this
--- top 5 / 500 --
-logged"""
-
-
-def test_log(spark):
-    lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(LOG.split("\n"))], "log string, at long, value string")
-    marked = logs.classified(lines)
-    got = [(r["segment"], r["total"], r["rows"], r["status"]) for r in logs.segments(marked).orderBy("segment").collect()]
-    assert got == [(0, 500, 200, "crashed"), (1, 500, 300, "finished")]
-    first = logs.progress(marked).orderBy("at").first()
-    assert (first["done"], first["elapsed"], first["values"]) == (100, 10.0, {"best": 5.5, "gates": 7.0})
-    w = logs.warnings(marked).collect()
-    assert len(w) == 1 and (w[0]["count"], w[0]["line"], w[0]["segments"]) == (2, 3, [0])
-    crash = logs.crashes(marked).first()
-    assert (crash["exception"], crash["message"]) == ("ValueError", "no") and "own.py" in crash["frame"]
-    assert marked.where("kind = 'other'").count() == 1
-
-
 def test_tail_reads_appends_and_restarts(tmp_path):
     path = tmp_path / "grow.jsonl"
     reader = tail.TailReader(str(path))
