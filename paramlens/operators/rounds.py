@@ -16,12 +16,14 @@ def round_key(index: Column, shard: Column | None = None) -> Column:
     return text if shard is None else F.when(shard.isNull(), text).otherwise(F.concat(shard.cast("string"), F.lit("#"), text))
 
 
-def with_executions(sweep: DataFrame, executions: DataFrame, key: str, measures: list[str]) -> DataFrame:
+def with_executions(sweep: DataFrame, executions: DataFrame, key: str, measures: list[str], order: str | None = None) -> DataFrame:
     """The rows with each measure of their round, ``<part>_<measure>`` for the whole window and its halves; null where not recorded.
 
-    ``executions`` has one row for a key and a ``part`` (whole, first, second).
+    ``executions`` has a row for a key and a ``part`` (whole, first, second); of several the one of the greatest ``order``
+    holds, which a table that is appended to needs.
     """
-    wide = executions.groupBy(key).pivot("part", list(PARTS)).agg(*[F.first(m).alias(m) for m in measures])
+    last = [(F.first(m) if order is None else F.max_by(m, order)).alias(m) for m in measures]
+    wide = executions.groupBy(key).pivot("part", list(PARTS)).agg(*last)
     named = wide.select(key, *[F.col(f"{p}_{m}" if len(measures) > 1 else p).alias(f"{p}_{m}") for p in PARTS for m in measures])
     return sweep.join(named, key, "left")
 

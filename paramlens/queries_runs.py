@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .queries import _table, query
+from .sources import experiment, members
 from .streaming import logs
 
 
@@ -54,3 +62,53 @@ FROM r WHERE form = 'warning' GROUP BY log, spot % 5""")
 def log_warnings(spark, d):
     found = logs.warnings(logs.classified(run_logs(spark, d)))
     return found.select("log", "line", "count", F.col("first.at").alias("first"), F.col("last.row").alias("last_row"), F.array_join(F.transform("segments", lambda s: s.cast("string")), " ").alias("segments"))
+
+
+def _folder(spark) -> str:
+    """A new folder that driver and executors share; it goes when the driver's JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/paramlens-rounds-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return members.files_uri(store.makeQualified(path).toString())
+
+
+def round_files(spark, d, files: int = 4) -> str:
+    """Orders as rounds, one gzip member each, written by tasks; the last member of each file is unfinished."""
+    folder = _folder(spark)
+    rounds = _table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(files)).cast("int").alias("file"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at = None, None
+        store, root = fs.FileSystem.from_uri(folder)
+        torn = gzip.compress(b'{"round_id": "torn", "_round_index": 0}\n', mtime=0)[:-9]
+        for batch in batches:
+            for file, k, price in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file != at:
+                    if out is not None:
+                        out.write(torn)
+                        out.close()
+                    at, out = file, store.open_output_stream(f"{root}/{file}.jsonl.gz", compression=None)
+                out.write(gzip.compress((json.dumps({"round_id": f"r{k}", "_round_index": k, "optimal_threshold": price}) + "\n").encode(), 1, mtime=0))
+        if out is not None:
+            out.write(torn)
+            out.close()
+        yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
+
+    rounds.repartition("file").sortWithinPartitions("file", "k").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("""SELECT 'r' || o_orderkey AS round_id, o_orderkey AS _round_index, o_totalprice AS optimal_threshold, FALSE AS bad FROM orders""")
+def round_members(spark, d):
+    """Round logs of gzip members, read by many tasks, torn tails held back."""
+    rounds = experiment.round_log(spark, f"{round_files(spark, d)}/*.jsonl.gz")
+    return rounds.select("round_id", "_round_index", "optimal_threshold", F.col("bad").isNotNull().alias("bad"))
+
+
+@query("""SELECT CAST(o_custkey % 4 AS INT) AS file, count(*) AS rounds, min(o_orderkey) AS least FROM orders GROUP BY 1""")
+def round_index(spark, d):
+    """Where each round is: files, how many members they hold, and which comes first in the file."""
+    found = members.index(spark, f"{round_files(spark, d)}/*.jsonl.gz")
+    return found.groupBy(F.regexp_extract("file", r"(\d+)\.jsonl", 1).cast("int").alias("file")).agg(F.count("*").alias("rounds"), F.min_by(F.substring("round_id", 2, 20).cast("long"), "start").alias("least"))

@@ -9,6 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import members
 from .rows import last_write, numbered_lines
 
 _SERIES = "array<double>"
@@ -100,14 +101,22 @@ def round_file(names: set[str], declared: str | None, packed: str) -> str:
 def round_log(spark: SparkSession, *paths: str) -> DataFrame:
     """Round records from JSON lines or gzip members, by file and line; records without an index, or torn ones, are marked in ``bad``.
 
-    Of a file's records with one index the last written holds.
+    Of a file's records with one index the last written holds. For gzip members, each read by many tasks, ``line`` is
+    the offset of the record's member; one that the run is still writing is held back.
     """
-    lines = numbered_lines(spark, *paths).where(F.trim("text") != "")
-    parsed = lines.select("shard", "line", F.from_json("text", ROUND).alias("r"), "text")
+    packed = [p for p in paths if p.endswith(".gz")]
+    found = []
+    if len(packed) < len(paths):
+        found.append(numbered_lines(spark, *[p for p in paths if p not in packed]).select("shard", "line", F.lit(0).alias("part"), "text"))
+    if packed:
+        found.append(members.lines(spark, *packed).select("shard", F.col("place").alias("line"), "part", "text"))
+    lines = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    parsed = lines.where(F.trim("text") != "").select("shard", "line", "part", F.from_json("text", ROUND).alias("r"), "text")
     index = F.col("r._round_index")
-    rows = parsed.select("shard", "line", "r.*", F.when(index.isNull() | (index < 0), F.col("text")).alias("bad"))
-    last = last_write(rows.where(F.col("bad").isNull()), ["shard", "_round_index"], "line")
-    return last.select(*rows.columns).unionByName(rows.where(F.col("bad").isNotNull()))
+    rows = parsed.select("shard", "line", "part", "r.*", F.when(index.isNull() | (index < 0), F.col("text")).alias("bad"))
+    spot = F.struct("line", "part")
+    last = last_write(rows.where(F.col("bad").isNull()).withColumn("_spot", spot), ["shard", "_round_index"], "_spot")
+    return last.select(*rows.columns).unionByName(rows.where(F.col("bad").isNotNull())).drop("part")
 
 
 def _unsound() -> Column:

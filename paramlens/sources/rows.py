@@ -7,6 +7,7 @@ anything else is kept as canonical JSON text. Lines that can't be read are kept
 
 from __future__ import annotations
 
+import csv as csv_module
 import json
 import math
 from collections import Counter
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .members import files_of
+
 #: Levels of nesting that are flattened; longest list of numbers that is split; largest whole number a double holds.
 DEPTH, NUMBERS, WHOLE = 3, 8, 2**53
 _ROW = "shard string, line long, present array<string>, kinds map<string,string>, fields map<string,string>, error string, text string"
@@ -97,9 +100,9 @@ def good(rows: DataFrame) -> DataFrame:
 
 
 def bad(rows: DataFrame, keep: int = 50) -> DataFrame:
-    """The first lines that couldn't be read, with the reason and the number of all."""
+    """The first lines that couldn't be read, by shard and line, with the reason and the number of all."""
     wrong = rows.where(F.col("error").isNotNull())
-    return wrong.select("shard", "line", "error", "text").orderBy("line").limit(keep).crossJoin(F.broadcast(wrong.agg(F.count("*").alias("bad"))))  # one row
+    return wrong.select("shard", "line", "error", "text").orderBy("shard", "line").limit(keep).crossJoin(F.broadcast(wrong.agg(F.count("*").alias("bad"))))  # one row
 
 
 def fields_of(rows: DataFrame) -> DataFrame:
@@ -160,17 +163,48 @@ def csv_kind(text: Column) -> Column:
     )
 
 
+def _header(spark: SparkSession, uri: str) -> tuple[str, ...]:
+    """The column names of one file: its first record, which a file with a codec is read by Spark for."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    if jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop).getCodec(path) is not None:
+        return tuple(spark.read.csv(uri, header=True, multiLine=True, escape='"').columns)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(path.getFileSystem(hadoop).open(path), "UTF-8"))
+    try:
+        record = reader.readLine()
+        while record is not None and record.count('"') % 2:
+            record += "\n" + (reader.readLine() or '"')
+    finally:
+        reader.close()
+    return tuple(next(csv_module.reader([record.removeprefix("\ufeff")]), ())) if record else ()
+
+
 def csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """CSV results with typed columns; quoted fields may hold line breaks. Short and long records go to ``__bad``."""
-    header = spark.read.csv(list(paths), header=True).columns
-    schema = ", ".join(f"`{c}` string" for c in header) + ", `__bad` string"
-    raw = spark.read.csv(list(paths), header=True, multiLine=True, escape='"', schema=schema, columnNameOfCorruptRecord="__bad", emptyValue="")
-    kinds = raw.where(F.col("__bad").isNull()).agg(*[F.collect_set(F.when(csv_kind(F.col(f"`{c}`")) != "null", csv_kind(F.col(f"`{c}`")))).alias(f"k{i}") for i, c in enumerate(header)]).first()
+    """CSV results with typed columns; quoted fields may hold line breaks. Short and long records go to ``__bad``.
+
+    Files may order their columns differently, or lack some: those with one header are read together, and all are
+    matched by name. Empty files hold nothing.
+    """
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for uri, _ in files_of(spark, *paths):
+        headers.setdefault(_header(spark, uri), []).append(uri)
+    headers.pop((), None)
+    if not headers:
+        raise ValueError("no file has a header")
+    raw = None
+    for header, uris in headers.items():
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header) + ", `__bad` string"
+        part = spark.read.csv(uris, header=True, multiLine=True, escape='"', schema=schema, columnNameOfCorruptRecord="__bad", emptyValue="", enforceSchema=True)
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    names = [c for c in raw.columns if c != "__bad"]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    kinds = raw.where(F.col("__bad").isNull()).agg(*[F.collect_set(F.when(csv_kind(F.col(c)) != "null", csv_kind(F.col(c)))).alias(f"k{i}") for i, c in enumerate(quoted)]).first()
     columns = []
-    for i, c in enumerate(header):
-        v = F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
+    for i, (name, c) in enumerate(zip(names, quoted, strict=True)):
+        v = F.when(F.col(c) != "", F.col(c))
         kind = set(kinds[f"k{i}"]) if kinds else set()
-        columns.append((v.cast("double") if kind == {"num"} else v == "True" if kind == {"bool"} else v).alias(c))
+        columns.append((v.cast("double") if kind == {"num"} else v == "True" if kind == {"bool"} else v).alias(name))
     return raw.select(*columns, "__bad")
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from ..sources.members import Bytes, member
+
 #: Bytes read in one go.
 CHUNK = 4 << 20
 #: Bytes at the beginning that tell a file from one that took its place.
@@ -85,18 +87,16 @@ class GzipTailReader(TailReader):
     """The same for a file of gzip members, each of one or more whole lines; a torn member is held back."""
 
     def _members(self, raw: bytes) -> Iterator[tuple[int, int, bytes]]:
-        at = 0
+        own, at = Bytes.of(raw), 0
         while at < len(raw):
-            member = zlib.decompressobj(31)
             try:
-                text = member.decompress(raw[at:])
+                found = member(own, at)
             except zlib.error as problem:
                 raise ValueError(f"{self.path} holds a broken member") from problem
-            if not member.eof:
+            if found is None:
                 return
-            end = len(raw) - len(member.unused_data)
-            yield at, end, text
-            at = end
+            yield at, *found
+            at = found[0]
 
     def _whole(self, raw: bytes) -> int:
         return max((end for _, end, _ in self._members(raw)), default=0)
