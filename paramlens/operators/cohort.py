@@ -55,7 +55,7 @@ def ranked(rows: DataFrame, column: str, order: str, better: int = 1) -> DataFra
     """
     v = F.col(column).cast("double")
     known = rows.where(v.isNotNull() & ~F.isnan(v)).withColumn("_down", v if better < 0 else -v)
-    placed = ranged(known, "_down")
+    placed = ranged(known, "_down", order)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_c"))
     ahead = counts.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # one row a range
     own = F.row_number().over(W.partitionBy("_part").orderBy("_down", order))

@@ -50,7 +50,7 @@ def _placed(rows: DataFrame, first: str, second: str, order: str, better: int) -
     """Rows with both halves and their place, from 1, by the first; by ranges of it, none of which is all rows."""
     sign = -1.0 if better < 0 else 1.0
     both = rows.select(F.col(order).alias("_i"), (F.col(first) * sign).alias("a"), (F.col(second) * sign).alias("b")).where("a is not null and b is not null")
-    part = ranged(both.withColumn("_down", -F.col("a")), "_down")
+    part = ranged(both.withColumn("_down", -F.col("a")), "_down", "_i")
     counts = part.groupBy("_part").agg(F.count("*").alias("c"))
     ahead = counts.withColumns({"ahead": F.coalesce(F.sum("c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(W.partitionBy(F.lit(1)))})
     place = F.row_number().over(W.partitionBy("_part").orderBy("_down", "_i"))
