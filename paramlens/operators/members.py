@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
@@ -42,44 +39,28 @@ def member_effects(sweep: DataFrame, column: str, members: list[str], target: Ta
     return I.with_q(out.withColumn("p", kernel.column(kernel.z_p, F.col("z")))).select("member", "n_in", "n_out", "strata", "delta", "se", "z", "p", "q", "detectable")
 
 
-def group_contrasts(sweep: DataFrame, column: str, target: Target) -> DataFrame:
-    """Pairs of levels, each a ``|``-joined list of groups, that differ by exactly one group, with z and q.
+def group_contrasts(sweep: DataFrame, column: str, target: Target, every: list[str] | None = None) -> DataFrame:
+    """Pairs of levels, each a ``|``-joined list of groups, that differ by exactly one group: difference, interval, z, q.
 
-    Levels are joined on what is left when one group is taken away, so only near levels meet.
+    ``every`` names all groups, which a level ``all`` and a null one stand for; without it null levels are left out. Levels
+    are joined on what is left when one group is taken away, so only near levels meet.
     """
-    y = value(target)
-    levels = sweep.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.var_samp(y).alias("var"))
-    levels = levels.where("n >= 2").withColumn("groups", F.array_sort(F.array_distinct(F.filter(F.split("level", r"\|"), lambda g: g != ""))))
+    y, level = value(target), F.col(column)
+    named = F.array_sort(F.array_distinct(F.filter(F.split(level, r"\|"), lambda g: g != "")))
+    if every is not None:
+        named = F.when(level.isNull() | (level == "all"), F.array_sort(F.array(*map(F.lit, every)))).otherwise(named)
+        level = F.coalesce(level, F.lit("all"))
+    levels = sweep.select(level.alias("level"), named.alias("groups"), y.alias("y")).where(F.col("level").isNotNull()).groupBy("level", "groups").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
+    levels = levels.where("n >= 2")
     with_one = levels.withColumn("group", F.explode("groups")).withColumn("rest", F.array_join(F.array_remove("groups", F.col("group")), "|"))
     without = levels.select(F.array_join("groups", "|").alias("rest"), F.col("level").alias("without"), F.col("n").alias("n_without"), F.col("mean").alias("mean_without"), F.col("var").alias("var_without"))
     both = with_one.join(without, "rest")
-    z = F.try_divide(F.col("mean") - F.col("mean_without"), F.nullif(F.sqrt(F.col("var") / F.col("n") + F.col("var_without") / F.col("n_without")), F.lit(0.0)))
-    out = both.select("group", F.col("level").alias("with"), "without", "n", "n_without", (F.col("mean") - F.col("mean_without")).alias("delta"), z.alias("z"))
+    delta, se = F.col("mean") - F.col("mean_without"), F.sqrt(F.col("var") / F.col("n") + F.col("var_without") / F.col("n_without"))
+    z = F.try_divide(delta, F.nullif(se, F.lit(0.0)))
+    out = both.select("group", F.col("level").alias("with"), "without", "n", "n_without", delta.alias("delta"), (delta - kernel.Z95 * se).alias("lo"), (delta + kernel.Z95 * se).alias("hi"), z.alias("z"))
     return I.with_q(out.withColumn("p", kernel.column(kernel.z_p, F.col("z"))))
 
 
-def design(manifest: dict) -> dict:
-    """What a manifest says of features: their groups, those in every round, the parameters that name columns, the ablation's own keys."""
-    inner = (manifest.get("sfd") or {}).get("manifest") or {}
-    entries = [(e.get("func") or "", e.get("params") or {}) for part in ("indicators", "features") for e in inner.get(part) or []]
-    groups: dict[str, list[str]] = {}
-    for func, params in entries:
-        if isinstance(params.get("group"), str):
-            groups.setdefault(params["group"], []).append(func.rpartition(".")[2])
-    always = [func.rpartition(".")[2] for func, params in entries if not isinstance(params.get("group"), str)]
-    texts = [v for _, params in entries for v in params.values() if isinstance(v, str)]
-    naming = list(dict.fromkeys(m.group(1) for v in texts if (m := re.fullmatch(r"\{(\w+)\}", v))))
-    drops = inner.get("feature_ablation")
-    keys = drops and (drops.get("drop_count_key") or "feature_drop_count", drops.get("seed_key") or "feature_drop_seed")
-    return {"groups": groups, "always": always, "naming": naming, "keys": keys}
-
-
-def factors_of(design: dict, levels: dict[str, int], movers: list[str]) -> list[str]:
-    """What an ablation holds fixed: feature groups, naming parameters and movers with two levels or more, never the keys that decide the drops."""
-    wanted = dict.fromkeys(["feature_groups", *design["naming"], *movers])
-    return [c for c in wanted if levels.get(c, 0) >= 2 and c not in (design["keys"] or ())]
-
-
 def canonical_members(sweep: DataFrame, dropped: str, naming: list[str], order: str) -> DataFrame:
     """(order, member, raw): each dropped column under one name, whatever a parameter's value put into it.
 
@@ -104,79 +85,3 @@ def set_groups(effects: DataFrame, column: str) -> DataFrame:
     """(column, members, detectable, best): a set's members as one, with the strongest detectable of them."""
     best = F.max_by("member", F.when(F.col("detectable"), F.struct(F.abs("z"), "member")))
     return effects.agg(F.lit(column).alias("column"), F.count("*").alias("members"), F.bool_or("detectable").alias("detectable"), best.alias("best"))
-
-
-def _solved(normal: np.ndarray, names: list[str]) -> list[int]:
-    """The columns that those before don't determine."""
-    scale = np.sqrt(np.maximum(np.diag(normal), 1e-300))
-    unit, kept = normal / scale[:, None] / scale[None, :], []
-    for j in range(len(names)):
-        trial = [*kept, j]
-        if normal[j, j] > 0 and np.linalg.eigvalsh(unit[np.ix_(trial, trial)])[0] > 1e-9:
-            kept.append(j)
-    return kept
-
-
-def ablation(sweep: DataFrame, target: Target, factors: list[str], drops: str, members: list[str], least: int = 10) -> DataFrame:
-    """An additive model of factors and dropped members, with standard errors that allow for unequal variances (HC3).
-
-    Rows are counted by design; a design lists the few terms that hold in it. One pass sums the normal
-    equations over pairs of terms, the other the squared residuals weighted by leverage; both
-    are aggregations, and only sums over pairs of terms reach the driver, of which there are as many as the model has
-    terms, squared. Members dropped in fewer rows than ``least`` are withheld; columns that
-    others determine are merged into them. Runs its jobs at once.
-    """
-    y = value(target)
-    keys = keyed(sweep, factors)
-    told = [F.when(keys[f].isNotNull(), F.concat(F.lit(f"{f}="), keys[f])) for f in factors]
-    taken = F.transform(F.array_intersect(F.coalesce(drops, F.array().cast("array<string>")), F.array(*map(F.lit, members))), lambda m: F.concat(F.lit("-"), m))
-    rows = sweep.where(y.isNotNull()).select(F.concat(F.array(F.lit("(mean)"), *told), F.array_sort(taken)).alias("terms"), y.alias("y"))
-    rows = rows.where(~F.exists("terms", lambda t: t.isNull()))
-    n = F.count("*")
-    designs = rows.groupBy("terms").agg(n.alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * n).alias("m2"))
-    single = designs.select("n", "mean", F.explode("terms").alias("a")).groupBy("a").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s")).collect()
-    counts = {r.a: r.n for r in single}
-    total = counts.get("(mean)", 0)
-    schema = "term string, member boolean, effect double, se double, z double, p double"
-    if not total:
-        return I.with_q(sweep.sparkSession.createDataFrame([], schema))
-    base = next(r.s for r in single if r.a == "(mean)") / total
-    names = ["(mean)"]
-    for f in factors:
-        names += sorted(t for t in counts if t.startswith(f"{f}="))[1:]
-    names += [t for m in members if counts.get(t := f"-{m}", 0) >= least]
-    at = {t: i for i, t in enumerate(names)}
-    used = designs.withColumn("terms", F.filter("terms", lambda t: t.isin(*names)))
-
-    def over_pairs(rows: DataFrame, weight: Column) -> np.ndarray:
-        pairs = rows.select(weight.alias("w"), F.explode("terms").alias("a"), "terms").select("w", "a", F.explode("terms").alias("b"))
-        out = np.zeros((len(names),) * 2)
-        for r in pairs.groupBy("a", "b").agg(F.sum("w").alias("w")).collect():
-            out[at[r.a], at[r.b]] = r.w
-        return out
-
-    normal = over_pairs(used, F.col("n").cast("double"))
-    right = np.zeros(len(names))
-    for r in used.select(F.explode("terms").alias("a"), (F.col("n") * (F.col("mean") - base)).alias("s")).groupBy("a").agg(F.sum("s").alias("s")).collect():
-        right[at[r.a]] = r.s
-    kept = _solved(normal, names)
-    inverse = np.linalg.inv(normal[np.ix_(kept, kept)])
-    beta = inverse @ right[kept]
-    mine = [names[j] for j in kept]
-    coefficient = F.create_map(*[x for t, b in zip(mine, beta.tolist()) for x in (F.lit(t), F.lit(b))])
-    share = F.create_map(*[x for i, t in enumerate(mine) for j, u in enumerate(mine) for x in (F.lit(f"{t}\n{u}"), F.lit(float(inverse[i, j])))])
-    own = used.withColumn("terms", F.filter("terms", lambda t: t.isin(*mine)))
-    add = lambda acc, x: acc + x
-    fit = F.aggregate(F.transform("terms", lambda t: coefficient[t]), F.lit(0.0), add)
-    leverage = F.aggregate(F.flatten(F.transform("terms", lambda t: F.transform("terms", lambda u: share[F.concat(t, F.lit("\n"), u)]))), F.lit(0.0), add)
-    own = own.withColumns({"_off": F.col("mean") - base - fit, "_h": leverage})
-    residual = (F.col("m2") + F.col("n") * F.col("_off") * F.col("_off")) / F.greatest(F.lit(1e-9), (1 - F.col("_h")) * (1 - F.col("_h")))
-    meat = over_pairs(own, residual)[np.ix_(kept, kept)]
-    se = np.sqrt(np.diag(inverse @ meat @ inverse))
-    found = []
-    for t, b, e in zip(mine, beta.tolist(), se.tolist(), strict=True):
-        b += base if t == "(mean)" else 0.0
-        z = b / e if e > 0 else None
-        found.append((t.removeprefix("-") if t.startswith("-") else t, t.startswith("-"), b, e, z, kernel.z_p(z) if z is not None else None))
-    out = sweep.sparkSession.createDataFrame(found, schema)
-    return I.with_q(out.withColumn("_family", F.col("member")), "p", "_family").drop("_family")

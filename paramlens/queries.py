@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tails
+from .operators import ablation as ablations
 from .operators import bars, clusters, effects, gates, halves, interactions, members, pockets, runs, trials
 from .plans import cells, dims
 from .plans.cells import Target
@@ -463,10 +464,30 @@ def group_contrasts(spark, d):
     return out.select("group", "with", "without", "n", "n_without", *[F.round(c, k).alias(c) for c, k in (("delta", 4), ("z", 6), ("p", 6), ("q", 6))])
 
 
-@query()
+def _leave_one_in() -> str:
+    """Least squares on status and flags with errors that allow for unequal variances: the normal equations by elimination."""
+    dot = "list_dot_product"
+    return f"""WITH RECURSIVE b AS (SELECT o_totalprice AS y, o_orderstatus AS f, list_distinct(list(l_returnflag)) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice, o_orderstatus),
+x AS (SELECT y - avg(y) OVER () AS y, [1, (f = 'O')::INT, (f = 'P')::INT, list_contains(s, 'A')::INT, list_contains(s, 'N')::INT, list_contains(s, 'R')::INT]::DOUBLE[] AS x FROM b),
+cell AS (SELECT i, j, sum(x[i] * x[j]) AS v, sum(x[i] * y) AS t FROM x, range(1, 7) AS u(i), range(1, 7) AS w(j) GROUP BY i, j),
+line AS (SELECT i, list(v ORDER BY j) || list(CASE WHEN i = j THEN 1.0 ELSE 0.0 END ORDER BY j) AS r, any_value(t) AS t FROM cell GROUP BY i),
+start AS (SELECT list(r ORDER BY i) AS a, list(t ORDER BY i) AS t FROM line),
+gone AS (SELECT 0 AS k, a FROM start UNION ALL SELECT k + 1, list_transform(a, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / a[k + 1][k + 1]) ELSE list_transform(r, lambda v, j: v - r[k + 1] * a[k + 1][j] / a[k + 1][k + 1]) END) FROM gone WHERE k < 6),
+inv AS (SELECT list_transform(a, lambda r: r[7:12]) AS v FROM gone WHERE k = 6),
+beta AS (SELECT v, list_transform(v, lambda r: {dot}(r, t)) AS c FROM inv, start),
+w AS (SELECT x, v, c, ((y - {dot}(x, c)) / (1 - {dot}(x, list_transform(v, lambda r: {dot}(r, x))))) ** 2 AS w FROM x, beta),
+meat AS (SELECT i, list(m ORDER BY j) AS r FROM (SELECT i, j, sum(w * x[i] * x[j]) AS m FROM w, range(1, 7) AS u(i), range(1, 7) AS q(j) GROUP BY i, j) GROUP BY i),
+sandwich AS (SELECT list(r ORDER BY i) AS m FROM meat),
+told AS (SELECT ['A', 'N', 'R'][i - 3] AS term, c[i] AS effect, sqrt({dot}(v[i], list_transform(m, lambda r: {dot}(r, v[i])))) AS se FROM beta, sandwich, range(4, 7) AS u(i)),
+tested AS (SELECT *, effect / se AS z, {tails.z_tail('effect / se')} AS p FROM told)
+{tails.with_q('tested', 'term, round(effect, 4) AS effect, round(se, 4) AS se, round(z, 6) AS z')}"""
+
+
+@query(_leave_one_in())
 def ablation(spark, d):
     rows = _baskets(spark, d).join(_table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
-    return members.ablation(rows, Target("o_totalprice"), ["o_orderstatus"], "set", ["A", "N", "R"])
+    out = ablations.model(rows, Target("o_totalprice"), ["o_orderstatus"], "set").where("member")
+    return out.select("term", *[F.round(c, k).alias(c) for c, k in (("effect", 4), ("se", 4), ("z", 6), ("p", 6), ("q", 6))])
 
 
 @query("""WITH w AS (SELECT event_type AS level, row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS c, count(value) OVER p AS n, avg(value) OVER p AS mean FROM events WINDOW p AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING))

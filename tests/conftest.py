@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # threads of numpy and forked workers don't go together
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paramlens.functions import kernel
-from paramlens.operators import cohort, effects, first_half, gates, members, rounds, trials
+from paramlens.operators import ablation, cohort, effects, first_half, gates, members, rounds, trials
 from paramlens.plans import cells, ranges
 from paramlens.plans.cells import Target
 from paramlens.sources import experiment
@@ -47,7 +47,7 @@ def test_ablation_matches_a_dense_fit(spark):
         drops = [m for m in "xyz" if rng.random() < 0.3]
         f = "uvw"[rng.integers(3)]
         rows.append((f, drops, BIG + 2.0 * ("x" in drops) - 1.0 * (f == "v") + float(rng.normal(0, 0.5))))
-    got = {r["term"]: r for r in members.ablation(spark.createDataFrame(rows, "f string, d array<string>, y double"), Target("y"), ["f"], "d", ["x", "y", "z"]).collect()}
+    got = {r["term"]: r for r in ablation.model(spark.createDataFrame(rows, "f string, d array<string>, y double"), Target("y"), ["f"], "d").collect()}
     x = np.array([[1, f == "v", f == "w", "x" in d, "y" in d, "z" in d] for f, d, _ in rows], dtype=float)
     y = np.array([v - BIG for *_, v in rows])
     inverse = np.linalg.inv(x.T @ x)
@@ -114,13 +114,6 @@ def test_cohort_rules(spark):
     assert cohort.bar_step({"sfd": {"manifest": {"data_source": {"params": {"kline_size": 3600}}}}}) == 3600 and cohort.bar_step({"sfd": {"manifest": {"data_source": {"params": {"kline_size": True}}}}}) is None
 
 
-def test_design_and_factors():
-    manifest = {"sfd": {"manifest": {"features": [{"func": "a.roc", "params": {"group": "g", "n": "{period}"}}, {"func": "a.base"}], "feature_ablation": {"seed_key": "s"}}}}
-    d = members.design(manifest)
-    assert d == {"groups": {"g": ["roc"]}, "always": ["base"], "naming": ["period"], "keys": ("feature_drop_count", "s")}
-    assert members.factors_of(d, {"feature_groups": 3, "period": 2, "s": 4, "m": 5, "one": 1}, ["m", "s", "one"]) == ["feature_groups", "period", "m"]
-
-
 def test_lines_and_names(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": {"b": 1}, "a_b": 2}\n\n{"a_b": 3}\nnot\n')
     (tmp_path / "b.jsonl").write_text('{"x": 1}\n')
@@ -165,10 +158,13 @@ def test_storage_and_search_space():
 
 def test_log_edges(spark):
     text = ["sampling 9 perms...", "1/9 2s a=1 a=2", "Traceback (most recent call last):", "ValueError: one", "During handling of the above exception, another exception occurred:", "Traceback (most recent call last):", '  File "/own/x.py", line 3, in f']
-    marked = logs.classified(spark.createDataFrame([("l", i, t) for i, t in enumerate(text)], "log string, at long, value string"))
+    lines = spark.createDataFrame([("l", i, t) for i, t in enumerate(text)], "log string, at long, value string")
+    marked = logs.classified(lines)
     assert logs.progress(marked).first()["values"] == {"a": 2.0}
     crash = logs.crashes(marked).first()
-    assert crash["exceptions"] == ["ValueError"] and crash["open"] and "/own/x.py" in crash["frame"]
+    assert crash["exceptions"] == ["ValueError"] and crash["end"] == 6 and (crash["path"], crash["line"], crash["function"]) == ("/own/x.py", 3, "f")
+    unfinished = logs.classified(lines, finished=False)
+    assert logs.crashes(unfinished).count() == 0 and [r["at"] for r in logs.writing(unfinished).collect()] == [6]
     assert logs.pace(logs.progress(marked)).count() == 0 and logs.others(marked).count() == 0
 
 

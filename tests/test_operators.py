@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paramlens.functions.intervals import with_q
-from paramlens.operators import effects, gates, halves, interactions, members, pockets, trials
+from paramlens.operators import ablation, effects, gates, halves, interactions, members, pockets, trials
 from paramlens.plans.cells import Target
 
 
@@ -142,7 +142,7 @@ def test_ablation_matches_least_squares(spark):
     f, d = rng.integers(0, 2, n), rng.integers(0, 2, (n, 2))
     y = f + 0.5 * d[:, 0] + rng.standard_normal(n) * (1 + d[:, 0])
     rows = spark.createDataFrame([(str(f[i]), [m for m, x in zip("pq", d[i]) if x], float(y[i])) for i in range(n)], "f string, drops array<string>, y double")
-    got = {r["term"]: r for r in members.ablation(rows, Target("y"), ["f"], "drops", ["p", "q", "never"]).collect()}
+    got = {r["term"]: r for r in ablation.model(rows, Target("y"), ["f"], "drops").collect()}
     x = np.column_stack([np.ones(n), f, d])
     inv = np.linalg.inv(x.T @ x)
     beta = inv @ x.T @ y
