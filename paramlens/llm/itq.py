@@ -5,9 +5,10 @@ vectors make balanced binary codes that keep near vectors near. The codes are cu
 substrings, one multi-index table each. Codes that differ in fewer bits than there are tables agree
 in a whole substring, so each table is probed at radius 0. A substring is about as long as the count of
 vectors has bits, which keeps buckets small at any size; the tables follow from the share of
-links that may be missed, and further rotations give the bits they need.
+links that may be missed, and further rotations give the bits they need. How often bits differ is measured on
+vectors of the sample that are moved to just the least cosine, so it holds for vectors that share a direction too.
 
-What meets in a bucket is screened by the Hamming distance of the first code. Only vectors with a partner
+What meets in a bucket is screened by the Hamming distance of the first codes. Only vectors with a partner
 left are fetched and reranked by cosine. Buckets are compared in square blocks of ``CHUNK``
 vectors, and a pair counts only in the first table where it meets, so links are counted
 without listing pairs: tasks return counts and a spanning forest. Equal vectors are one node that
@@ -35,6 +36,8 @@ from .common import Written, looked_up, runs
 from .components import components
 
 CHUNK = 512
+#: What comparing a pair of codes costs of what a row in a table does; tables beyond which even a bit says nothing.
+COMPARED, MOST_TABLES = 0.01, 4096
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,19 @@ class Params:
         return math.acos(min(1.0, max(-1.0, self.cosine))) / math.pi
 
 
+@dataclass(frozen=True)
+class Flips:
+    """Chances that a bit differs at the least cosine, one for each of some vectors, and that a bit of any two vectors agrees."""
+
+    each: np.ndarray
+    same: float = 0.5
+
+    @classmethod
+    def of_angle(cls, p: Params) -> Flips:
+        """Under random rotations through the origin the angle alone decides."""
+        return cls(np.array([p.flips]))
+
+
 @dataclass(frozen=True)
 class Tables:
     """So many tables, of substrings of so many bits."""
@@ -60,27 +76,49 @@ class Tables:
     bits: int
 
     @classmethod
-    def of(cls, vectors: int, p: Params) -> Tables:
-        bits = min(max(8, math.ceil(math.log2(max(2, vectors)))), 48)
-        agree = (1 - p.flips) ** bits
-        return cls(max(1, math.ceil(math.log(p.missed) / math.log(1 - agree))) if agree < 1 else 1, bits)
+    def of(cls, vectors: int, p: Params, flips: Flips | None = None) -> Tables:
+        """As many as leave ``missed`` of the pairs at the least cosine without a table in which they agree.
+
+        Without measured flips substrings are as long as the count of vectors has bits. Otherwise they are as long as
+        costs least: shorter ones need fewer tables, but fill buckets more.
+        """
+        longest = min(max(8, math.ceil(math.log2(max(2, vectors)))), 48)
+        if flips is None:
+            return cls(_tables(longest, Flips.of_angle(p), p), longest)
+        counts = {bits: _tables(bits, flips, p) for bits in range(min(4, longest), longest + 1)}
+        cost = {bits: count * (1 + COMPARED * vectors * flips.same**bits) for bits, count in counts.items()}
+        bits = min(cost, key=lambda k: (cost[k], -k))
+        return cls(max(counts[bits], _tables(bits, Flips.of_angle(p), p)), bits)
 
     def rotations(self, width: int) -> int:
         """How many codes of ``width`` bits it takes."""
         return math.ceil(self.count / max(1, width // self.bits))
 
 
+def _tables(bits: int, flips: Flips, p: Params) -> int:
+    """The least number of tables with which no more than ``missed`` of the pairs are missed, over all that were measured."""
+    apart = 1 - (1 - flips.each) ** bits
+    missed = lambda n: float((apart**n).mean())
+    lo, hi = 0, 1
+    while missed(hi) > p.missed and hi < MOST_TABLES:
+        lo, hi = hi, 2 * hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if missed(mid) <= p.missed else (mid, hi)
+    return hi
+
+
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray
     rotations: list[np.ndarray]
 
 
-def _turned(unit: np.ndarray, mean: np.ndarray, rounds: int, rotations: int) -> Model:
+def _turned(unit: np.ndarray, mean: np.ndarray, rounds: int, seeds: range) -> Model:
     _, _, axes = np.linalg.svd(unit - mean, full_matrices=True)
     low = (unit - mean) @ axes.T
     found = []
-    for seed in range(rotations):
+    for seed in seeds:
         turn = np.linalg.qr(np.random.default_rng(7 + seed).standard_normal((low.shape[1],) * 2))[0]
         for _ in range(rounds):
             left, _, right = np.linalg.svd(np.where(low @ turn >= 0, 1.0, -1.0).T @ low)
@@ -89,30 +127,81 @@ def _turned(unit: np.ndarray, mean: np.ndarray, rounds: int, rotations: int) ->
     return Model(mean, found)
 
 
-def _torn(unit: np.ndarray, model: Model, cosine: float) -> bool:
-    """Whether codes set linked vectors of the sample further apart than their angles account for."""
-    near = np.triu(unit @ unit.T >= cosine, 1)
-    a, b = np.nonzero(near)
-    if len(a) < 30:
-        return False
-    pick = np.random.default_rng(5).integers(0, len(a), 5000)
-    a, b = a[pick], b[pick]
-    angles = np.arccos(np.clip((unit[a] * unit[b]).sum(axis=1), -1, 1)) / math.pi
-    codes = (unit - model.mean) @ model.rotations[0] >= 0
-    return bool((codes[a] != codes[b]).mean() > 1.1 * angles.mean())
+def moved(unit: np.ndarray, p: Params, vectors: int = 500, draws: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs at just the least cosine: vectors of the sample, and each moved that far in random directions. No linked pair need be in the sample."""
+    rng = np.random.default_rng(5)
+    own = np.tile(unit[rng.permutation(len(unit))[:vectors]], (draws, 1))
+    aside = rng.standard_normal(own.shape)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    size = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, size, out=np.zeros_like(aside), where=size > 0)
+    return own, p.cosine * own + math.sqrt(max(0.0, 1 - p.cosine**2)) * aside
 
 
-def fit(sample: np.ndarray, rounds: int, rotations: int = 1, cosine: float = 0.98) -> Model:
-    """Principal axes, rotated in turns to fit the signs and the signs to the rotation, from different beginnings.
+def flips_of(unit: np.ndarray, model: Model, p: Params, draws: int = 8) -> Flips:
+    """What the codes make of pairs at just the least cosine.
 
-    Vectors are centred, which balances the codes, unless that tears near vectors apart: where
-    a large part of them lies around one direction, what is left after centring is mostly noise.
+    Centring brings vectors that share a direction apart, and their partners with them, so bits differ more often there
+    than the angle tells.
+    """
+    code = lambda x: np.concatenate([(x - model.mean) @ r >= 0 for r in model.rotations], axis=1)
+    here, there = map(code, moved(unit, p, draws=draws))
+    each = (here != there).mean(axis=1).reshape(draws, -1).mean(axis=0)
+    here = here[: len(each)]
+    return Flips(each, float((here == np.roll(here, 1, axis=0)).mean()) if len(here) > 1 else 0.5)
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model with its tables, how many of its codes the Hamming screen takes, and the bits that linked pairs may differ in there."""
+
+    model: Model
+    tables: Tables
+    screens: int
+    most: float
+
+
+def fit(sample: np.ndarray, p: Params, vectors: int) -> Fitted:
+    """Principal axes, rotated in turns to fit the signs and the signs to the rotation, from different beginnings; and the tables for them.
+
+    Vectors are centred, which balances the codes, or not, whichever needs less work by what was measured. As learned
+    rotations aren't independent, tables are added until pairs at the least cosine are in fact missed no more often
+    than they may, and the screen's bound is what they differ in at most, two deviations and two bits more.
     """
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    model = _turned(unit, unit.mean(axis=0), rounds, rotations)
-    if _torn(unit, model, cosine):
-        return _turned(unit, np.zeros(unit.shape[1]), rounds, rotations)
-    return model
+    width, best = unit.shape[1], None
+    for mean in (unit.mean(axis=0), np.zeros(width)):
+        flips = flips_of(unit, _turned(unit, mean, p.rounds, range(2)), p)
+        tables = Tables.of(vectors, p, flips)
+        cost = tables.count * (1 + COMPARED * vectors * flips.same**tables.bits)
+        if best is None or cost < best[0]:
+            best = (cost, mean, tables, flips)
+    _, mean, tables, flips = best
+    needed, model, (here, there) = screens(flips, width), Model(mean, []), moved(unit, p)
+    while True:
+        more = range(len(model.rotations), max(tables.rotations(width), needed))
+        model = Model(mean, model.rotations + _turned(unit, mean, p.rounds, more).rotations)
+        (mine, code), (other, theirs) = (_codes(x, model, tables, needed) for x in (here, there))
+        if (mine != other).all(axis=1).mean() <= p.missed or tables.count >= MOST_TABLES:
+            break
+        tables = Tables(math.ceil(1.4 * tables.count), tables.bits)
+    apart = _ONES[code ^ theirs].sum(axis=1)
+    return Fitted(model, tables, needed, float(apart.max() + 2 * apart.std() + 2))
+
+
+def _most(bits: int, rate: float) -> float:
+    """Six standard deviations above the bits that differ on average."""
+    return bits * rate + 6 * math.sqrt(bits * rate * (1 - rate))
+
+
+def screens(flips: Flips, width: int) -> int:
+    """How many codes the Hamming screen needs to tell linked pairs, the worst measured, from any two; 1 mostly, 8 at most."""
+    rate = min(0.5, float(flips.each.max()))
+    apart = 1 - flips.same
+    for n in range(1, 9 if apart > 0.05 else 1):
+        if _most(n * width, rate) < n * width * apart - 2 * math.sqrt(n * width * apart * (1 - apart)):
+            return n
+    return 8 if apart > 0.05 else 1
 
 
 def _drawn(size: int, rotations: int) -> Model:
@@ -131,8 +220,8 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _codes(unit: np.ndarray, model: Model, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """The substrings as numbers, one column a table, and the first code, packed."""
+def _codes(unit: np.ndarray, model: Model, t: Tables, screens: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The substrings as numbers, one column a table, and the first codes, packed."""
     codes = [(unit - model.mean) @ r >= 0 for r in model.rotations]
     width = unit.shape[1]
     bits = min(t.bits, width)
@@ -141,10 +230,10 @@ def _codes(unit: np.ndarray, model: Model, t: Tables) -> tuple[np.ndarray, np.nd
     for i in range(t.count):
         at = (i % per) * bits
         keys[:, i] = codes[i // per][:, at : at + bits].astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-    return keys, np.packbits(codes[0], axis=1)
+    return keys, np.packbits(np.concatenate(codes[:screens], axis=1), axis=1)
 
 
-def _encode(model: Model | None, t: Tables):
+def _encode(model: Model | None, t: Tables, screens: int = 1):
     """(vec_id, node, label, vector, keys, code); node is null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +247,11 @@ def _encode(model: Model | None, t: Tables):
             for size in sizes:
                 use = [i for i, v in enumerate(vectors) if v is not None and len(v) == size and labels[i] is not None]
                 if model is not None and len(model.mean) == size:
-                    m = model
+                    m, own_screens = model, screens
                 else:
-                    m = drawn.setdefault(size, _drawn(size, t.rotations(size)))
+                    m, own_screens = drawn.setdefault(size, _drawn(size, t.rotations(size))), 1
                 full = np.stack([vectors[i] for i in use])
-                found, code = _codes(full / np.linalg.norm(full, axis=1, keepdims=True), m, t)
+                found, code = _codes(full / np.linalg.norm(full, axis=1, keepdims=True), m, t, own_screens)
                 for i, row, own, v in zip(use, found, code, full + 0.0, strict=True):
                     nodes[i] = hashlib.blake2b(f"{labels[i]}/".encode() + v.tobytes(), digest_size=16).digest()
                     keys[i], codes[i] = row.tolist(), own.tobytes()
@@ -195,8 +284,11 @@ def _across(block: pa.Table) -> np.ndarray | None:
 _ONES = np.array([i.bit_count() for i in range(256)], dtype=np.uint8)
 
 
-def _screen(p: Params):
-    """The rows of each block whose code has a partner near enough; nearly all that meet by chance go here."""
+def _screen(p: Params, fitted: int = 0, most_fitted: float = 0.0):
+    """The rows of each block whose code has a partner near enough; nearly all that meet by chance go here.
+
+    Vectors of the ``fitted`` length may differ in ``most_fitted`` bits, of others in what random rotations make likely.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, ["bucket", "lo", "hi"]):
@@ -204,8 +296,7 @@ def _screen(p: Params):
             for block in _blocks(part):
                 codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in block.column("code").to_pylist()])
                 width = block.column("width")[0].as_py()
-                # Six standard deviations above what links at the least cosine differ in.
-                most = width * p.flips + 6 * math.sqrt(width * p.flips * (1 - p.flips))
+                most = most_fitted if width == fitted else _most(width, p.flips)
                 apart = np.zeros((len(codes),) * 2, dtype=np.uint16)
                 for j in range(codes.shape[1]):
                     apart += _ONES[codes[:, j][:, None] ^ codes[:, j][None, :]]
@@ -284,9 +375,13 @@ def groups(vectors: DataFrame, p: Params = Params()) -> DataFrame:
     slim = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label")
     )
-    sample, tables = sample_of(slim, p), Tables.of(slim.count(), p)
-    model = fit(sample, p.rounds, tables.rotations(sample.shape[1]), p.cosine) if sample is not None else None
-    coded = Written(slim.mapInArrow(_encode(model, tables), "vec_id long, node binary, label long, vector binary, keys array<long>, code binary")).df
+    sample, vectors_in_all = sample_of(slim, p), slim.count()
+    if sample is not None:
+        fitted = fit(sample, p, vectors_in_all)
+        screen, encode = _screen(p, sample.shape[1], fitted.most), _encode(fitted.model, fitted.tables, fitted.screens)
+    else:
+        screen, encode = _screen(p), _encode(None, Tables.of(vectors_in_all, p))
+    coded = Written(slim.mapInArrow(encode, "vec_id long, node binary, label long, vector binary, keys array<long>, code binary")).df
     live = coded.where(F.col("node").isNotNull())
     nodes = Written(
         live.groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), *[F.first(c).alias(c) for c in ("label", "vector", "keys", "code")])
@@ -304,7 +399,7 @@ def groups(vectors: DataFrame, p: Params = Params()) -> DataFrame:
         return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     near = dealt(blocks.select("bucket", "lo", "hi", "chunk", "table", "node", "code", "width")).mapInArrow(
-        _screen(p), "bucket long, lo int, hi int, chunk int, table int, node binary"
+        screen, "bucket long, lo int, hi int, chunk int, table int, node binary"
     )
     found = Written(dealt(near.join(nodes.select("node", "weight", "vector", "keys"), "node")).mapInArrow(_rerank(p), "node binary, other binary, n long")).df
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -618,6 +618,27 @@ def test_vector_recall_and_tables(spark):
         assert 2**t.bits >= n and (1 - (1 - itq.Params().flips) ** t.bits) ** t.count <= 3e-4
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.5, 0.8, 0.9, 0.95])
+def test_vectors_that_share_a_direction(spark, shared):
+    """Recall among vectors whose squared length lies in one direction to so large a part; no linked pair is in the sample."""
+    rng = np.random.default_rng(17)
+    n, pairs, size = 3000, 150, 64
+    axis = np.eye(size)[0]
+    noise = rng.standard_normal((n, size)) / size**0.5
+    x = np.sqrt(shared) * axis + np.sqrt(1 - shared) * noise
+    aside = rng.standard_normal((pairs, size))
+    own = x[:pairs] / np.linalg.norm(x[:pairs], axis=1, keepdims=True)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    x = np.concatenate([x, 0.9805 * own + (1 - 0.9805**2) ** 0.5 * aside / np.linalg.norm(aside, axis=1, keepdims=True)])
+    rows = spark.createDataFrame([(i, v.tolist(), 1, "c", [i]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, code string, keys array<int>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: r["n_links"] for r in itq.digest_row(rows, itq.Params(fit_rows=400)).collect()}
+    assert linked.sum() >= 2 * pairs and all(got[i] <= linked[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * linked.sum()
+
+
 def test_large_group_of_near_vectors(spark):
     rng = np.random.default_rng(8)
     x = np.ones((1500, 24)) + 0.01 * rng.standard_normal((1500, 24))
