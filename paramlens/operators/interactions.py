@@ -6,7 +6,11 @@ many sets at a time.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -28,48 +32,89 @@ def _codes(levels: list[list[str]]) -> tuple[np.ndarray, list[int]]:
     return np.stack([c[0] for c in columns]), [len(c[1]) for c in columns]
 
 
-def _dummies(code: np.ndarray, margins: list[tuple[int, ...]], sizes: list[int]) -> np.ndarray:
-    """A column for every combination of levels of every margin; columns may depend on each other."""
-    columns = [np.ones(code.shape[1])]
+def _groups(code: np.ndarray, sizes: list[int], margins: list[tuple[int, ...]]) -> list[tuple[np.ndarray, int]]:
+    """For each margin the group that every cell is in, numbered among those that there are, and how many."""
+    out = []
     for m in margins:
-        flat = np.ravel_multi_index([code[j] for j in m], [sizes[j] for j in m])
-        columns += [(flat == v).astype(float) for v in np.unique(flat)]
-    return np.stack(columns, axis=1)
-
-
-def fitted_means(code: np.ndarray, sizes: list[int], margins: list[tuple[int, ...]], n: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, int]:
-    """Weighted least squares of cell means on the margins, and the rank of the fit."""
-    x, w = _dummies(code, margins, sizes), np.sqrt(n)
-    coef, _, rank, _ = np.linalg.lstsq(x * w[:, None], mean * w, rcond=None)
-    return x @ coef, int(rank)
+        flat = np.ravel_multi_index([code[j] for j in m], [sizes[j] for j in m]) if m else np.zeros(code.shape[1], dtype=int)
+        _, at = np.unique(flat, return_inverse=True)
+        out.append((at, int(at.max()) + 1))
+    return out
+
+
+def _parts(a: np.ndarray, b: np.ndarray, na: int) -> int:
+    """Into how many unconnected parts the rows and columns of a table fall."""
+    root = np.arange(na)
+    while True:
+        least = np.full(int(b.max()) + 1, na)
+        np.minimum.at(least, b, root[a])
+        new = root.copy()
+        np.minimum.at(new, a, least[b])
+        if (new == root).all():
+            return len(np.unique(root))
+        root = new
+
+
+def rank_of(code: np.ndarray, sizes: list[int], margins: list[tuple[int, ...]]) -> int:
+    """How many numbers the margins' terms are worth, without a matrix of them where the table is whole or has two sides."""
+    cells = code.shape[1]
+    whole = cells == int(np.prod(sizes))
+    if whole and len(margins) == len(sizes) and all(len(m) == len(sizes) - 1 for m in margins):
+        return cells - int(np.prod([s - 1 for s in sizes]))
+    if all(len(m) == 1 for m in margins) and len(margins) == 2:
+        (a, na), (b, nb) = _groups(code, sizes, margins)
+        return na + nb - _parts(a, b, na)
+    columns = [np.ones(cells)] + [(at == v).astype(float) for at, n in _groups(code, sizes, margins) for v in range(n)]
+    return int(np.linalg.matrix_rank(np.stack(columns, axis=1)))
+
+
+def fitted_means(code: np.ndarray, sizes: list[int], margins: list[tuple[int, ...]], n: np.ndarray, mean: np.ndarray, rounds: int = 2000) -> tuple[np.ndarray, int]:
+    """Weighted least squares of cell means on the margins' terms, and the rank of the fit.
+
+    Each margin in turn takes the weighted mean of what the others leave, until that moves nothing; memory follows the cells.
+    """
+    groups = _groups(code, sizes, margins)
+    grand = float((n * mean).sum() / n.sum())
+    parts = [np.zeros(len(n)) for _ in groups]
+    weights = [np.bincount(at, weights=n, minlength=k) for at, k in groups]
+    scale = max(1e-300, float(np.abs(mean - grand).max()))
+    fit = np.full(len(n), grand)
+    for _ in range(rounds):
+        moved = 0.0
+        for j, (at, k) in enumerate(groups):
+            step = (np.bincount(at, weights=n * (mean - fit), minlength=k) / weights[j])[at]
+            parts[j] += step
+            fit = fit + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved <= 1e-13 * scale:
+            break
+    return fit, rank_of(code, sizes, margins)
+
+
+def proportional(code: np.ndarray, sizes: list[int], margins: list[tuple[int, ...]], n: np.ndarray, hits: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """The hits that a logistic model on the margins gives each cell: hits and misses are scaled to their margins and the cells' totals in turn."""
+    groups = _groups(code, sizes, margins)
+    seen = np.stack([hits, n - hits])
+    fit = np.stack([n * hits.sum() / n.sum(), n * (1 - hits.sum() / n.sum())])
+    own = [np.stack([np.bincount(at, weights=x, minlength=k) for x in seen]) for at, k in groups]
+    for _ in range(rounds):
+        before = fit[0]
+        for (at, k), due in zip(groups, own, strict=True):
+            now = np.stack([np.bincount(at, weights=x, minlength=k) for x in fit])
+            fit = fit * np.divide(due, now, out=np.zeros_like(now), where=now > 0)[:, at]
+            both = fit.sum(axis=0)
+            fit = fit * np.divide(n, both, out=np.zeros_like(both), where=both > 0)
+        if np.abs(fit[0] - before).max() < 1e-9 * max(1.0, n.sum()) / 1000:
+            break
+    return fit[0]
 
 
 def deviance(code: np.ndarray, sizes: list[int], margins: list[tuple[int, ...]], n: np.ndarray, hits: np.ndarray) -> tuple[float, int]:
-    """Deviance of a logistic model on the margins from one rate a cell, by reweighted least squares, and its rank."""
-    x = _dummies(code, margins, sizes)
-    u, sv, _ = np.linalg.svd(x * np.sqrt(n)[:, None], full_matrices=False)
-    rank = int((sv > sv[0] * 1e-10).sum())
-    basis = u[:, :rank] / np.sqrt(n)[:, None]
-    total, k = n.sum(), hits.sum()
-    beta = np.linalg.lstsq(basis, np.full(len(n), math.log((k + 0.5) / (total - k + 0.5))), rcond=None)[0]
-
-    def dev(b: np.ndarray) -> float:
-        p = 1 / (1 + np.exp(-np.clip(basis @ b, -700, 700)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            one = np.where(hits > 0, hits * np.log(hits / n / p), 0) + np.where(n - hits > 0, (n - hits) * np.log((1 - hits / n) / (1 - p)), 0)
-        return 2 * float(one.sum())
-
-    best = dev(beta)
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(basis @ beta, -700, 700)))
-        bend = (basis * (n * p * (1 - p) + 1e-12)[:, None]).T @ basis + 1e-10 * np.eye(rank)
-        step, size = np.linalg.solve(bend, basis.T @ (hits - n * p)), 1.0
-        while (new := dev(beta + size * step)) > best + 1e-12 and size > 1e-9:
-            size /= 2
-        beta, before, best = beta + size * step, best, new
-        if abs(before - best) < 1e-10 * max(1.0, best):
-            break
-    return best, rank
+    """Deviance of a logistic model on the margins from one rate a cell, and its rank."""
+    fit = proportional(code, sizes, margins, n, hits)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        one = np.where(hits > 0, hits * np.log(hits / fit), 0) + np.where(n - hits > 0, (n - hits) * np.log((n - hits) / (n - fit)), 0)
+    return max(0.0, 2 * float(one.sum())), rank_of(code, sizes, margins)
 
 
 def _interaction(binary: bool, least: int):
@@ -165,12 +210,40 @@ def chosen_set(tests: DataFrame, linked: DataFrame | None = None) -> DataFrame:
     return best.orderBy("_o").limit(1).drop("_o")
 
 
-def pair_table(sweep: DataFrame, target: Target, a: str, b: str) -> DataFrame:
-    """The cells of a pair with mean, interval and whether they are withheld."""
+_FITTED = "levels array<string>, fitted double"
+
+
+def _fitted(binary: bool):
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        code, sizes = _codes([list(x) for x in part["levels"]])
+        margins = list(combinations(range(len(sizes)), len(sizes) - 1))
+        n, s = part["n"].to_numpy(dtype=float), part["s"].to_numpy(dtype=float)
+        if binary:
+            fit = proportional(code, sizes, margins, n, part["total"].to_numpy(dtype=float)) / n
+        else:
+            fit = fitted_means(code, sizes, margins, n, s / n)[0] + part["base_mean"].to_numpy(dtype=float)
+        return pd.DataFrame({"levels": part["levels"], "fitted": fit})
+
+    return one
+
+
+def cell_table(sweep: DataFrame, target: Target, dims: tuple[str, ...]) -> DataFrame:
+    """The cells of a set of dimensions: ``l0``..., n, mean, interval, what all smaller sets give (``fitted``), and whether they are withheld.
+
+    The fit of a binary target is a logistic one.
+    """
     from .effects import mean_interval
 
-    cells = set_cells(sweep, target, [a, b], 2).withColumns({"a": F.element_at("levels", 1), "b": F.element_at("levels", 2)})
-    return mean_interval(cells, target).select("a", "b", "n", "mean", "lo", "hi", (F.col("n") < I.MIN_N).alias("withheld"))
+    cells = set_cells(sweep, target, list(dims), len(dims)).where(F.col("n") > 0)
+    fits = cells.groupBy("dims").applyInPandas(_fitted(target.binary), _FITTED)
+    out = mean_interval(cells, target).join(fits, "levels")
+    at = [F.element_at("levels", i + 1).alias(f"l{i}") for i in range(len(dims))]
+    return out.select(*at, "n", "mean", "lo", "hi", "fitted", (F.col("n") < I.MIN_N).alias("withheld"))
+
+
+def pair_table(sweep: DataFrame, target: Target, a: str, b: str) -> DataFrame:
+    """The cells of a pair with mean, interval, the value that an additive fit gives, and whether they are withheld."""
+    return cell_table(sweep, target, (a, b)).withColumnsRenamed({"l0": "a", "l1": "b"})
 
 
 def association(sweep: DataFrame, dims: list[str]) -> DataFrame:
@@ -209,8 +282,75 @@ def uniformity(sweep: DataFrame, dim: str, levels: DataFrame | None = None) -> D
     return out.select("N", "k", "chi2", "p", (F.col("p") < 1e-6).alias("uneven"))
 
 
-def combo_plan(dims: list[str], pairs: list[tuple[str, str, float]], size: int, sets: int = 2000) -> list[tuple[str, ...]]:
-    """Sets to test first: those whose pairs interact most, as many as the budget allows."""
-    strength = {frozenset((a, b)): w for a, b, w in pairs}
-    scored = [(sum(strength.get(frozenset(x), 0.0) for x in combinations(s, 2)), s) for s in combinations(dims, size)]
-    return [s for _, s in sorted(scored, key=lambda x: (-x[0], x[1]))[:sets]]
+#: Sets that a search tests at most, and rows it reads for them.
+SETS, READS = 2000, 400_000_000
+
+
+def budget(rows: int, size: int) -> int:
+    """How many sets of a size a search may test: each reads every row once for each of its dimensions; 50 in any case."""
+    return max(50, min(SETS, READS // max(1, rows * size)))
+
+
+def strengths(effects: list[tuple[str, float]], pairs: list[tuple[str, str, float, bool]]) -> dict[str, float]:
+    """By dimension: what it does alone, or with another where that is detectable, whichever is more; never below 0."""
+    found = {d: max(0.0, w or 0.0) for d, w in effects}
+    for a, b, w, detectable in pairs:
+        if detectable:
+            found[a], found[b] = max(found.get(a, 0.0), w), max(found.get(b, 0.0), w)
+    return found
+
+
+def best_sets(strength: dict[str, float], pairs: dict[frozenset, float], size: int) -> Iterator[tuple[float, tuple[str, ...]]]:
+    """Sets of a size, strongest first, made one by one: (strength, dimensions).
+
+    A set is as strong as its dimensions and its pairs together. Parts of sets wait in a queue under the most that
+    they can still reach, so sets that are never asked for are never made.
+    """
+    order = sorted(strength, key=lambda d: (-strength[d], d))
+    joint = [[pairs.get(frozenset((a, b)), 0.0) for b in order] for a in order]
+    most = [max(row, default=0.0) for row in joint]
+
+    def more(k: int, at: int, chosen: tuple[int, ...]) -> float:
+        """The most that k further dimensions, from a place in the order on, can add."""
+        gains = [strength[order[i]] + sum(joint[i][j] for j in chosen) + (k - 1) / 2 * most[i] for i in range(at, len(order))]
+        return sum(heapq.nlargest(k, gains))
+
+    count = itertools.count()
+    queue: list[tuple[float, int, int, float, tuple[int, ...]]] = []
+
+    def put(score: float, chosen: tuple[int, ...]) -> None:
+        at = chosen[-1] + 1 if chosen else 0
+        left = size - len(chosen)
+        if len(order) - at >= left:
+            heapq.heappush(queue, (-(score + more(left, at, chosen)), -len(chosen), next(count), score, chosen))
+
+    put(0.0, ())
+    while queue:
+        *_, score, chosen = heapq.heappop(queue)
+        if len(chosen) == size:
+            yield score, tuple(sorted(order[i] for i in chosen))
+            continue
+        for i in range(chosen[-1] + 1 if chosen else 0, len(order)):
+            put(score + strength[order[i]] + sum(joint[i][j] for j in chosen), (*chosen, i))
+
+
+def combo_plan(dims: list[str], pairs: list[tuple[str, str, float]], size: int, sets: int = SETS, effects: list[tuple[str, float]] = ()) -> list[tuple[str, ...]]:
+    """Sets to test first: those whose dimensions and pairs do most, as many as the budget allows, without listing the others."""
+    alone = dict.fromkeys(dims, 0.0) | {d: max(0.0, w or 0.0) for d, w in effects if d in dims}
+    joint = {frozenset((a, b)): max(0.0, w or 0.0) for a, b, w in pairs}
+    return [s for _, s in itertools.islice(best_sets(alone, joint, size), sets)]
+
+
+def search(sweep: DataFrame, target: Target, dims: list[str], size: int, effects: DataFrame, pairs: DataFrame, batch: int = 250) -> DataFrame:
+    """Interactions of the strongest sets within the budget of sets and row reads, q over all that were tested.
+
+    ``effects`` has (dim, omega2), ``pairs`` (dims, omega2, detectable). Sets go through the facts in batches, one scan each
+    that groups by all sets of the batch; names and strengths of dimensions are what reaches the driver.
+    """
+    alone = [(r["dim"], r["omega2"]) for r in effects.select("dim", "omega2").collect()]
+    joint = [(*r["dims"], r["omega2"]) for r in pairs.where("detectable").select("dims", "omega2").collect()]
+    chosen = combo_plan(dims, joint, size, budget(sweep.count(), size), alone)
+    tests = [interactions(sweep, target, dims, size, chosen[i : i + batch]).drop("q", "detectable") for i in range(0, len(chosen), batch)]
+    if not tests:
+        return I.with_q(sweep.sparkSession.createDataFrame([], _SCHEMA))
+    return I.with_q(reduce(DataFrame.unionByName, tests))

@@ -205,6 +205,34 @@ def combos(spark, d):
     return _tested(interactions.interactions(sweep(spark, d), PRICE, DIMS, 3))
 
 
+_DEVIANCE = """dev AS (SELECT d, 2 * sum(CASE WHEN k = 0 THEN 0 ELSE k * ln(k / h) END + CASE WHEN k = n THEN 0 ELSE (n - k) * ln((n - k) / miss) END) AS dv FROM logistic GROUP BY d)"""
+_COARSE = ["l_returnflag", "l_linestatus", "early"]
+
+
+def coarse(spark, d) -> DataFrame:
+    return sweep(spark, d).withColumn("early", (F.col("l_linenumber") <= 3).cast("int"))
+
+
+@query(f"""{_RATE.replace("SELECT * EXCLUDE (y)", "SELECT * EXCLUDE (y), (l_linenumber <= 3)::INT AS early")}, {tails.additive_fit([tuple(_COARSE)], _key)}, {tails.interaction_tests(3, interactions.MIN_CELL)}, {tails.logistic_fit(size=3)}, {_DEVIANCE},
+u AS (SELECT * EXCLUDE (p), CASE WHEN df > 0 THEN {tails.chi2_tail('greatest(dv, 0)', 'df')} END AS p FROM tests JOIN dev USING (d)) {_detected(tails.with_q('u', 'd AS dims, ' + _TEST + ', round(dv, 5) AS deviance'))}""")
+def combos_binary(spark, d):
+    """A rate's interaction of three dimensions, by proportional fitting."""
+    return _tested(interactions.interactions(coarse(spark, d), HIT, _COARSE, 3), ("D", "deviance"))
+
+
+@query(f"""{_FIT}, {tails.additive_fit([("l_returnflag", "l_discount")], _key)} SELECT l0 AS a, l1 AS b, CAST(n AS BIGINT) AS n, round(f.y, 4) AS mean, round(fit, 4) AS fitted, n < 30 AS withheld FROM fitted f""")
+def pair_table(spark, d):
+    """The cells of a pair with the values of an additive fit."""
+    out = interactions.pair_table(sweep(spark, d), PRICE, "l_returnflag", "l_discount")
+    return out.select("a", "b", "n", F.round("mean", 4).alias("mean"), F.round("fitted", 4).alias("fitted"), "withheld")
+
+
+@query(f"""{_RATE}, {tails.additive_fit([("l_returnflag", "l_linenumber")], _key)}, {tails.logistic_fit()} SELECT l0 AS a, l1 AS b, CAST(n AS BIGINT) AS n, round(k / n, 6) AS mean, round(h / n, 6) AS fitted FROM logistic""")
+def pair_table_binary(spark, d):
+    out = interactions.pair_table(sweep(spark, d), HIT, "l_returnflag", "l_linenumber")
+    return out.select("a", "b", "n", F.round("mean", 6).alias("mean"), F.round("fitted", 6).alias("fitted"))
+
+
 @query(f"""{_FIT}, {tails.additive_fit(_MODERATED, _key)}, {tails.interaction_tests(2, 0)} {_detected(tails.with_q('tests', 'd AS dims, ' + _TEST))}""")
 def moderator_scan(spark, d):
     return _tested(interactions.moderators(sweep(spark, d), PRICE, DIMS, DIMS[:2]))

@@ -81,13 +81,18 @@ tested AS (SELECT *, CASE WHEN df > 0 THEN ssi / df / ms END AS F, CASE WHEN df
 tests AS (SELECT *, CASE WHEN F IS NOT NULL THEN {f_tail('F', 'df', 'dfW')} END AS p FROM tested)"""
 
 
-def logistic_fit(rounds: int = 300) -> str:
-    """Table ``fitted`` (cells with h, the hits that both margins of a pair give), by proportional fitting."""
+def logistic_fit(rounds: int = 300, size: int = 2) -> str:
+    """Table ``logistic`` (cells with h, the hits that the margins of one dimension less give), by proportional fitting."""
+    at = [f"l{i}" for i in range(size)]
+
     def scaled(table: str, margin: str) -> str:
         part = f"PARTITION BY d, {margin}"
         return f"(SELECT * EXCLUDE (h, m), h * sum(k) OVER ({part}) / sum(h) OVER ({part}) AS h, m * sum(n - k) OVER ({part}) / sum(m) OVER ({part}) AS m FROM {table})"
 
-    inner = scaled(scaled(f"(SELECT * FROM ipf WHERE step < {rounds})", "l0"), "l1")
-    return f"""ipf AS (SELECT 0 AS step, d, l0, l1, n, y, w, k, n / 2.0 AS h, n / 2.0 AS m FROM cells
- UNION ALL SELECT step + 1, d, l0, l1, n, y, w, k, h * n / (h + m), m * n / (h + m) FROM {inner}),
+    inner = f"(SELECT * FROM ipf WHERE step < {rounds})"
+    for left in reversed(range(size)):
+        inner = scaled(inner, ", ".join(x for i, x in enumerate(at) if i != left))
+    keep = f"d, {', '.join(at)}, n, y, w, k"
+    return f"""ipf AS (SELECT 0 AS step, {keep}, n / 2.0 AS h, n / 2.0 AS m FROM cells
+ UNION ALL SELECT step + 1, {keep}, h * n / (h + m), m * n / (h + m) FROM {inner}),
 logistic AS (SELECT *, n - h AS miss FROM ipf WHERE step = {rounds})"""
