@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .queries import _table, query
 from .sources import experiment, members
-from .streaming import logs
+from .streaming import deltas, logs
 
 
 def run_logs(spark, d) -> DataFrame:
@@ -112,3 +112,40 @@ def round_index(spark, d):
     """Where each round is: files, how many members they hold, and which comes first in the file."""
     found = members.index(spark, f"{round_files(spark, d)}/*.jsonl.gz")
     return found.groupBy(F.regexp_extract("file", r"(\d+)\.jsonl", 1).cast("int").alias("file")).agg(F.count("*").alias("rounds"), F.min_by(F.substring("round_id", 2, 20).cast("long"), "start").alias("least"))
+
+
+def delta_batches(spark, d, folder: str) -> None:
+    """Events in three batches by arrival, by user in three shards; the second shard starts over in the third batch."""
+    events = _table(spark, d, "events")
+    n = events.agg(F.count("*").alias("n")).first()["n"]
+    part = F.floor(F.col("event_id") * 3 / n).cast("int")
+    shard = F.col("user_id") % 3
+    rows = events.select(
+        F.col("event_type").alias("run"), F.lit("rows").alias("kind"), F.concat(F.lit("s"), shard.cast("string")).alias("shard"),
+        F.when((shard == 1) & (part == 2), 1).otherwise(0).alias("generation"), F.col("event_id").alias("at"), F.col("props").alias("value"), part.alias("part"),
+    )
+    for k in range(3):
+        deltas.write(rows.where(F.col("part") == k).drop("part"), k, folder)
+    deltas.write(rows.where(F.col("part") == 1).drop("part"), 1, folder)  # a batch that comes again
+
+
+_PARTED = """WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT event_type AS run, 's' || user_id % 3 AS shard, CAST(floor(event_id * 3 / n) AS INT) AS part, event_id FROM events, n),
+g AS (SELECT *, CASE WHEN shard = 's1' AND part = 2 THEN 1 ELSE 0 END AS generation FROM e)"""
+
+
+@query(f"""{_PARTED}, now AS (SELECT run, shard, max(generation) AS generation FROM g GROUP BY ALL)
+SELECT g.run, 'rows' AS kind, g.shard, CAST(g.generation AS INT) AS generation, CASE WHEN g.generation = 1 THEN 'reset' ELSE 'rows' END AS message, count(*) FILTER (WHERE part = 0) AS lo, count(*) AS hi
+FROM g JOIN now ON now.run = g.run AND now.shard = g.shard AND now.generation = g.generation GROUP BY g.run, g.shard, g.generation HAVING count(*) > count(*) FILTER (WHERE part = 0)""")
+def delta_messages(spark, d):
+    """What a reader that holds the first of three batches must do."""
+    folder = _folder(spark)
+    delta_batches(spark, d, folder)
+    return deltas.messages(deltas.ledger(spark, folder), 0)
+
+
+@query(f"""{_PARTED} SELECT run, shard, CAST(generation AS INT) AS generation, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS at FROM g WHERE (shard <> 's1' AND part > 0) OR generation = 1 GROUP BY ALL""")
+def delta_rows(spark, d):
+    """Just the rows that it lacks."""
+    folder = _folder(spark)
+    delta_batches(spark, d, folder)
+    return deltas.delta(spark, folder, 0).groupBy("run", "shard", "generation").agg(F.count("*").alias("rows"), F.sum("at").alias("at"))
