@@ -12,7 +12,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .queries import _table, query
+from .operators import dependence, provenance
+from .plans import profiles
+from .queries import _SWEEP, PRICE, _table, query, sweep
 from .sources import experiment, members
 from .streaming import deltas, logs
 
@@ -149,3 +151,82 @@ def delta_rows(spark, d):
     folder = _folder(spark)
     delta_batches(spark, d, folder)
     return deltas.delta(spark, folder, 0).groupBy("run", "shard", "generation").agg(F.count("*").alias("rows"), F.sum("at").alias("at"))
+
+
+_GRAPH = ["l_returnflag", "l_linestatus", "status_n"]
+
+
+def _edges_sql() -> str:
+    pairs = [(a, b) for a in _GRAPH for b in _GRAPH if a != b]
+    cells = " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, {b} AS lb, count(*) AS n, count({a}) AS on_, count(DISTINCT {a}) AS k, count(y) FILTER (WHERE {a} IS NOT NULL) AS ny, coalesce(sum(y) FILTER (WHERE {a} IS NOT NULL), 0) AS sy, (SELECT count(DISTINCT {a}) FROM sweep) AS ka FROM sweep GROUP BY {b}"
+        for a, b in pairs
+    )
+    return f"""{_SWEEP}, c AS ({cells}),
+e AS (SELECT a, b, sum(n) AS n, sum(on_) AS on_, sum(ny) AS ny, sum(sy) AS sy, count(lb) AS of_, any_value(ka) AS ka, bool_and(lb IS NULL OR (k <= 1 AND on_ IN (0, n))) AS fixed, bool_and(on_ IN (0, n)) AS cut,
+  list_sort(list(lb) FILTER (WHERE lb IS NOT NULL AND on_ > 0)) AS within_, coalesce(sum(on_) FILTER (WHERE lb IS NULL), 0) AS off_ FROM c GROUP BY a, b),
+f AS (SELECT * FROM e WHERE ka >= 2 AND of_ >= 2)
+SELECT a AS dim, b AS other, 'determined by' AS relation, NULL AS within, round(on_ / n, 6) AS share, round(sy / ny, 4) AS mean FROM f WHERE fixed AND off_ = 0
+UNION ALL SELECT a, b, 'applies within', array_to_string(within_, '|'), round(on_ / n, 6), round(sy / ny, 4) FROM f WHERE cut AND on_ < n AND off_ = 0 AND len(within_) > 0"""
+
+
+@query(_edges_sql())
+def scope_graph(spark, d):
+    """Which dimension applies within which levels of another, or is determined by it."""
+    out = dependence.dependence(sweep(spark, d), PRICE, _GRAPH)
+    return out.select("dim", "other", "relation", F.array_join("within", "|").alias("within"), F.round("share", 6).alias("share"), F.round("mean", 4).alias("mean"))
+
+
+def choices(spark, d) -> DataFrame:
+    """A session for each user, in which events set and clear choices."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    what = (
+        F.when(F.col("event_type") == "click", "pocket").when(F.col("event_type") == "view", "first_half").when(F.col("event_type") == "purchase", "target")
+        .when(F.col("event_type") == "signup", "gates").when(k % 10 == 0, "restored").otherwise("context")
+    )
+    value = (
+        F.when(what == "pocket", F.when(k % 4 != 0, F.concat(F.lit("a="), k.cast("string")))).when(what == "first_half", F.when(k % 4 != 0, "true").otherwise("false"))
+        .when(what == "target", F.when(k % 3 == 0, "auc").otherwise("pnl")).when(what == "gates", F.when(k % 3 != 0, F.when(k % 2 == 0, "g1=pnl").otherwise("g1=auc")))
+    )
+    return _table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), what.alias("what"), value.alias("value"))
+
+
+def _standing(what: str) -> str:
+    return f"coalesce(last_value(CASE WHEN what = '{what}' THEN coalesce(value, '') END IGNORE NULLS) OVER (PARTITION BY session ORDER BY spot), '')"
+
+
+@query(f"""WITH e AS (SELECT user_id AS session, event_id AS spot, event_type AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+c AS (SELECT session, spot, CASE t WHEN 'click' THEN 'pocket' WHEN 'view' THEN 'first_half' WHEN 'purchase' THEN 'target' WHEN 'signup' THEN 'gates' ELSE CASE WHEN k % 10 = 0 THEN 'restored' ELSE 'context' END END AS what,
+  CASE t WHEN 'click' THEN CASE WHEN k % 4 <> 0 THEN 'a=' || k END WHEN 'view' THEN CASE WHEN k % 4 <> 0 THEN 'true' ELSE 'false' END WHEN 'purchase' THEN CASE WHEN k % 3 = 0 THEN 'auc' ELSE 'pnl' END WHEN 'signup' THEN CASE WHEN k % 3 <> 0 THEN 'g1=' || CASE WHEN k % 2 = 0 THEN 'pnl' ELSE 'auc' END END END AS value FROM e),
+v AS (SELECT session, spot, what, {_standing('pocket')} <> '' OR {_standing('gates')} <> '' OR {_standing('context')} <> '' OR what = 'restored' AS held, {_standing('first_half')} <> 'true' OR {_standing('target')} = 'auc' OR what = 'restored' AS tainted FROM c),
+w AS (SELECT *, count(CASE WHEN NOT held THEN 1 END) OVER (PARTITION BY session ORDER BY spot) AS choice FROM v)
+SELECT session, spot AS "at", CASE WHEN held THEN CASE WHEN max((tainted AND held)::INT) OVER (PARTITION BY session, choice ORDER BY spot) = 1 THEN 'whole' ELSE 'first' END END AS found FROM w""")
+def choices_found(spark, d):
+    """Whether each choice, as it stands after each change, has seen the second half."""
+    return provenance.replayed(choices(spark, d), ["pnl"], {}, "pnl").select("session", "at", "found")
+
+
+_EVENTS = profiles.Profile(
+    "events", marks=("props", "value"), reads=(profiles.Read("k", "props", r'"k": (\d+)'), profiles.Read("even", "props", r'"k": \d*(\d)\}', "0")),
+    derived=(
+        profiles.Derived("top", ("good", "score"), "good = 1 and score > 1000", binary=True), profiles.Derived("good", ("k", "value"), "k >= 50 and value >= 10", binary=True),
+        profiles.Derived("score", ("k", "value"), "k * value"), profiles.Derived("none", ("missing",), "1"),
+    ),
+    invariants=(profiles.Invariant("k below 95", ("k",), "k >= 95"), profiles.Invariant("clicks are cheap", ("event_type", "value"), "event_type = 'click' and value > 40"), profiles.Invariant("k is known", ("k",), "k is null")),
+)
+
+_PROFILED = """WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+f AS (SELECT *, (k % 10 = 0)::INT::DOUBLE AS even, CASE WHEN value IS NOT NULL THEN (k >= 50 AND value >= 10)::INT::DOUBLE END AS good, k * value AS score FROM e)"""
+
+
+@query(f"""{_PROFILED} SELECT event_id, k, even, good, round(score, 4) AS score, (good = 1 AND score > 1000)::INT::DOUBLE AS top, (k >= 95)::INT + (event_type = 'click' AND value > 40)::INT AS breaks FROM f""")
+def profile_rows(spark, d):
+    """A profile's columns: two read from a text, two levels of derived targets, and how many promises a row breaks."""
+    out = profiles.profiled(_table(spark, d, "events"), _EVENTS)
+    return out.select("event_id", "k", "even", "good", F.round("score", 4).alias("score"), "top", F.size("breaks").alias("breaks"))
+
+
+@query("""WITH e AS (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT 'k below 95' AS invariant, count(*) FILTER (WHERE k >= 95) AS n FROM e UNION ALL SELECT 'clicks are cheap', count(*) FILTER (WHERE event_type = 'click' AND value > 40) FROM e UNION ALL SELECT 'k is known', count(*) FILTER (WHERE k IS NULL) FROM e""")
+def profile_breaks(spark, d):
+    return profiles.breaks(profiles.profiled(_table(spark, d, "events"), _EVENTS), _EVENTS)
