@@ -105,7 +105,7 @@ def cohort_rules(chosen: DataFrame, params: str = "params", reference: str | Non
     p = F.col(params)
     rows = chosen.select(architecture(p, reference, module).alias("a"), uses_lines(p, list(features)).alias("lines"))
     one = rows.agg(F.count("*").alias("members"), F.array_sort(F.collect_set("a")).alias("architectures"), F.sum(F.col("lines").cast("long")).alias("_lines"))
-    first = F.element_at("architectures", 1)
+    first = F.get("architectures", F.lit(0))
     mixed = F.when(F.size("architectures") > 1, F.concat(F.lit("members of several architectures: "), F.array_join("architectures", ", ")))
     lines = F.when(F.col("_lines") > 0, F.concat(F.col("_lines").cast("string"), F.lit(" members use price lines, which depend on the history they are given")))
     return one.select("members", "architectures", aggregation(first).alias("aggregation"), vote_threshold(first).alias("cut"), F.array_compact(F.array(mixed, lines)).alias("notes"))

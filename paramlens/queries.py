@@ -607,9 +607,34 @@ def ensemble_votes(spark, d):
     return bars.ensemble(_votes(spark, d), weighted=False).select(F.col("at").alias("time"), "signal", "ret")
 
 
-@query()
+def _judged_sql() -> str:
+    """Members and cohort long on the bar after a signal, in the market while it lasts, by whole and halves."""
+    fee, slip = bars.FEE_BPS / bars.BPS, bars.SLIP_BPS / bars.BPS
+    w = "(PARTITION BY member ORDER BY t)"
+    return f"""{_VOTES}, s AS (SELECT t FROM v GROUP BY t HAVING count(DISTINCT member) = 3),
+m AS (SELECT t, arg_min(ret, member) AS ret, (avg(prob) > 0.5)::INT AS sig FROM v SEMI JOIN s USING (t) GROUP BY t),
+g AS (SELECT member, t, pred AS signal FROM v SEMI JOIN s USING (t) UNION ALL SELECT 'cohort', t, sig FROM m),
+cuts AS (SELECT min(t) AS a, max(t) AS b FROM (SELECT t, row_number() OVER {w} - 1 AS place, count(*) OVER (PARTITION BY member) AS n FROM v) WHERE place = n // 2),
+o AS (SELECT member, t, ret, coalesce(lag(signal) OVER {w}, 0) = 1 AND ret IS NOT NULL AS held FROM g JOIN m USING (t)),
+p AS (SELECT *, held AND NOT coalesce(lag(held) OVER {w}, FALSE) AS entry, held AND NOT coalesce(lead(held) OVER {w}, FALSE) AS leaving FROM o),
+q AS (SELECT *, sum(entry::INT) OVER {w} AS run FROM p),
+h AS (SELECT *, product(1 + ret) OVER (PARTITION BY member, run, held ORDER BY t ROWS UNBOUNDED PRECEDING) / (1 + {slip}) AS grown FROM q),
+eq AS (SELECT *, CASE WHEN leaving THEN grown * (1 - {fee}) * (1 - {slip}) - {fee} ELSE grown - {fee} END AS equity FROM h),
+n AS (SELECT member, t, held::INT::DOUBLE AS pos, CASE WHEN held THEN ret ELSE 0 END AS gross, CASE WHEN held THEN equity / CASE WHEN entry THEN 1 ELSE lag(equity) OVER (PARTITION BY member, run, held ORDER BY t) END - 1 ELSE 0 END AS net, ret FROM eq),
+b AS (SELECT n.*, 'whole' AS part FROM n UNION ALL SELECT n.*, CASE WHEN t < a THEN 'first' ELSE 'second' END FROM n, cuts WHERE t < a OR t >= b),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY member, part ORDER BY t) AS trade FROM (SELECT *, CASE WHEN pos > 0 AND coalesce(lag(pos) OVER (PARTITION BY member, part ORDER BY t), 0) <= 0 THEN 1 ELSE 0 END AS opens FROM b)),
+tr AS (SELECT member, part, trade, product(1 + net) - 1 AS ret FROM r WHERE pos > 0 GROUP BY ALL),
+d AS (SELECT member, part, count(*) AS trades, avg(ret) AS tm, CASE WHEN count(*) >= 30 AND var_samp(ret) > (max(abs(ret)) * 1e-9) ** 2 THEN avg(ret) / sqrt(var_samp(ret) / count(*)) END AS tt FROM tr GROUP BY ALL)
+SELECT member, part, count(*) AS bars, coalesce(any_value(trades), 0) AS trades, round(avg(net) * 10000, 3) AS pnl, round(avg(gross - net) * 10000, 3) AS cost, round(avg((net > 0)::INT), 4) AS wins, round(avg(pos), 4) AS inventory,
+  round((avg(gross) FILTER (WHERE ret IS NOT NULL) - avg(pos) FILTER (WHERE ret IS NOT NULL) * avg(ret)) * 10000, 3) AS timing, round(product(1 + ret) - 1, 4) AS market, round(any_value(tm) * 10000, 2) AS trade_mean, round(any_value(tt), 3) AS trade_t
+FROM b LEFT JOIN d USING (member, part) GROUP BY member, part"""
+
+
+@query(_judged_sql())
 def ensemble_judged(spark, d):
-    return bars.judge(_votes(spark, d), weighted=True)
+    out = bars.judge(_votes(spark, d), weighted=True)
+    digits = {"pnl": 3, "cost": 3, "wins": 4, "inventory": 4, "timing": 3, "market": 4, "trade_mean": 2, "trade_t": 3}
+    return out.select("member", "part", "bars", "trades", *[F.round(c, k).alias(c) for c, k in digits.items()])
 
 
 @query("""SELECT 5.0 AS fee, CAST(o_orderkey % 3 AS DOUBLE) AS slip, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, slip LIMIT 1""")
