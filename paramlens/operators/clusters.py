@@ -157,7 +157,11 @@ def assign(sweep: DataFrame, outcomes: list[str], key: list[str], weights: list[
             own = _distance(x, centres, w).argmin(axis=1) if len(centres) else np.zeros(len(x))
             yield part[key].assign(cluster=pd.Series(np.where(ok & bool(len(centres)), own, np.nan), index=part.index).astype("Int64"))
 
-    return rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", cluster long")
+    out = rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in key) + ", cluster long")
+    # The sample's sizes give an order to begin with; all rows decide which group is the largest.
+    sizes = out.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.count("*").alias("_n"))
+    named = sizes.select("cluster", (F.row_number().over(W.orderBy(F.desc("_n"), "cluster")) - 1).cast("long").alias("_c"))  # seven rows at most
+    return out.join(F.broadcast(named), "cluster", "left").select(*key, F.col("_c").alias("cluster"))
 
 
 def composition(sweep: DataFrame, dims: list[str], inside: Column) -> DataFrame:

@@ -20,10 +20,17 @@ def member_effects(sweep: DataFrame, column: str, members: list[str], target: Ta
 
     Strata weigh by the harmonic share of rows with and without; z from the variances within strata.
     """
-    rows = sweep.where(F.col(column).isNotNull()).select(value(target).alias("y"), F.array_distinct(column).alias("set")).where(F.col("y").isNotNull())
+    rows = sweep.where(F.col(column).isNotNull()).select(value(target).alias("y"), F.array_sort(F.array_distinct(column)).alias("set")).where(F.col("y").isNotNull())
+    # Sets repeat, so rows are counted by set before members are looked at; sums are about the mean of all.
+    n = F.count("*")
+    sets = rows.groupBy("set").agg(n.alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * n).alias("m2"))
+    sets = sets.crossJoin(F.broadcast(rows.agg(F.avg("y").alias("base")))).withColumn("off", F.col("mean") - F.col("base"))  # one row
     pairs = F.transform(F.array(*map(F.lit, members)), lambda m: F.struct(m.alias("member"), F.array_contains("set", m).alias("inside")))
-    long = rows.select("y", F.size("set").alias("size"), F.inline(pairs))
-    cells = long.groupBy("member", "size", "inside").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"))
+    long = sets.select("n", "off", "m2", "base", F.size("set").alias("size"), F.inline(pairs))
+    sums = long.groupBy("member", "size", "inside").agg(F.sum("n").alias("n"), F.first("base").alias("base"), F.sum(F.col("n") * F.col("off")).alias("s"), F.sum(F.col("m2") + F.col("n") * F.col("off") * F.col("off")).alias("ss"))
+    spread = F.greatest(F.lit(0.0), F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
+    cells = sums.select("member", "size", "inside", "n", (F.col("base") + F.col("s") / F.col("n")).alias("mean"), F.when(F.col("n") >= 2, spread / (F.col("n") - 1)).alias("var"))
+
     def side(flag: bool, name: str) -> DataFrame:
         return cells.where(F.col("inside") == flag).select("member", "size", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "mean", "var")])
 

@@ -299,6 +299,30 @@ def block_tests(spark, d):
     return out.select("dim", "n_without", F.round("mean_without", 4).alias("mean_without"), "n_removed", F.round("z", 6).alias("z"))
 
 
+def _verdict(name: str, rest: str, own: str) -> str:
+    pocket, removed = _IN, f"{rest} AND NOT {own}"
+    return f"""SELECT '{name}' AS dim, count(*) FILTER ({pocket}) AS n, avg(o_totalprice) FILTER ({pocket}) AS mean, count(*) FILTER ({removed}) AS n_removed, avg(o_totalprice) FILTER ({removed}) AS mean_removed,
+ (avg(o_totalprice) FILTER ({pocket}) - avg(o_totalprice) FILTER ({removed})) / sqrt(var_samp(o_totalprice) FILTER ({pocket}) / count(*) FILTER ({pocket}) + var_samp(o_totalprice) FILTER ({removed}) / count(*) FILTER ({removed})) AS z FROM orders"""
+
+
+@query(f"""WITH t AS ({_verdict("o_orderstatus", _B, f"({_A})")} UNION ALL {_verdict("o_orderpriority", _A, f"({_B})")}), u AS (SELECT *, {tails.z_tail('z')} AS p FROM t),
+w AS ({tails.with_q('u', 'dim, n, n_removed, mean, mean_removed')}) SELECT dim, n_removed, p, q, CASE WHEN n < 30 OR n_removed < 30 THEN 'few' WHEN NOT q < 0.05 THEN 'narrows' WHEN mean > mean_removed THEN 'earns' ELSE 'hurts' END AS verdict FROM w""")
+def block_verdicts(spark, d):
+    """What each condition of a pocket is worth."""
+    out = pockets.block_tests(_table(spark, d, "orders"), POCKET, TOTAL)
+    return out.select("dim", "n_removed", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "verdict")
+
+
+@query(f"""{_SWEEP}, s AS (SELECT *, CASE WHEN y IS NOT NULL THEN (y > 60000 AND l_discount < 0.03)::INT END AS rare FROM sweep), b AS (SELECT avg(rare) AS m FROM s),
+l AS (SELECT 'l_discount' AS dim, {_key('l_discount')} AS level, count(rare) AS n, sum(rare) AS k FROM s GROUP BY 2 UNION ALL SELECT 'l_linenumber', {_key('l_linenumber')}, count(rare), sum(rare) FROM s GROUP BY 2),
+w AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM l)
+SELECT dim, level, n, CAST(k AS BIGINT) AS hits, n >= 30 AND m > 0 AND (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) < m / 5 AS dead FROM w, b""")
+def dead_levels(spark, d):
+    """Levels in which a rare outcome all but never comes."""
+    rare = F.when(F.col("y").isNotNull(), ((F.col("y") > 60000) & (F.col("l_discount") < 0.03)).cast("double"))
+    return effects.levels(sweep(spark, d).withColumn("rare", rare), Target("rare", binary=True), ["l_discount", "l_linenumber"]).select("dim", "level", "n", "hits", "dead")
+
+
 @query(f"""SELECT 0 AS step, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders UNION ALL SELECT 1, count(*), round(avg(o_totalprice), 4) FROM orders WHERE {_A}
 UNION ALL SELECT 2, count(*), round(avg(o_totalprice), 4) FROM orders WHERE {_IN}""")
 def pocket_steps(spark, d):
