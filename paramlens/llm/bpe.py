@@ -6,9 +6,12 @@ position. The words of all blocks are shuffled by hash, packed, so that every di
 itself and is encoded once; ids go back to the blocks, and each block is put together again by
 position. Decoding looks ids up in the token-byte table, which has as many rows as the vocabulary.
 
-Null and empty texts have no tokens. Rows with equal or null ids are encoded one by one. The
-vocabulary file is read on the driver and sent to the tasks; its size is fixed. The input is read
-twice and must give the same rows each time: write it first if it doesn't.
+Null and empty texts have no tokens. Rows with equal or null ids are encoded one by one. A text is
+encoded whole, however long: it may fill several blocks. Equal words have equal ids, and of two pairs that could merge
+the one of the lower rank, then the first, does, so there are no ties. Empty tables give empty ones. Other
+columns are left out, whatever they are called. The vocabulary file is read on the driver and sent to the
+tasks; its size is fixed. The input is read three times, once for its size, and must give the same rows each time:
+write it first if it doesn't.
 """
 
 from __future__ import annotations
