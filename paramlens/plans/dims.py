@@ -68,6 +68,18 @@ def levels_of(sweep: DataFrame, column: str) -> DataFrame:
     return counts.select(code.alias("code"), F.coalesce(key_of("v", kind), F.lit("null")).alias("key"), "n")
 
 
+#: Levels that are sent to all tasks, at most; dictionaries beyond that are joined by a shuffle.
+LOOKUP = 10_000
+
+
+def coded(sweep: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the code of each row's level, as ``levels_of`` numbers them. Counts the levels at once."""
+    table = sweep.select(F.col(column).alias("_v")).distinct()
+    codes = table.select("_v", (F.row_number().over(W.orderBy(F.asc_nulls_first("_v"))) - 1).alias(name))
+    few = table.limit(LOOKUP + 1).count() <= LOOKUP
+    return sweep.join(F.broadcast(codes) if few else codes, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
 def bin_edges(sweep: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """One row: the inner edges of bins of about equal counts, ``sorted[floor(b n / bins)]``, each once.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import dependence, provenance
-from .plans import profiles
+from .plans import dims, profiles
 from .queries import _SWEEP, PRICE, _table, query, sweep
 from .sources import experiment, members
 from .streaming import deltas, logs
@@ -230,3 +230,29 @@ def profile_rows(spark, d):
 SELECT 'k below 95' AS invariant, count(*) FILTER (WHERE k >= 95) AS n FROM e UNION ALL SELECT 'clicks are cheap', count(*) FILTER (WHERE event_type = 'click' AND value > 40) FROM e UNION ALL SELECT 'k is known', count(*) FILTER (WHERE k IS NULL) FROM e""")
 def profile_breaks(spark, d):
     return profiles.breaks(profiles.profiled(_table(spark, d, "events"), _EVENTS), _EVENTS)
+
+
+@query(f"""{_SWEEP}, l AS (SELECT row_number() OVER (ORDER BY status_n NULLS FIRST) - 1 AS code, status_n FROM (SELECT DISTINCT status_n FROM sweep)), m AS (SELECT row_number() OVER (ORDER BY l_discount) - 1 AS code, l_discount FROM (SELECT DISTINCT l_discount FROM sweep))
+SELECT CAST(l.code AS INT) AS status, CAST(m.code AS INT) AS discount, count(*) AS n FROM sweep s JOIN l ON l.status_n IS NOT DISTINCT FROM s.status_n JOIN m ON m.l_discount = s.l_discount GROUP BY 1, 2""")
+def level_lookup(spark, d):
+    """Rows by the codes of two dimensions' levels."""
+    rows = dims.coded(dims.coded(sweep(spark, d), "status_n", "status"), "l_discount", "discount")
+    return rows.groupBy("status", "discount").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT o_orderkey % 100 AS g, count(*) AS n FROM orders GROUP BY 1)
+SELECT CASE WHEN g % 7 = 1 THEN 'market returns and predictions differ in length' WHEN g % 7 = 2 THEN 'the digest differs' WHEN g % 7 = 3 THEN 'no such market' WHEN g % 7 = 4 THEN 'a return is no number' WHEN g % 7 = 5 THEN 'not an object of returns alone' END AS problem,
+ CAST(sum(n) AS BIGINT) AS rounds, CAST(sum(CASE WHEN g % 7 IN (0, 6) THEN 2 * n ELSE 0 END) AS BIGINT) AS returns FROM r GROUP BY 1""")
+def market_references(spark, d):
+    """Rounds that share market returns by digest: which fit, and why others don't."""
+    orders = _table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("g"))
+    way = F.col("g") % 7
+    text = (
+        F.when(way == 4, F.format_string('{"ret": [%d, "x"]}', "g")).when(way == 5, F.format_string('{"ret": [%d, 1], "more": 1}', "g"))
+        .when(way == 1, F.format_string('{"ret": [%d]}', "g")).otherwise(F.format_string('{"ret": [%d, null]}', "g"))
+    )
+    named = orders.withColumn("text", text).withColumn("market_ref", F.sha2("text", 256))
+    markets = named.where(way != 3).select("g", F.col("market_ref").alias("ref"), F.when(way == 2, F.concat("text", F.lit(" "))).otherwise(F.col("text")).alias("text")).distinct().drop("g")
+    rounds = named.select("market_ref", F.array(F.lit(1.0), F.lit(0.0)).alias("preds"), F.lit(None).cast("struct<pos:array<double>>").alias("execution"), F.lit(None).cast("struct<ret:array<double>>").alias("market"))
+    out = experiment.hydrated(rounds, markets)
+    return out.groupBy(F.col("market_problem").alias("problem")).agg(F.count("*").alias("rounds"), F.sum(F.coalesce(F.size(F.col("market")["ret"]), F.lit(0)).cast("long")).alias("returns"))

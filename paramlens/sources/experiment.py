@@ -153,11 +153,43 @@ def search_space(params: dict[str, list], narrowed: dict[str, list] | None = Non
 
 
 def hydrated(rounds: DataFrame, markets: DataFrame) -> DataFrame:
-    """Rounds that refer to shared market returns get them; ``markets`` has ref, text and ret, and the digest must fit."""
-    sound = markets.where(F.sha2("text", 256) == F.col("ref")).select(F.col("ref").alias("market_ref"), F.struct("ret").alias("_m"))
-    return rounds.join(sound, "market_ref", "left").withColumn("market", F.coalesce("market", F.col("_m"))).drop("_m")
+    """Rounds that refer to shared market returns get them, or ``market_problem``: why they can't.
+
+    ``markets`` has ref and text. The text must have the digest that names it and be an object with nothing but ``ret``, a list of
+    finite numbers and nulls, as long as the round's predictions, or its positions where it has none.
+    """
+    raw = F.from_json("text", "ret array<string>")["ret"]
+    ret = F.transform(raw, lambda t: t.try_cast("double"))
+    sound = F.forall(F.zip_with(raw, ret, lambda t, v: t.isNull() | (v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))), lambda ok: ok)
+    broken = (
+        F.when(F.sha2("text", 256) != F.col("ref"), "the digest differs").when(~F.coalesce(F.array_size(F.json_object_keys("text")) == 1, F.lit(False)) | ret.isNull(), "not an object of returns alone")
+        .when(~sound, "a return is no number")
+    )
+    known = markets.select(F.col("ref").alias("market_ref"), F.struct(ret.alias("ret")).alias("_m"), broken.alias("_broken"), F.lit(True).alias("_there"))
+    rows = rounds.join(known, "market_ref", "left")
+    n = F.coalesce(F.size("preds"), F.size(F.col("execution")["pos"]))
+    asked = F.col("market_ref").isNotNull()
+    problem = (
+        F.when(~asked, None).when(F.col("market").isNotNull(), "both a market and a reference").when(~F.rlike("market_ref", F.lit("^[0-9a-f]{64}$")), "not a reference")
+        .when(F.col("_there").isNull(), "no such market").when(F.col("_broken").isNotNull(), F.col("_broken")).when(n.isNull(), "no positions to align with")
+        .when(F.size(F.col("_m")["ret"]) != n, "market returns and predictions differ in length")
+    )
+    rows = rows.withColumn("market_problem", problem)
+    return rows.withColumn("market", F.when(asked & F.col("market_problem").isNull(), F.col("_m")).otherwise(F.col("market"))).drop("_m", "_broken", "_there")
+
+
+def manifest_file(names: set[str], directory: str) -> str:
+    """The file that a result directory keeps its manifest in: the only YAML file there."""
+    found = sorted(n for n in names if n.rpartition(".")[2] in ("yaml", "yml"))
+    if len(found) != 1:
+        raise ValueError(f"{directory} must hold one YAML file and holds {', '.join(found) or 'none'}")
+    return found[0]
 
 
-def slim(rows: DataFrame, ids: DataFrame, path: str) -> None:
-    """Writes the rows of given ids as CSV."""
-    rows.join(ids.select("id").distinct(), "id", "left_semi").write.mode("overwrite").csv(path, header=True)
+def slim(rows: DataFrame, ids: DataFrame, path: str, lines: DataFrame | None = None) -> None:
+    """Writes a run of given ids only: its rows as CSV in ``results``, and in ``rounds`` the lines (text) of a round log as they were."""
+    wanted = ids.select("id").distinct()
+    rows.join(wanted, "id", "left_semi").write.mode("overwrite").csv(f"{path}/results", header=True)
+    if lines is not None:
+        named = lines.withColumn("id", F.get_json_object("text", "$.round_id"))
+        named.join(wanted, "id", "left_semi").select("text").write.mode("overwrite").text(f"{path}/rounds")

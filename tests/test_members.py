@@ -110,3 +110,15 @@ def test_the_last_execution_of_a_round_holds(spark):
     runs = spark.createDataFrame([("a", "whole", 1.0, 1), ("a", "whole", 2.0, 3), ("a", "whole", 5.0, 2), ("a", "first", 9.0, 1)], "k string, part string, net double, at int")
     got = rounds.with_executions(sweep, runs, "k", ["net"], "at").orderBy("k").collect()
     assert [(r["whole_net"], r["first_net"], r["second_net"]) for r in got] == [(2.0, 9.0, None), (None, None, None)]
+
+
+def test_manifests_and_slim_runs(spark, tmp_path):
+    assert experiment.manifest_file({"a.yaml", "metadata.json"}, "d") == "a.yaml"
+    for names in (set(), {"a.yml", "b.yaml"}):
+        with pytest.raises(ValueError, match="one YAML file"):
+            experiment.manifest_file(names, "d")
+    rows = spark.createDataFrame([("r1", 1.5), ("r2", 2.5), ("r3", 3.5)], "id string, x double")
+    lines = spark.createDataFrame([('{"round_id": "r1", "a": [1]}',), ('{"round_id": "r3"}',), ("not json",)], "text string")
+    experiment.slim(rows, spark.createDataFrame([("r1",), ("r2",), ("r1",)], "id string"), str(tmp_path), lines)
+    assert sorted(r["id"] for r in spark.read.csv(str(tmp_path / "results"), header=True).collect()) == ["r1", "r2"]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "rounds")).collect()] == ['{"round_id": "r1", "a": [1]}']
