@@ -338,7 +338,7 @@ def combo_plan(dims: list[str], pairs: list[tuple[str, str, float]], size: int,
     """Sets to test first: those whose dimensions and pairs do most, as many as the budget allows, without listing the others."""
     alone = dict.fromkeys(dims, 0.0) | {d: max(0.0, w or 0.0) for d, w in effects if d in dims}
     joint = {frozenset((a, b)): max(0.0, w or 0.0) for a, b, w in pairs}
-    return [s for _, s in itertools.islice(best_sets(alone, joint, size), sets)]
+    return [tuple(sorted(s, key=dims.index)) for _, s in itertools.islice(best_sets(alone, joint, size), sets)]
 
 
 def search(sweep: DataFrame, target: Target, dims: list[str], size: int, effects: DataFrame, pairs: DataFrame, batch: int = 250) -> DataFrame:

@@ -12,9 +12,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import dependence, provenance
+from . import tails
+from .operators import bars, dependence, effects, interactions, provenance, rounds, runs
+from .operators import members as member_sets
 from .plans import dims, profiles
-from .queries import _SWEEP, PRICE, _table, query, sweep
+from .queries import _BARS, _FIT, _SETS, _SWEEP, _TEST, DIMS, PRICE, SQL, _bars, _baskets, _detected, _key, _table, _tested, query, sweep
 from .sources import experiment, members
 from .streaming import deltas, logs
 
@@ -256,3 +258,52 @@ def market_references(spark, d):
     rounds = named.select("market_ref", F.array(F.lit(1.0), F.lit(0.0)).alias("preds"), F.lit(None).cast("struct<pos:array<double>>").alias("execution"), F.lit(None).cast("struct<ret:array<double>>").alias("market"))
     out = experiment.hydrated(rounds, markets)
     return out.groupBy(F.col("market_problem").alias("problem")).agg(F.count("*").alias("rounds"), F.sum(F.coalesce(F.size(F.col("market")["ret"]), F.lit(0)).cast("long")).alias("returns"))
+
+
+@query(SQL["combos"])
+def set_search(spark, d):
+    """Sets of three, best first within the budget, which has room for all of them here; q over those tested."""
+    rows = sweep(spark, d)
+    found = interactions.search(rows, PRICE, DIMS, 3, effects.board(rows, PRICE, DIMS), interactions.interactions(rows, PRICE, DIMS), batch=4)
+    return _tested(found)
+
+
+_LATE = _FIT.replace("(1 - l_discount) END AS y", "(1 - l_discount) * CASE WHEN l_returnflag = 'N' AND l_linenumber > 3 THEN 1.5 ELSE 1 END END AS y")
+
+
+@query(f"""{_LATE}, {tails.additive_fit(_SETS[2], _key)}, {tails.interaction_tests(2, 0)}, u AS ({_detected(tails.with_q('tests', 'd AS dims, ' + _TEST))}) SELECT dims, 'strongest' AS why FROM u WHERE detectable ORDER BY omega2 DESC, dims LIMIT 1""")
+def best_pair(spark, d):
+    """The pair to look at first, where late lines of one flag cost more."""
+    y = F.col("y") * F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") > 3), 1.5).otherwise(1.0)
+    found = interactions.chosen_set(interactions.interactions(sweep(spark, d).withColumn("y", y), PRICE, DIMS))
+    return found.select(F.array_join("dims", "|").alias("dims"), "why")
+
+
+@query("""WITH b AS (SELECT l_orderkey, list_distinct(list(l_returnflag)) AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey)
+SELECT list_contains(s, 'A')::INT AS "in_A", list_contains(s, 'N')::INT AS "in_N", list_contains(s, 'R')::INT AS "in_R", CAST(len(s) AS INT) AS size, count(*) AS n FROM b GROUP BY ALL""")
+def member_flags(spark, d):
+    """Members and sizes of sets as dimensions."""
+    rows = member_sets.member_flags(_baskets(spark, d), "set", ["A", "N", "R"])
+    return rows.groupBy("in_A", "in_N", "in_R", "size").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'r' || o_custkey % 100 AS id, o_orderkey, o_orderstatus AS shard FROM orders WHERE o_custkey % 100 = 7 AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 1""")
+def row_of_round(spark, d):
+    """The first row of a round id in one directory."""
+    rows = _table(spark, d, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") % 100).cast("string")).alias("id"), "o_orderkey", F.col("o_orderstatus").alias("shard"))
+    return rounds.row_of(rows, "r7", "o_orderkey", "F")
+
+
+@query(_BARS + """, p AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY at_) - 1 AS place, count(*) OVER (PARTITION BY member) AS n FROM b)
+SELECT member, CASE WHEN place < n // 2 THEN 1 ELSE 2 END AS half, count(*) AS bars, round(avg(net) * 10000, 4) AS pnl FROM p GROUP BY 1, 2""")
+def bar_halves(spark, d):
+    """Bars of each member by the halves of its own window."""
+    return bars.halves(_bars(spark, d)).groupBy("member", "half").agg(F.count("*").alias("bars"), F.round(F.avg("net") * 10000, 4).alias("pnl"))
+
+
+@query("""SELECT event_type AS pattern, CAST(sum(c) AS BIGINT) AS rounds, CAST(sum(w) AS BIGINT) AS warned FROM (SELECT event_type, user_id % 3 AS shard, count(*) AS c, count(*) FILTER (WHERE value > 50) AS w FROM events GROUP BY 1, 2) GROUP BY 1""")
+def convergence_sums(spark, d):
+    """Convergence reports of three shards, summed."""
+    events = _table(spark, d, "events")
+    reports = events.groupBy(F.col("event_type").alias("pattern"), F.col("user_id") % 3).agg(F.count("*").alias("rounds"), F.count(F.when(F.col("value") > 50, 1)).alias("warned"))
+    return runs.convergence(reports)
