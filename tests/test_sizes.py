@@ -1,10 +1,11 @@
-"""What only shows on larger tables: counts beyond a long's cube."""
+"""What only shows on larger tables: counts beyond a long's cube, means that differ in the last bit."""
 
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from paramlens import queries
 from paramlens.operators import halves
 
 
@@ -16,3 +17,17 @@ def test_millions_of_equal_values(spark):
     spread = math.sqrt(na * nb / 12 * (m + 1 - (float(n) ** 3 - n) / (m * (m - 1.0))))
     assert (got["na"], got["nb"]) == (na, nb) and got["U"] - na * nb / 2 == pytest.approx(nb / 2)
     assert got["z"] == pytest.approx((nb / 2 - 0.5) / spread, rel=1e-6)
+
+
+def test_equal_means_share_a_rank(spark, tmp_path):
+    prices = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [0.15], 4: [0.5]}
+    rows = [(2 * (10 * c + i), c, p) for c, own in prices.items() for i, p in enumerate(own)] + [(1, 5, 0.7), (4, 6, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["c"]: r["rank_first"] for r in queries.first_half_ranks(spark, str(tmp_path)).collect()}
+    assert got == {4: 1, 1: 2, 2: 2, 3: 4}
+
+
+def test_steady_means_of_any_doubles(spark):
+    rows = [(1, math.nan), (1, 1.0), (2, math.inf), (3, 1e300), (3, 1e300), (4, 1 / 3), (4, 1 / 3), (5, None), (6, -2.5), (6, None)]
+    got = {r["k"]: r["m"] for r in spark.createDataFrame(rows, "k int, v double").groupBy("k").agg(halves.steady_mean(F.col("v")).alias("m")).collect()}
+    assert math.isnan(got.pop(1)) and got == {2: math.inf, 3: 1e300, 4: 1 / 3, 5: None, 6: -2.5}
