@@ -2,7 +2,8 @@
 
 Where members begin can only be told by inflating, so a file is cut into ranges of bytes, and each task looks for
 a beginning in its range and follows the members from there. What it finds is (file, start, end); ``sound`` keeps
-what lies end to end, as a beginning may also be met by chance or in stored bytes. Offsets count compressed bytes, so
+what lies end to end, as a beginning may also be met by chance or in stored bytes. A task tells how far its earlier finds
+reach, and what ranges before it reach comes from one row a range, so members are neither shuffled nor sorted for that. Offsets count compressed bytes, so
 a member is read again by its place alone. A member that isn't whole yet is held back, one that is broken is told.
 
 Files are opened by the path's own filesystem, local or not.
@@ -14,6 +15,7 @@ import json
 import zlib
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +26,8 @@ from pyspark.sql.types import StructType
 #: The most bytes that a member may inflate to; bytes of a file that a task scans; how a member begins.
 LIMIT, RANGE, MAGIC = 512 << 20, 8 << 20, b"\x1f\x8b\x08"
 _BLOCK = 1 << 20
+#: What a range's task gives; members and bytes of text that it hands over at once.
+_FOUND, _ROWS, _TEXT = "file string, start long, end long, payload string, lo long, reach long", 10_000, 4 << 20
 
 
 class Bytes:
@@ -99,12 +103,27 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Range]:
         return self.ranges
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(partition.uri)
+        rows: list[tuple] = []
+        held, reach = 0, None
         with store.open_input_file(path) as file:
             raw = Bytes(file.size(), lambda at, n: file.read_at(n, at))
             for start, end, text in in_range(raw, partition.lo, partition.hi, self.limit):
-                yield partition.uri, start, end, text.decode("utf-8", "replace") if self.payload else None
+                rows.append((start, end, text.decode("utf-8", "replace") if self.payload else None, reach))
+                held += len(text) if self.payload else 0
+                reach = end if reach is None else max(reach, end or 0)
+                if len(rows) >= _ROWS or held >= _TEXT:
+                    yield _batch(partition, rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(partition, rows)
+
+
+def _batch(at: _Range, rows: list[tuple]) -> pa.RecordBatch:
+    start, end, text, reach = zip(*rows, strict=True)
+    every = [([at.uri] * len(rows), pa.string()), (start, pa.int64()), (end, pa.int64()), (text, pa.string()), ([at.lo] * len(rows), pa.int64()), (reach, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in every], names=["file", "start", "end", "payload", "lo", "reach"])
 
 
 class MemberSource(DataSource):
@@ -115,7 +134,7 @@ class MemberSource(DataSource):
         return "gzip_members"
 
     def schema(self) -> str:
-        return "file string, start long, end long, payload string"
+        return _FOUND
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options, schema)
@@ -123,7 +142,7 @@ class MemberSource(DataSource):
 
 def _source(spark: SparkSession, ranges: list[tuple[str, int, int]], payload: bool, limit: int) -> DataFrame:
     if not ranges:
-        return spark.createDataFrame([], "file string, start long, end long, payload string")
+        return spark.createDataFrame([], _FOUND)
     spark.dataSource.register(MemberSource)
     return spark.read.format("gzip_members").option("ranges", json.dumps(ranges)).option("payload", str(payload).lower()).option("limit", limit).load()
 
@@ -149,21 +168,27 @@ def files_uri(uri: str) -> str:
 
 
 def scanned(spark: SparkSession, *paths: str, after: dict[str, int] | None = None, payload: bool = False, limit: int = LIMIT, width: int = RANGE) -> DataFrame:
-    """(file, start, end, payload): candidates, from many tasks; ``after`` tells from which byte on files are new."""
+    """(file, start, end, payload, lo, reach): candidates, from many tasks; ``after`` tells from which byte on files are new.
+
+    ``lo`` is where the task's range begins, ``reach`` the furthest end of what it found before.
+    """
     after = after or {}
     ranges = [(uri, lo, min(lo + width, size)) for uri, size in files_of(spark, *paths) for lo in range(after.get(uri, 0), size, width)]
     return _source(spark, ranges, payload, limit)
 
 
-def sound(candidates: DataFrame, after: dict[str, int] | None = None) -> DataFrame:
+def sound(candidates: DataFrame, after: dict[str, int] | None = None, bare: DataFrame | None = None) -> DataFrame:
     """Candidates that lie end to end, with ``state``: whole, unfinished (the last of a file), or after a broken member.
 
-    What begins inside another member is none.
+    What begins inside another member is none. ``bare`` may give the same candidates without payload, as they are read twice.
     """
-    before = F.coalesce(F.max("end").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), _begins(after))
-    placed = candidates.withColumn("_before", before).where(F.col("start") >= F.col("_before"))
+    ends = (candidates if bare is None else bare).groupBy("file", "lo").agg(F.max("end").alias("_end"))
+    earlier = W.partitionBy("file").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
+    reached = ends.select("file", "lo", F.max("_end").over(earlier).alias("_reached"))  # one row a range
+    before = F.coalesce(F.greatest("reach", "_reached"), _begins(after))
+    placed = candidates.join(F.broadcast(reached), ["file", "lo"]).withColumn("_before", before).where(F.col("start") >= F.col("_before"))
     state = F.when(F.col("start") > F.col("_before"), "after broken").when(F.col("end").isNull(), "unfinished").otherwise("whole")
-    return placed.withColumn("state", state).drop("_before")
+    return placed.select("file", "start", "end", "payload", state.alias("state"))
 
 
 def _begins(after: dict[str, int] | None):
@@ -173,7 +198,8 @@ def _begins(after: dict[str, int] | None):
 
 def members(spark: SparkSession, *paths: str, after: dict[str, int] | None = None, limit: int = LIMIT, width: int = RANGE) -> DataFrame:
     """(file, start, end, payload) of whole members; a last one that isn't whole is held back, a broken one is an error."""
-    found = sound(scanned(spark, *paths, after=after, payload=True, limit=limit, width=width), after)
+    scan = [scanned(spark, *paths, after=after, payload=payload, limit=limit, width=width) for payload in (True, False)]
+    found = sound(scan[0], after, scan[1])
     broken = F.raise_error(F.concat(F.lit("a broken member before byte "), F.col("start").cast("string"), F.lit(" of "), F.col("file")))
     checked = F.when(F.col("state") == "after broken", broken).otherwise(F.col("payload"))
     return found.where(F.col("state") != "unfinished").select("file", "start", "end", checked.alias("payload"))

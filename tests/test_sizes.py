@@ -1,5 +1,6 @@
 """What only shows on larger tables: counts beyond a long's cube, means that differ in the last bit."""
 
+import gzip
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paramlens import queries
 from paramlens.operators import halves
+from paramlens.sources import members
 
 
 def test_millions_of_equal_values(spark):
@@ -31,3 +33,14 @@ def test_steady_means_of_any_doubles(spark):
     rows = [(1, math.nan), (1, 1.0), (2, math.inf), (3, 1e300), (3, 1e300), (4, 1 / 3), (4, 1 / 3), (5, None), (6, -2.5), (6, None)]
     got = {r["k"]: r["m"] for r in spark.createDataFrame(rows, "k int, v double").groupBy("k").agg(halves.steady_mean(F.col("v")).alias("m")).collect()}
     assert math.isnan(got.pop(1)) and got == {2: math.inf, 3: 1e300, 4: 1 / 3, 5: None, 6: -2.5}
+
+
+def test_members_of_one_file_are_not_sorted_by_one_task(spark, tmp_path):
+    raw = b"".join(gzip.compress(f'{{"round_id": "r{i}"}}\n'.encode(), mtime=0) for i in range(200))
+    (tmp_path / "r.gz").write_bytes(raw)
+    found = members.members(spark, str(tmp_path / "r.gz"), width=500)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if any(step in line for step in ("Sort ", "Window ", "hashpartitioning"))]
+    assert moved and not [line for line in moved if "payload" in line or "start" in line]
+    assert [r["payload"] for r in found.orderBy("start").collect()] == [f'{{"round_id": "r{i}"}}\n' for i in range(200)]
+    assert {r["lo"] for r in members.scanned(spark, str(tmp_path / "r.gz"), width=500).select("lo").distinct().collect()} == set(range(0, len(raw), 500))
