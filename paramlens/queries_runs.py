@@ -78,29 +78,55 @@ def _folder(spark) -> str:
     return members.files_uri(store.makeQualified(path).toString())
 
 
+def _ranges(spark, d, files: int) -> DataFrame:
+    """(file, k, price) in order of file and k, by ranges that shuffles' partitions are as many as."""
+    rounds = _table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(files)).cast("int").alias("file"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return rounds.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "k").sortWithinPartitions("file", "k")
+
+
 def round_files(spark, d, files: int = 4) -> str:
-    """Orders as rounds, one gzip member each, written by tasks; the last member of each file is unfinished."""
+    """Orders as rounds, one gzip member each, in order; the last member of each file is unfinished.
+
+    Tasks write ranges of a file's rounds as parts, none of which is a whole file; then one task a file strings its parts
+    together, a block at a time.
+    """
     folder = _folder(spark)
-    rounds = _table(spark, d, "orders").select(F.pmod("o_custkey", F.lit(files)).cast("int").alias("file"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at = None, None
+        out, at, made = None, None, []
         store, root = fs.FileSystem.from_uri(folder)
-        torn = gzip.compress(b'{"round_id": "torn", "_round_index": 0}\n', mtime=0)[:-9]
+        store.create_dir(f"{root}/parts", recursive=True)
         for batch in batches:
             for file, k, price in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file != at:
                     if out is not None:
-                        out.write(torn)
                         out.close()
-                    at, out = file, store.open_output_stream(f"{root}/{file}.jsonl.gz", compression=None)
+                    name = f"{root}/parts/{uuid.uuid4().hex}"
+                    at, out = file, store.open_output_stream(name, compression=None)
+                    made.append((file, k, name))
                 out.write(gzip.compress((json.dumps({"round_id": f"r{k}", "_round_index": k, "optimal_threshold": price}) + "\n").encode(), 1, mtime=0))
         if out is not None:
-            out.write(torn)
             out.close()
+        yield pa.RecordBatch.from_pylist([dict(zip(("file", "k", "name"), x, strict=True)) for x in made], schema=pa.schema([("file", pa.int32()), ("k", pa.int64()), ("name", pa.string())]))
+
+    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for one in batch.to_pylist():
+                with store.open_output_stream(f"{root}/{one['file']}.jsonl.gz", compression=None) as out:
+                    for part in one["parts"]:
+                        with store.open_input_stream(part["name"], compression=None) as piece:
+                            while block := piece.read(4 << 20):
+                                out.write(block)
+                    out.write(gzip.compress(b'{"round_id": "torn", "_round_index": 0}\n', mtime=0)[:-9])
         yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
 
-    rounds.repartition("file").sortWithinPartitions("file", "k").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+    parts = _ranges(spark, d, files).mapInArrow(write, "file int, k long, name string").collect()  # a row a part
+    if parts:
+        listed = spark.createDataFrame(parts, "file int, k long, name string").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("parts"))
+        listed.repartition(files, "file").mapInArrow(string, "done int").write.format("noop").mode("overwrite").save()
+        store, root = fs.FileSystem.from_uri(folder)
+        store.delete_dir(f"{root}/parts")
     return folder
 
 

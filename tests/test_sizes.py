@@ -1,12 +1,13 @@
 """What only shows on larger tables: counts beyond a long's cube, means that differ in the last bit."""
 
 import gzip
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from paramlens import queries
+from paramlens import queries, queries_runs
 from paramlens.operators import halves
 from paramlens.sources import members
 
@@ -44,3 +45,14 @@ def test_members_of_one_file_are_not_sorted_by_one_task(spark, tmp_path):
     assert moved and not [line for line in moved if "payload" in line or "start" in line]
     assert [r["payload"] for r in found.orderBy("start").collect()] == [f'{{"round_id": "r{i}"}}\n' for i in range(200)]
     assert {r["lo"] for r in members.scanned(spark, str(tmp_path / "r.gz"), width=500).select("lo").distinct().collect()} == set(range(0, len(raw), 500))
+
+
+def test_rounds_of_one_file_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") * 7 % 4000).alias("o_orderkey"), F.lit(4).cast("long").alias("o_custkey"), F.lit(1.5).alias("o_totalprice"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    parts = [[r["k"] for r in part] for part in queries_runs._ranges(spark, str(tmp_path), 4).rdd.glom().collect()]
+    assert max(map(len, parts)) < 2500 and [k for part in parts for k in part] == list(range(4000))
+    got = members.members(spark, f"{queries_runs.round_files(spark, str(tmp_path))}/*.jsonl.gz").orderBy("start").collect()
+    assert len({r["file"] for r in got}) == 1 and [json.loads(r["payload"])["_round_index"] for r in got] == list(range(4000))
+    index = queries_runs.round_index(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in index] == [(0, 4000, 0)]
