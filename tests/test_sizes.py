@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paramlens import queries, queries_runs
-from paramlens.operators import halves
+from paramlens.operators import clusters, halves
 from paramlens.sources import members
 
 
@@ -56,3 +56,13 @@ def test_rounds_of_one_file_are_written_by_several_tasks(spark, tmp_path):
     assert len({r["file"] for r in got}) == 1 and [json.loads(r["payload"])["_round_index"] for r in got] == list(range(4000))
     index = queries_runs.round_index(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in index] == [(0, 4000, 0)]
+
+
+def test_groups_work_out_ranks_once_and_however_rows_meet_them(spark, monkeypatch):
+    rows = spark.range(600).select("id", (F.col("id") % 3 + F.col("id") / 10_000).alias("a"), F.when(F.col("id") % 50 > 0, F.col("id") % 3 * 5.0).alias("b"), F.lit(1.0).alias("c"))
+    got = clusters.assign(rows, ["a", "b", "c"], ["id"])
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+    own = {r["id"]: r["cluster"] for r in got.collect()}
+    assert sorted(i for i, c in own.items() if c is None) == list(range(0, 600, 50)) and len(set(own.values())) > 2
+    monkeypatch.setattr(clusters, "BROADCAST", 0)
+    assert {r["id"]: r["cluster"] for r in clusters.assign(rows, ["a", "b", "c"], ["id"]).collect()} == own
