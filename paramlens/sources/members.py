@@ -208,7 +208,9 @@ def members(spark: SparkSession, *paths: str, after: dict[str, int] | None = Non
 def index(spark: SparkSession, *paths: str, key: str = "round_id", after: dict[str, int] | None = None, width: int = RANGE) -> DataFrame:
     """(key, file, start, end): where each record is; of records with one key the last holds. ``after`` reads only what files have gained."""
     one = members(spark, *paths, after=after, width=width).select(F.get_json_object("payload", f"$.{key}").alias(key), "file", "start", "end")
-    return one.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("file", "start", "end")).alias("_p")).select(key, "_p.*")
+    # Places are so alike that their shuffled bytes tell little of their memory, by which Spark would join partitions.
+    one = one.where(F.col(key).isNotNull()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    return one.groupBy(key).agg(F.max(F.struct("file", "start", "end")).alias("_p")).select(key, "_p.*")
 
 
 def merged(old: DataFrame, new: DataFrame, key: str = "round_id") -> DataFrame:
